@@ -19,6 +19,11 @@ SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_number,
        o.o_custkey AS customer_id, l.l_partkey AS product_id,
        p.p_name AS product_name, p.p_type AS category,
        CAST(o.o_orderdate AS DATE) AS order_date,
+       year(CAST(o.o_orderdate AS DATE)) AS year,
+       month(CAST(o.o_orderdate AS DATE)) AS month,
+       quarter(CAST(o.o_orderdate AS DATE)) AS quarter,
+       dayname(CAST(o.o_orderdate AS DATE)) AS day_of_week,
+       o.o_orderpriority AS payment_method, o.o_orderstatus AS device_used,
        CAST(l.l_quantity AS INTEGER) AS quantity,
        CAST(p.p_retailprice AS DECIMAL(14,2)) AS unit_price_usd,
        CAST(l.l_extendedprice AS DECIMAL(14,2)) AS subtotal_usd,
@@ -29,10 +34,15 @@ SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_number,
        CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS returned,
        l.l_linestatus AS line_status,
        abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE))) % 30 AS delivery_days,
-       1 + p.p_size % 5 AS customer_rating
+       1 + p.p_size % 5 AS customer_rating,
+       l.l_quantity / 2 AS session_duration_minutes,
+       l.l_linenumber + p.p_size % 7 AS pages_viewed_before_purchase,
+       CASE WHEN CAST(o.o_orderdate AS DATE) > f.first_order_date THEN 1 ELSE 0 END AS is_repeat_customer
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey
+JOIN (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS first_order_date
+      FROM orders GROUP BY o_custkey) f ON o.o_custkey = f.o_custkey
 """
 
 VIEWS["v_orders"] = """

@@ -32,16 +32,24 @@ def _t(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, base: str) -> DataFrame:
-    """Line grain (one transaction per line): lineitem x orders x part."""
+    """Transaction grain (one product purchase per line), like a retail orders table.
+
+    lineitem x orders x part, plus each customer's first order date for the
+    repeat flag (a ``groupBy`` of orders joined back, not a window).
+    """
     li = _t(spark, base, "lineitem")
-    o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
+                                         "o_orderpriority", "o_orderstatus")
     p = _t(spark, base, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    first = (_t(spark, base, "orders").groupBy(F.col("o_custkey").alias("f_custkey"))
+             .agg(F.min(F.to_date("o_orderdate")).alias("first_order_date")))
     sub = F.col("l_extendedprice").cast("decimal(14,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
     tax = F.col("l_tax").cast("decimal(4,2)")
     odate = F.to_date("o_orderdate")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
+              .join(first, F.col("o_custkey") == F.col("f_custkey"))
               .select(F.col("l_orderkey").alias("order_id"),
                       F.col("l_linenumber").alias("line_number"),
                       F.col("o_custkey").alias("customer_id"),
@@ -49,6 +57,12 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
                       F.col("p_name").alias("product_name"),
                       F.col("p_type").alias("category"),
                       odate.alias("order_date"),
+                      F.year(odate).alias("year"),
+                      F.month(odate).alias("month"),
+                      F.quarter(odate).alias("quarter"),
+                      F.date_format(odate, "EEEE").alias("day_of_week"),
+                      F.col("o_orderpriority").alias("payment_method"),
+                      F.col("o_orderstatus").alias("device_used"),
                       F.col("l_quantity").cast("int").alias("quantity"),
                       F.col("p_retailprice").cast("decimal(14,2)").alias("unit_price_usd"),
                       sub.alias("subtotal_usd"),
@@ -58,7 +72,10 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
                       F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
                       F.col("l_linestatus").alias("line_status"),
                       (F.abs(F.datediff(F.to_date("l_shipdate"), odate)) % 30).alias("delivery_days"),
-                      (1 + F.col("p_size") % 5).alias("customer_rating")))
+                      (1 + F.col("p_size") % 5).alias("customer_rating"),
+                      (F.col("l_quantity") / 2).alias("session_duration_minutes"),
+                      (F.col("l_linenumber") + F.col("p_size") % 7).alias("pages_viewed_before_purchase"),
+                      F.when(odate > F.col("first_order_date"), 1).otherwise(0).alias("is_repeat_customer")))
 
 
 def orders(spark: SparkSession, base: str) -> DataFrame:
