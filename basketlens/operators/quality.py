@@ -106,10 +106,10 @@ def validate_all(tables: dict[str, DataFrame], relations: Sequence[tuple[str, st
             F.col("d").cast("double").alias("value"),
             F.when(F.col("d") == 0, "PASS").otherwise("FAIL").alias("status")))
         frames.append(empty_string_check(df, name).select(
-            F.lit("empty_strings").alias("check"), "table", "column", F.col("empty_strings").cast("double"),
+            F.lit("empty_strings").alias("check"), "table", "column", F.col("empty_strings").cast("double").alias("value"),
             F.lit("FAIL").alias("status")))
         frames.append(numeric_text_check(df, name).select(
-            F.lit("numeric_text").alias("check"), "table", "column", F.col("numeric_pct"),
+            F.lit("numeric_text").alias("check"), "table", "column", F.col("numeric_pct").alias("value"),
             F.lit("WARN").alias("status")))
     for child, ck, parent, pk in relations:
         o = orphans(tables[child], tables[parent], ck, pk)

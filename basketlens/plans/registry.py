@@ -34,4 +34,4 @@ def dbl(*names: str) -> list:
 
 
 # Import the query modules for their registration side effects.
-from basketlens.plans import q_anomaly, q_customers, q_ltv, q_orders, q_products  # noqa: E402,F401
+from basketlens.plans import q_anomaly, q_customers, q_ltv, q_misc, q_orders, q_products  # noqa: E402,F401
