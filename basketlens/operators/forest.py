@@ -156,9 +156,14 @@ def isolation_forest(df: DataFrame, features: Sequence[str], key: str, contamina
 
     Adds ``iso_anomaly_score`` (score - offset, rounded) and ``iso_flagged``.
     """
+    from basketlens.session import ensure_checkpoint_dir
+
     z = standardize(df.select(key, *features), features)
     zcols = [f"_z_{f}" for f in features]
-    z = z.select(key, *zcols)
+    # Four jobs read the standardised features (count, sample, score,
+    # offset): cut the lineage once into the shared checkpoint folder.
+    ensure_checkpoint_dir(df.sparkSession)
+    z = z.select(key, *zcols).checkpoint(eager=True)
     nodes, psi = fit_isolation_forest(z, key, zcols, trees, max_samples, seed)
     model = {}
     for t, g in nodes.groupby("tree"):

@@ -30,12 +30,21 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     return n.crossJoin(d).select((F.col("_n") - F.col("_d")).alias("duplicates"))
 
 
-def table_quality(df: DataFrame, table: str) -> DataFrame:
+def profile_row(df: DataFrame) -> DataFrame:
+    """Every per-table count in ONE aggregate: rows, non-nulls per column, empty and
+    numeric-looking values per text column, plus the duplicate count."""
+    cols, strings = df.columns, _strings(df)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(cols)]
+    aggs += [F.count(F.when(F.col(f"`{c}`") == "", 1)).alias(f"_e{j}") for j, c in enumerate(strings)]
+    aggs += [F.count(numeric_text(F.col(f"`{c}`"))).alias(f"_k{j}") for j, c in enumerate(strings)]
+    return df.agg(*aggs).crossJoin(duplicate_count(df))
+
+
+def table_quality(df: DataFrame, table: str, row: DataFrame | None = None) -> DataFrame:
     """Per column: dtype, null count, null %, table duplicates, rows."""
     cols = df.columns
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}")
-                                                      for i, c in enumerate(cols)])
-    stats = counts.crossJoin(duplicate_count(df))
+    row = row if row is not None else profile_row(df)
     dtypes = dict(df.dtypes)
     parts = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
                       (F.col("_n") - F.col(f"_c{i}")).alias("null_count"),
@@ -43,34 +52,32 @@ def table_quality(df: DataFrame, table: str) -> DataFrame:
                              2).alias("null_pct"),
                       F.col("duplicates").alias("duplicates"), F.col("_n").alias("row_count"))
              for i, c in enumerate(cols)]
-    return stats.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+    return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
-def empty_string_check(df: DataFrame, table: str) -> DataFrame:
+def empty_string_check(df: DataFrame, table: str, row: DataFrame | None = None) -> DataFrame:
     """Text columns containing '' with count and % of rows."""
-    cols = _strings(df)
+    strings = _strings(df)
     schema = "table string, column string, empty_strings bigint, pct double"
-    if not cols:
+    if not strings:
         return df.sparkSession.createDataFrame([], schema)
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(F.when(F.col(f"`{c}`") == "", 1)).alias(f"_e{i}") for i, c in enumerate(cols)])
-    parts = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.col(f"_e{i}").alias("empty_strings"),
-                      pround(F.try_divide(F.col(f"_e{i}") * 100.0, F.col("_n").cast("double")), 2).alias("pct"))
-             for i, c in enumerate(cols)]
+    row = row if row is not None else profile_row(df)
+    parts = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.col(f"_e{j}").alias("empty_strings"),
+                      pround(F.try_divide(F.col(f"_e{j}") * 100.0, F.col("_n").cast("double")), 2).alias("pct"))
+             for j, c in enumerate(strings)]
     return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*").filter(F.col("empty_strings") > 0)
 
 
-def numeric_text_check(df: DataFrame, table: str, min_rate: float = 0.8) -> DataFrame:
+def numeric_text_check(df: DataFrame, table: str, min_rate: float = 0.8, row: DataFrame | None = None) -> DataFrame:
     """Text columns whose non-null values mostly parse as numbers."""
-    cols = _strings(df)
+    cols, strings = df.columns, _strings(df)
     schema = "table string, column string, dtype string, numeric_pct double, flag string"
-    if not cols:
+    if not strings:
         return df.sparkSession.createDataFrame([], schema)
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(cols)],
-                 *[F.count(numeric_text(F.col(f"`{c}`"))).alias(f"_k{i}") for i, c in enumerate(cols)])
+    row = row if row is not None else profile_row(df)
     parts = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.lit("string").alias("dtype"),
-                      F.col(f"_n{i}").alias("_nn"), F.col(f"_k{i}").alias("_ok"))
-             for i, c in enumerate(cols)]
+                      F.col(f"_c{cols.index(c)}").alias("_nn"), F.col(f"_k{j}").alias("_ok"))
+             for j, c in enumerate(strings)]
     s = row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
     rate = F.col("_ok") / F.col("_nn")
     return (s.filter((F.col("_nn") > 0) & (F.col("_ok") > 0) & (rate > min_rate))
@@ -97,7 +104,8 @@ def validate_all(tables: dict[str, DataFrame], relations: Sequence[tuple[str, st
     """
     frames = []
     for name, df in tables.items():
-        q = table_quality(df, name)
+        row = profile_row(df)  # one scan feeds all four per-table checks
+        q = table_quality(df, name, row)
         frames.append(q.select(F.lit("nulls").alias("check"), "table", "column",
                                F.col("null_count").cast("double").alias("value"),
                                F.when(F.col("null_count") == 0, "PASS").otherwise("FAIL").alias("status")))
@@ -105,10 +113,10 @@ def validate_all(tables: dict[str, DataFrame], relations: Sequence[tuple[str, st
             F.lit("duplicates").alias("check"), "table", F.lit(None).cast("string").alias("column"),
             F.col("d").cast("double").alias("value"),
             F.when(F.col("d") == 0, "PASS").otherwise("FAIL").alias("status")))
-        frames.append(empty_string_check(df, name).select(
+        frames.append(empty_string_check(df, name, row).select(
             F.lit("empty_strings").alias("check"), "table", "column", F.col("empty_strings").cast("double").alias("value"),
             F.lit("FAIL").alias("status")))
-        frames.append(numeric_text_check(df, name).select(
+        frames.append(numeric_text_check(df, name, row=row).select(
             F.lit("numeric_text").alias("check"), "table", "column", F.col("numeric_pct").alias("value"),
             F.lit("WARN").alias("status")))
     for child, ck, parent, pk in relations:

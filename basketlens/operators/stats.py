@@ -123,22 +123,23 @@ def chi_square(df: DataFrame, dims: Sequence[str], outcome: str, alpha: float =
     later step is tiny.
     """
     long = long_by_dimension(df.filter(F.col(outcome).isNotNull()), dims, [outcome])
-    obs = long.groupBy("dimension", "segment", outcome).agg(F.count(F.lit(1)).alias("o"))
-    rows = obs.groupBy("dimension", "segment").agg(F.sum("o").alias("rt"))
-    cols = obs.groupBy("dimension", outcome).agg(F.sum("o").alias("ct"))
-    tot = obs.groupBy("dimension").agg(F.sum("o").alias("n"), F.count_distinct("segment").alias("nr"),
-                                       F.count_distinct(outcome).alias("nc"))
-    grid = (rows.join(cols, "dimension").join(obs, ["dimension", "segment", outcome], "left")
+    long = long.withColumnRenamed(outcome, "_bl_y")
+    obs = long.groupBy("dimension", "segment", "_bl_y").agg(F.count(F.lit(1)).alias("_bl_o"))
+    rows = obs.groupBy("dimension", "segment").agg(F.sum("_bl_o").alias("_bl_rt"))
+    cols = obs.groupBy("dimension", "_bl_y").agg(F.sum("_bl_o").alias("_bl_ct"))
+    tot = obs.groupBy("dimension").agg(F.sum("_bl_o").alias("_bl_n"), F.count_distinct("segment").alias("_bl_nr"),
+                                       F.count_distinct("_bl_y").alias("_bl_nc"))
+    grid = (rows.join(cols, "dimension").join(obs, ["dimension", "segment", "_bl_y"], "left")
                 .join(tot, "dimension")
-                .withColumn("o", F.coalesce(F.col("o"), F.lit(0)).cast("double"))
-                .withColumn("e", F.col("rt").cast("double") * F.col("ct") / F.col("n"))
-                .withColumn("dof", (F.col("nr") - 1) * (F.col("nc") - 1)))
-    diff = F.col("e") - F.col("o")
-    adj = F.when(F.col("dof") == 1, F.col("o") + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)).otherwise(
-        F.col("o"))
-    grid = grid.withColumn("term", F.try_divide((adj - F.col("e")) * (adj - F.col("e")), F.col("e")))
-    res = grid.groupBy("dimension").agg(F.first("n").alias("n"), F.sum("term").alias("chi2"),
-                                        F.first("dof").alias("dof"))
+                .withColumn("_bl_o", F.coalesce(F.col("_bl_o"), F.lit(0)).cast("double"))
+                .withColumn("_bl_e", F.col("_bl_rt").cast("double") * F.col("_bl_ct") / F.col("_bl_n"))
+                .withColumn("_bl_dof", (F.col("_bl_nr") - 1) * (F.col("_bl_nc") - 1)))
+    o, e = F.col("_bl_o"), F.col("_bl_e")
+    diff = e - o
+    adj = F.when(F.col("_bl_dof") == 1, o + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)).otherwise(o)
+    grid = grid.withColumn("_bl_term", F.try_divide((adj - e) * (adj - e), e))
+    res = grid.groupBy("dimension").agg(F.first("_bl_n").alias("n"), F.sum("_bl_term").alias("chi2"),
+                                        F.first("_bl_dof").alias("dof"))
     res = res.withColumn("p", chi2_pvalue(F.col("chi2"), F.col("dof")))
     res = res.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
     if digits is not None:

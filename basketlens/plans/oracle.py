@@ -100,17 +100,19 @@ SELECT c.c_custkey AS customer_id, n.n_name AS country,
        CASE WHEN c.c_acctbal < 0 THEN 1 ELSE 0 END AS churned,
        coalesce(e.reviews_given, 0) AS reviews_given,
        r.avg_review_score,
-       coalesce(pc.returns_made, 0) AS returns_made,
+       coalesce(rm.returns_made, 0) AS returns_made,
        coalesce(e.wishlist_items, 0) AS wishlist_items,
        coalesce(e.newsletter_subscribed, 0) AS newsletter_subscribed,
        pf.preferred_category,
        c.c_mktsegment AS acquisition_channel
 FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey
-LEFT JOIN (SELECT customer_id, min(order_date) AS registration_date, max(order_date) AS last_order_date,
-                  count(*) AS total_orders, sum(total_amount_usd) AS total_spend_usd,
-                  sum(returned) AS returns_made
-           FROM v_orders GROUP BY customer_id) pc ON c.c_custkey = pc.customer_id
+LEFT JOIN (SELECT o_custkey AS customer_id, min(CAST(o_orderdate AS DATE)) AS registration_date,
+                  max(CAST(o_orderdate AS DATE)) AS last_order_date, count(*) AS total_orders,
+                  sum(CAST(o_totalprice AS DECIMAL(14,2))) AS total_spend_usd
+           FROM orders GROUP BY o_custkey) pc ON c.c_custkey = pc.customer_id
+LEFT JOIN (SELECT customer_id, sum(returned) AS returns_made FROM v_lines GROUP BY customer_id) rm
+       ON c.c_custkey = rm.customer_id
 LEFT JOIN (SELECT user_id,
                   count(CASE WHEN event_type = 'click' THEN 1 END) AS reviews_given,
                   count(CASE WHEN event_type = 'view' THEN 1 END) AS wishlist_items,

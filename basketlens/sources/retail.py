@@ -47,9 +47,9 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
     disc = F.col("l_discount").cast("decimal(4,2)")
     tax = F.col("l_tax").cast("decimal(4,2)")
     odate = F.to_date("o_orderdate")
+    o = o.join(first, F.col("o_custkey") == F.col("f_custkey"))  # orders-sized join, before the fan-out
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
-              .join(first, F.col("o_custkey") == F.col("f_custkey"))
               .select(F.col("l_orderkey").alias("order_id"),
                       F.col("l_linenumber").alias("line_number"),
                       F.col("o_custkey").alias("customer_id"),
@@ -126,29 +126,38 @@ def products(spark: SparkSession, base: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
-    """Customer profile: attributes, order rollups, engagement, preference."""
+    """Customer profile: attributes, order rollups, engagement, preference.
+
+    Line-level work is ONE ``groupBy(customer, category)`` pass; both the
+    per-customer rollup and the preferred category derive from that small
+    result (Spark reuses its exchange). Order rollups read the orders table
+    directly.
+    """
     c = _t(spark, base, "customer")
     nat = _t(spark, base, "nation").select("n_nationkey", "n_name")
-    ords = orders(spark, base)
+    o = _t(spark, base, "orders")
     li = lines(spark, base)
     ev = _t(spark, base, "events")
 
-    per_cust = ords.groupBy("customer_id").agg(
-        F.min("order_date").alias("registration_date"),
-        F.max("order_date").alias("last_order_date"),
+    odate = F.to_date("o_orderdate")
+    per_cust = o.groupBy(F.col("o_custkey").alias("customer_id")).agg(
+        F.min(odate).alias("registration_date"),
+        F.max(odate).alias("last_order_date"),
         F.count(F.lit(1)).alias("total_orders"),
-        F.sum("total_amount_usd").alias("total_spend_usd"),
-        F.sum("returned").alias("returns_made"))
+        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("total_spend_usd"))
+    cat_n = li.groupBy("customer_id", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("customer_rating").alias("rating_sum"),
+        F.sum("returned").alias("returned_sum"))
+    per_line = cat_n.groupBy("customer_id").agg(
+        (F.sum("rating_sum").cast("double") / F.sum("n")).alias("avg_review_score"),
+        F.sum("returned_sum").alias("returns_made"))
     engagement = ev.groupBy(F.col("user_id").alias("customer_id")).agg(
         F.count(F.when(F.col("event_type") == "click", 1)).alias("reviews_given"),
         F.count(F.when(F.col("event_type") == "view", 1)).alias("wishlist_items"),
         F.max(F.when(F.col("event_type") == "signup", 1).otherwise(0)).alias("newsletter_subscribed"))
-    rating = li.groupBy("customer_id").agg(
-        (F.sum("customer_rating").cast("double") / F.count("customer_rating")).alias("avg_review_score"))
     # Mode of category per customer; the window runs over at most
     # (#categories) pre-aggregated rows per customer, so a hot customer
     # cannot make it large.
-    cat_n = li.groupBy("customer_id", "category").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("customer_id").orderBy(F.col("n").desc(), F.col("category"))
     pref = (cat_n.withColumn("rk", F.row_number().over(w)).filter("rk = 1")
                  .select("customer_id", F.col("category").alias("preferred_category")))
@@ -163,7 +172,7 @@ def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
     return (c.join(nat, c.c_nationkey == nat.n_nationkey)
              .join(per_cust, c.c_custkey == per_cust.customer_id, "left").drop("customer_id")
              .join(engagement, c.c_custkey == engagement.customer_id, "left").drop("customer_id")
-             .join(rating, c.c_custkey == rating.customer_id, "left").drop("customer_id")
+             .join(per_line, c.c_custkey == per_line.customer_id, "left").drop("customer_id")
              .join(pref, c.c_custkey == pref.customer_id, "left").drop("customer_id")
              .select(k.alias("customer_id"),
                      F.col("n_name").alias("country"),
