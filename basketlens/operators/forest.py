@@ -70,17 +70,35 @@ def _unit_hash(*cols) -> F.Column:
 
 def _tree_samples(df: DataFrame, key: str, zcols: Sequence[str], trees: int, psi: int, n: int,
                   seed: int) -> DataFrame:
-    over = 1.3
-    if n < trees * psi * over:
+    """Each tree's ``psi`` rows with the lowest hash(seed, tree, key).
+
+    Small inputs: (row, tree) pairs are hashed as they are generated and only
+    pairs under a rate of ``2 psi / n`` survive the same stage (about 2 psi
+    per tree instead of n); if any tree got fewer than ``psi`` candidates the
+    rate is raised to 1, so the sample is always exactly the lowest ``psi``.
+    Large inputs: one hash selects rows at rate ``trees psi 1.3 / n`` and a
+    second assigns each to one tree.
+    """
+    from pyspark.sql.window import Window
+
+    def small(rate: float) -> DataFrame:
         t = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        pairs = df.select(key, *zcols, t)
-        pairs = pairs.withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
+        pairs = df.select(key, *zcols, t).withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
+        return pairs.filter(F.col("_h") < rate) if rate < 1.0 else pairs
+
+    if n < trees * psi * 1.3:
+        rate = min(1.0, 2.0 * psi / max(n, 1))
+        pairs = small(rate)
+        if rate < 1.0:
+            got = pairs.groupBy("tree").count()
+            short = got.filter(F.col("count") < psi).limit(1).count() + (trees - got.count())
+            if short:
+                pairs = small(1.0)
     else:
-        p = trees * psi * over / n
+        p = trees * psi * 1.3 / n
         sel = df.filter(_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < p)
         pairs = (sel.withColumn("tree", (F.abs(F.xxhash64(F.lit(seed), F.lit(-2), F.col(key))) % trees).cast("int"))
                     .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key))))
-    from pyspark.sql.window import Window
     w = Window.partitionBy("tree").orderBy("_h", key)
     return pairs.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk")
 

@@ -25,12 +25,12 @@ SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_number,
        dayname(CAST(o.o_orderdate AS DATE)) AS day_of_week,
        o.o_orderpriority AS payment_method, o.o_orderstatus AS device_used,
        CAST(l.l_quantity AS INTEGER) AS quantity,
-       CAST(p.p_retailprice AS DECIMAL(14,2)) AS unit_price_usd,
-       CAST(l.l_extendedprice AS DECIMAL(14,2)) AS subtotal_usd,
-       CAST(l.l_discount AS DECIMAL(4,2)) * 100 AS discount_pct,
-       CAST(l.l_extendedprice AS DECIMAL(14,2)) * CAST(l.l_tax AS DECIMAL(4,2)) AS shipping_fee_usd,
-       CAST(l.l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2)))
-           * (1 + CAST(l.l_tax AS DECIMAL(4,2))) AS total_amount_usd,
+       CAST(p.p_retailprice AS DECIMAL(8,2)) AS unit_price_usd,
+       CAST(l.l_extendedprice AS DECIMAL(8,2)) AS subtotal_usd,
+       CAST(l.l_discount AS DECIMAL(3,2)) * 100 AS discount_pct,
+       CAST(l.l_extendedprice AS DECIMAL(8,2)) * CAST(l.l_tax AS DECIMAL(3,2)) AS shipping_fee_usd,
+       CAST(l.l_extendedprice AS DECIMAL(8,2)) * (1 - CAST(l.l_discount AS DECIMAL(3,2)))
+           * (1 + CAST(l.l_tax AS DECIMAL(3,2))) AS total_amount_usd,
        CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS returned,
        l.l_linestatus AS line_status,
        abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE))) % 30 AS delivery_days,
@@ -53,7 +53,7 @@ SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id,
        quarter(CAST(o.o_orderdate AS DATE)) AS quarter,
        dayname(CAST(o.o_orderdate AS DATE)) AS day_of_week,
        o.o_orderpriority AS payment_method, o.o_orderstatus AS device_used,
-       CAST(o.o_totalprice AS DECIMAL(14,2)) AS total_amount_usd,
+       CAST(o.o_totalprice AS DECIMAL(12,2)) AS total_amount_usd,
        a.subtotal_usd, a.shipping_fee_usd, a.discount_pct, a.delivery_days,
        a.customer_rating, a.session_duration_minutes, a.pages_viewed_before_purchase,
        coalesce(a.returned_line_majority, 0) AS returned,
@@ -109,7 +109,7 @@ FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN (SELECT o_custkey AS customer_id, min(CAST(o_orderdate AS DATE)) AS registration_date,
                   max(CAST(o_orderdate AS DATE)) AS last_order_date, count(*) AS total_orders,
-                  sum(CAST(o_totalprice AS DECIMAL(14,2))) AS total_spend_usd
+                  sum(CAST(o_totalprice AS DECIMAL(12,2))) AS total_spend_usd
            FROM orders GROUP BY o_custkey) pc ON c.c_custkey = pc.customer_id
 LEFT JOIN (SELECT customer_id, sum(returned) AS returns_made FROM v_lines GROUP BY customer_id) rm
        ON c.c_custkey = rm.customer_id

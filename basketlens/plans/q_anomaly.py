@@ -70,7 +70,7 @@ thr AS (SELECT coalesce({_st('return_rate', 'p90')}, 0.333) + 1.5 * coalesce({_s
 
 
 def _features(spark, base):
-    prof = anomaly.customer_order_profile(retail.lines(spark, base), retail.customers(spark, base))
+    prof = anomaly.customer_order_profile(retail.lines(spark, base), retail.customer_attributes(spark, base))
     return anomaly.anomaly_features(prof, MIN_ORDERS)
 
 
@@ -80,7 +80,7 @@ SELECT customer_id, total_orders, CAST(total_returns AS BIGINT) AS total_returns
        avg_returned_value, avg_discount_pct, payment_methods_used, devices_used, first_order_date, last_order_date,
        membership_tier, country, churned FROM p""")
 def a19_customer_order_profile(spark, base):
-    return anomaly.customer_order_profile(retail.lines(spark, base), retail.customers(spark, base))
+    return anomaly.customer_order_profile(retail.lines(spark, base), retail.customer_attributes(spark, base))
 
 
 @register("d9_anomaly_features", f"""
@@ -208,7 +208,7 @@ def a31_history_depth_counts(spark, base):
 
 def _full(spark, base, strictness="moderate", z=2.5, contamination=0.05):
     from basketlens.plans.reports import anomaly_pipeline
-    return anomaly_pipeline(retail.lines(spark, base), retail.customers(spark, base), strictness=strictness,
+    return anomaly_pipeline(retail.lines(spark, base), retail.customer_attributes(spark, base), strictness=strictness,
                             z_threshold=z, contamination=contamination, min_orders=MIN_ORDERS)
 
 

@@ -166,7 +166,7 @@ SELECT customer_type, order_count, total_revenue, avg_order_value, median_order,
          AS revenue_share_pct
 FROM nvr""")
 def a16_new_vs_returning(spark, base):
-    return profile.new_vs_returning(_lines(spark, base))
+    return profile.new_vs_returning(retail.lines(spark, base, with_repeat=True))
 
 
 def _share_profile_sql(key: str, extra: str) -> str:
@@ -295,7 +295,8 @@ FROM u"""
 
 def _typed(spark, base):
     from basketlens.functions.core import recode
-    return _lines(spark, base).withColumn("customer_type", recode("is_repeat_customer", {0: "New", 1: "Returning"}))
+    return retail.lines(spark, base, with_repeat=True).withColumn(
+        "customer_type", recode("is_repeat_customer", {0: "New", 1: "Returning"}))
 
 
 @register("h4_mann_whitney_new_returning_stats", _MW)

@@ -32,6 +32,3 @@ def register(name: str, sql: str | None = None):
 def dbl(*names: str) -> list:
     return [F.col(n).cast("double").alias(n) for n in names]
 
-
-# Import the query modules for their registration side effects.
-from basketlens.plans import q_anomaly, q_customers, q_ltv, q_misc, q_orders, q_products  # noqa: E402,F401

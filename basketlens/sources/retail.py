@@ -31,23 +31,37 @@ def _t(spark: SparkSession, base: str, name: str) -> DataFrame:
     return load_table(spark, name, base)
 
 
-def lines(spark: SparkSession, base: str) -> DataFrame:
+# Money is exact decimal. Line prices are bounded by quantity x retail price
+# (TPC-H: under 1e6), so decimal(8,2) x (4,2) x (4,2) = decimal(18,6) stays in
+# Spark's long-backed decimal path; sums widen to (28,6) and only fall back
+# to BigDecimal if they outgrow 18 digits.
+LINE_MONEY = "decimal(8,2)"
+ORDER_MONEY = "decimal(12,2)"
+RATE = "decimal(3,2)"
+
+
+def lines(spark: SparkSession, base: str, with_repeat: bool = False) -> DataFrame:
     """Transaction grain (one product purchase per line), like a retail orders table.
 
-    lineitem x orders x part, plus each customer's first order date for the
-    repeat flag (a ``groupBy`` of orders joined back, not a window).
+    lineitem x orders x part. ``with_repeat`` adds ``is_repeat_customer``
+    (order date after the customer's first order): a ``groupBy`` of orders
+    joined to orders before the fan-out to lines, paid only by queries that
+    use the flag.
     """
     li = _t(spark, base, "lineitem")
     o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                          "o_orderpriority", "o_orderstatus")
     p = _t(spark, base, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
-    first = (_t(spark, base, "orders").groupBy(F.col("o_custkey").alias("f_custkey"))
-             .agg(F.min(F.to_date("o_orderdate")).alias("first_order_date")))
-    sub = F.col("l_extendedprice").cast("decimal(14,2)")
-    disc = F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
     odate = F.to_date("o_orderdate")
-    o = o.join(first, F.col("o_custkey") == F.col("f_custkey"))  # orders-sized join, before the fan-out
+    extra = []
+    if with_repeat:
+        first = (_t(spark, base, "orders").groupBy(F.col("o_custkey").alias("f_custkey"))
+                 .agg(F.min(F.to_date("o_orderdate")).alias("first_order_date")))
+        o = o.join(first, F.col("o_custkey") == F.col("f_custkey"))
+        extra = [F.when(odate > F.col("first_order_date"), 1).otherwise(0).alias("is_repeat_customer")]
+    sub = F.col("l_extendedprice").cast(LINE_MONEY)
+    disc = F.col("l_discount").cast(RATE)
+    tax = F.col("l_tax").cast(RATE)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
               .select(F.col("l_orderkey").alias("order_id"),
@@ -64,7 +78,7 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
                       F.col("o_orderpriority").alias("payment_method"),
                       F.col("o_orderstatus").alias("device_used"),
                       F.col("l_quantity").cast("int").alias("quantity"),
-                      F.col("p_retailprice").cast("decimal(14,2)").alias("unit_price_usd"),
+                      F.col("p_retailprice").cast(LINE_MONEY).alias("unit_price_usd"),
                       sub.alias("subtotal_usd"),
                       (disc * 100).alias("discount_pct"),
                       (sub * tax).alias("shipping_fee_usd"),
@@ -75,7 +89,7 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
                       (1 + F.col("p_size") % 5).alias("customer_rating"),
                       (F.col("l_quantity") / 2).alias("session_duration_minutes"),
                       (F.col("l_linenumber") + F.col("p_size") % 7).alias("pages_viewed_before_purchase"),
-                      F.when(odate > F.col("first_order_date"), 1).otherwise(0).alias("is_repeat_customer")))
+                      *extra))
 
 
 def orders(spark: SparkSession, base: str) -> DataFrame:
@@ -104,7 +118,7 @@ def orders(spark: SparkSession, base: str) -> DataFrame:
                       F.date_format(odate, "EEEE").alias("day_of_week"),
                       F.col("o_orderpriority").alias("payment_method"),
                       F.col("o_orderstatus").alias("device_used"),
-                      F.col("o_totalprice").cast("decimal(14,2)").alias("total_amount_usd"),
+                      F.col("o_totalprice").cast(ORDER_MONEY).alias("total_amount_usd"),
                       "subtotal_usd", "shipping_fee_usd", "discount_pct", "delivery_days",
                       "customer_rating", "session_duration_minutes", "pages_viewed_before_purchase",
                       F.coalesce("returned_line_majority", F.lit(0)).alias("returned"),
@@ -125,16 +139,38 @@ def products(spark: SparkSession, base: str) -> DataFrame:
         (F.sum("unit_price_usd").cast("double") / n).alias("avg_price"))
 
 
+def customer_attributes(spark: SparkSession, base: str) -> DataFrame:
+    """Static customer attributes only (customer x nation): no order or event rollups.
+
+    Operators that need tier / country / churn flag join this instead of the
+    full profile; Spark cannot drop unused outer joins, so the distinction
+    saves whole aggregation pipelines.
+    """
+    c = _t(spark, base, "customer")
+    nat = _t(spark, base, "nation").select("n_nationkey", "n_name")
+    bal = F.col("c_acctbal")
+    tier = (F.when(bal < TIER_UPPER_BOUNDS[0], TIER_ORDER[0])
+             .when(bal < TIER_UPPER_BOUNDS[1], TIER_ORDER[1])
+             .when(bal < TIER_UPPER_BOUNDS[2], TIER_ORDER[2])
+             .otherwise(TIER_ORDER[3]))
+    k = F.col("c_custkey")
+    gender = F.when(k % 3 == 0, GENDERS[0]).when(k % 3 == 1, GENDERS[1]).otherwise(GENDERS[2])
+    return (c.join(nat, c.c_nationkey == nat.n_nationkey)
+             .select(k.alias("customer_id"), F.col("n_name").alias("country"),
+                     (15 + k % 90).cast("int").alias("age"), gender.alias("gender"),
+                     tier.alias("membership_tier"), F.when(bal < 0, 1).otherwise(0).alias("churned"),
+                     F.col("c_mktsegment").alias("acquisition_channel")))
+
+
 def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
     """Customer profile: attributes, order rollups, engagement, preference.
 
     Line-level work is ONE ``groupBy(customer, category)`` pass; both the
     per-customer rollup and the preferred category derive from that small
     result (Spark reuses its exchange). Order rollups read the orders table
-    directly.
+    directly. Every rollup is keyed by customer and left-joined once.
     """
-    c = _t(spark, base, "customer")
-    nat = _t(spark, base, "nation").select("n_nationkey", "n_name")
+    attrs = customer_attributes(spark, base)
     o = _t(spark, base, "orders")
     li = lines(spark, base)
     ev = _t(spark, base, "events")
@@ -144,7 +180,7 @@ def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
         F.min(odate).alias("registration_date"),
         F.max(odate).alias("last_order_date"),
         F.count(F.lit(1)).alias("total_orders"),
-        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("total_spend_usd"))
+        F.sum(F.col("o_totalprice").cast(ORDER_MONEY)).alias("total_spend_usd"))
     cat_n = li.groupBy("customer_id", "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("customer_rating").alias("rating_sum"),
         F.sum("returned").alias("returned_sum"))
@@ -161,34 +197,18 @@ def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
     w = Window.partitionBy("customer_id").orderBy(F.col("n").desc(), F.col("category"))
     pref = (cat_n.withColumn("rk", F.row_number().over(w)).filter("rk = 1")
                  .select("customer_id", F.col("category").alias("preferred_category")))
-
-    bal = F.col("c_acctbal")
-    tier = (F.when(bal < TIER_UPPER_BOUNDS[0], TIER_ORDER[0])
-             .when(bal < TIER_UPPER_BOUNDS[1], TIER_ORDER[1])
-             .when(bal < TIER_UPPER_BOUNDS[2], TIER_ORDER[2])
-             .otherwise(TIER_ORDER[3]))
-    k = F.col("c_custkey")
-    gender = F.when(k % 3 == 0, GENDERS[0]).when(k % 3 == 1, GENDERS[1]).otherwise(GENDERS[2])
-    return (c.join(nat, c.c_nationkey == nat.n_nationkey)
-             .join(per_cust, c.c_custkey == per_cust.customer_id, "left").drop("customer_id")
-             .join(engagement, c.c_custkey == engagement.customer_id, "left").drop("customer_id")
-             .join(per_line, c.c_custkey == per_line.customer_id, "left").drop("customer_id")
-             .join(pref, c.c_custkey == pref.customer_id, "left").drop("customer_id")
-             .select(k.alias("customer_id"),
-                     F.col("n_name").alias("country"),
-                     (15 + k % 90).cast("int").alias("age"),
-                     gender.alias("gender"),
-                     tier.alias("membership_tier"),
-                     "registration_date",
-                     F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
-                     "total_spend_usd",
-                     (F.col("total_spend_usd").cast("double") / F.col("total_orders")).alias("avg_order_value_usd"),
-                     F.datediff(F.lit(as_of).cast("date"), F.col("last_order_date")).alias("days_since_last_purchase"),
-                     F.when(bal < 0, 1).otherwise(0).alias("churned"),
-                     F.coalesce("reviews_given", F.lit(0)).alias("reviews_given"),
-                     "avg_review_score",
-                     F.coalesce("returns_made", F.lit(0)).alias("returns_made"),
-                     F.coalesce("wishlist_items", F.lit(0)).alias("wishlist_items"),
-                     F.coalesce("newsletter_subscribed", F.lit(0)).alias("newsletter_subscribed"),
-                     "preferred_category",
-                     F.col("c_mktsegment").alias("acquisition_channel")))
+    out = (attrs.join(per_cust, "customer_id", "left").join(engagement, "customer_id", "left")
+                .join(per_line, "customer_id", "left").join(pref, "customer_id", "left"))
+    return out.select(
+        "customer_id", "country", "age", "gender", "membership_tier", "registration_date",
+        F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
+        "total_spend_usd",
+        (F.col("total_spend_usd").cast("double") / F.col("total_orders")).alias("avg_order_value_usd"),
+        F.datediff(F.lit(as_of).cast("date"), F.col("last_order_date")).alias("days_since_last_purchase"),
+        "churned",
+        F.coalesce("reviews_given", F.lit(0)).alias("reviews_given"),
+        "avg_review_score",
+        F.coalesce("returns_made", F.lit(0)).alias("returns_made"),
+        F.coalesce("wishlist_items", F.lit(0)).alias("wishlist_items"),
+        F.coalesce("newsletter_subscribed", F.lit(0)).alias("newsletter_subscribed"),
+        "preferred_category", "acquisition_channel")
