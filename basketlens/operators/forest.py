@@ -191,7 +191,10 @@ def isolation_forest(df: DataFrame, features: Sequence[str], key: str, contamina
     ktype = dict(z.dtypes)[key]
     scored = z.mapInPandas(lambda it: _score_batches(it, zcols, model, psi, key),
                            f"`{key}` {ktype}, iso_score_samples double")
-    offset = scored.agg(F.percentile("iso_score_samples", contamination).alias("_bl_offset"))
+    from basketlens.operators.quantile import quantile_frame
+
+    scored = scored.checkpoint(eager=True)  # read by the offset and the flags
+    offset = quantile_frame(scored, "iso_score_samples", [contamination]).select(F.col("_q")[0].alias("_bl_offset"))
     dec = F.col("iso_score_samples") - F.col("_bl_offset")
     res = (scored.crossJoin(F.broadcast(offset))
                  .select(key, dec.alias("_dec"))

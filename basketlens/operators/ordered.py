@@ -4,7 +4,8 @@ A window without ``partitionBy`` plans ``Exchange SinglePartition``: every row
 goes to one task. That is fine for already-aggregated input (one row per
 product) and fatal for raw fact rows, so each operator takes ``buckets``:
 
-* ``buckets=1``: the plain window.
+* ``buckets=None`` (default): one bucket per shuffle partition.
+* ``buckets=1``: the plain window, for inputs known to be small.
 * ``buckets>1``: range buckets from ``percentile_approx`` (one row, broadcast),
   a bucket index found by a balanced comparison tree (codegen, no UDF),
   per-bucket totals (at most ``buckets`` rows) turned into prefix offsets, and
@@ -27,6 +28,16 @@ from pyspark.sql.window import Window
 _B = "_bl_bucket"
 
 
+def auto_buckets(df: DataFrame) -> int:
+    """Default bucket count: one per shuffle partition, so the ordered work
+    spreads over the same parallelism as the rest of the plan."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _resolve(df: DataFrame, buckets: int | None) -> int:
+    return auto_buckets(df) if buckets is None else buckets
+
+
 def _bucket_tree(x: Column, bounds: Column, lo: int, hi: int) -> Column:
     """Number of ``bounds[lo:hi]`` entries <= x, plus ``lo`` (upper bound search)."""
     if lo >= hi:
@@ -58,7 +69,7 @@ def _order_exprs(order: Sequence[tuple[str, bool]]) -> list[Column]:
 
 
 def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, out: str,
-                partition_by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
+                partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Running total of ``value`` in ``order`` ((col, descending) pairs).
 
     ``order`` must end with a unique tie-breaker for a deterministic result.
@@ -66,6 +77,7 @@ def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, ou
     range-bucketed as described in the module docstring.
     """
     frame = Window.unboundedPreceding, Window.currentRow
+    buckets = _resolve(df, buckets)
     if buckets <= 1 or partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*_order_exprs(order)).rowsBetween(*frame)
         return df.withColumn(out, F.sum(value).over(w))
@@ -83,7 +95,7 @@ def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, ou
 
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
-                 partition_by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
+                 partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Rank with ties averaged (pandas ``rank(method='average')``), NULL stays NULL.
 
     Works on the distinct ``(partition, value, count)`` rows, then joins the
@@ -101,22 +113,22 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
 
 def share_of_total(df: DataFrame, value: str, out: str, partition_by: Sequence[str] = (),
                    scale: float = 100.0) -> DataFrame:
-    """``value / sum(value) * scale`` (W3) using a one-row total, broadcast.
+    """``value / sum(value) * scale``.
 
-    The total is a global aggregate (partial sums, one final row), so this
-    stays a narrow stage over ``df`` plus a broadcast of one row per
-    partition key.
+    Without keys the total is one row (broadcast); with keys the per-key
+    totals are joined normally (AQE broadcasts them only if they turn out
+    small).
     """
     keys = list(partition_by)
     tot = df.groupBy(*keys).agg(F.sum(value).cast("double").alias("_bl_total"))
-    joined = df.join(F.broadcast(tot), keys) if keys else df.crossJoin(F.broadcast(tot))
+    joined = df.join(tot, keys) if keys else df.crossJoin(F.broadcast(tot))
     return (joined.withColumn(out, F.try_divide(F.col(value).cast("double") * F.lit(scale),
                                                 F.col("_bl_total")))
                   .drop("_bl_total"))
 
 
 def abc_classification(df: DataFrame, value: str, key: str, cuts: tuple[float, float] = (80.0, 95.0),
-                       labels: tuple[str, str, str] = ("A", "B", "C"), buckets: int = 1) -> DataFrame:
+                       labels: tuple[str, str, str] = ("A", "B", "C"), buckets: int | None = None) -> DataFrame:
     """Cumulative-share classes (W4): share <= cuts[0] -> A, <= cuts[1] -> B, else C.
 
     Descending by ``value`` with ``key`` as the tie-breaker; adds ``cum_pct``
@@ -133,7 +145,7 @@ def abc_classification(df: DataFrame, value: str, key: str, cuts: tuple[float, f
                .drop("_bl_run", "_bl_grand"))
 
 
-def rank_gap(df: DataFrame, count_col: str, value_col: str, buckets: int = 1) -> DataFrame:
+def rank_gap(df: DataFrame, count_col: str, value_col: str, buckets: int | None = None) -> DataFrame:
     """Rank divergence (W2): |rank(count) - rank(value)|, flagged above mean + std.
 
     Adds ``orders_rank``, ``revenue_rank``, ``rank_gap``, ``gap_threshold``

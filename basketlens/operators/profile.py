@@ -50,21 +50,34 @@ def measure(fn: str, c: str | Column | None = None) -> Column:
 
 
 def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str | None]],
-                    digits: int | None = 2, dropna: bool = True) -> DataFrame:
+                    digits: int | None = 2, dropna: bool = True, quantile_method: str | None = None) -> DataFrame:
     """``groupBy(keys)`` with ``(out, fn, column)`` measures (A0).
 
     Null keys are dropped like pandas when ``dropna``; float measures are
     rounded with numpy semantics when ``digits`` is set (counts stay exact).
+    Medians come from ``quantile_frame`` (exact, and never a whole group in
+    one task for high-cardinality values) joined on the keys.
     """
+    from basketlens.operators.quantile import quantile_frame
+
     if dropna and keys:
         df = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    exprs = []
+    exprs, medians = [], []
     for out, fn, c in measures:
+        if fn == "median":
+            medians.append((out, c))
+            continue
         e = measure(fn, c)
         if digits is not None and fn not in ("size", "count", "nunique", "min", "max"):
             e = pround(e, digits)
         exprs.append(e.alias(out))
-    return df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+    res = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+    for out, c in medians:
+        q = quantile_frame(df, c, [0.5], keys, method=quantile_method)
+        m = F.col("_q")[0]
+        q = q.select(*keys, (pround(m, digits) if digits is not None else m).alias(out))
+        res = res.join(q, list(keys), "left") if keys else res.crossJoin(q)
+    return res.select(*keys, *[out for out, _, _ in measures])
 
 
 def reindex_domain(df: DataFrame, key: str, values: Sequence, mode: str = "all",
@@ -275,10 +288,9 @@ def shipping_burden(orders: DataFrame, by: str = "category", fee: str = "shippin
     # exact decimal so the later means do not depend on summation order.
     rows = orders.withColumn("shipping_pct_of_subtotal",
                              pround(safe_div(F.col(fee) * 100, subtotal), 2).cast("decimal(20,2)"))
-    overall = rows.agg(pround(mean(fee), 2).alias("avg_shipping_fee"),
-                       pround(mean("shipping_pct_of_subtotal"), 2).alias("avg_shipping_pct"),
-                       pround(F.percentile(F.col("shipping_pct_of_subtotal").cast("double"), 0.5), 2)
-                       .alias("median_shipping_pct"))
+    overall = segment_profile(rows, [], [("avg_shipping_fee", "mean", fee),
+                                         ("avg_shipping_pct", "mean", "shipping_pct_of_subtotal"),
+                                         ("median_shipping_pct", "median", "shipping_pct_of_subtotal")])
     per = segment_profile(rows, [by], [
         ("avg_shipping_fee", "mean", fee), ("avg_shipping_pct", "mean", "shipping_pct_of_subtotal"),
         ("avg_subtotal", "mean", subtotal)]).orderBy(F.col("avg_shipping_pct").desc(), by)
@@ -288,9 +300,8 @@ def shipping_burden(orders: DataFrame, by: str = "category", fee: str = "shippin
 def delivery_performance(orders: DataFrame, by: str = "category", days: str = "delivery_days",
                          order_id: str = "order_id") -> tuple[DataFrame, DataFrame]:
     """Delivery days overall (mean/median/std) and per ``by`` sorted by median."""
-    overall = orders.agg(pround(mean(days), 2).alias("mean_delivery"),
-                         pround(F.percentile(F.col(days).cast("double"), 0.5), 2).alias("median_delivery"),
-                         pround(F.stddev_samp(F.col(days).cast("double")), 2).alias("std_delivery"))
+    overall = segment_profile(orders, [], [("mean_delivery", "mean", days), ("median_delivery", "median", days),
+                                           ("std_delivery", "std", days)])
     per = segment_profile(orders, [by], [
         ("avg_delivery", "mean", days), ("median_delivery", "median", days),
         ("std_delivery", "std", days), ("total_orders", "count", order_id)]
@@ -314,8 +325,10 @@ def add_quantile_bin(df: DataFrame, value: str, q: int, labels: Sequence[str], o
     Edges are one aggregate row broadcast to every task; ties at an edge stay
     in the lower bin (not equal-count like ``ntile``).
     """
+    from basketlens.operators.quantile import quantile_frame
+
     probs = [i / q for i in range(q + 1)]
-    edges = df.agg(F.percentile(F.col(value).cast("double"), probs).alias("_bl_edges"))
+    edges = quantile_frame(df, value, probs, out="_bl_edges")
     x = F.col(value).cast("double")
     e = F.col("_bl_edges")
     expr = None

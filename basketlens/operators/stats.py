@@ -147,7 +147,7 @@ def chi_square(df: DataFrame, dims: Sequence[str], outcome: str, alpha: float =
     return res
 
 
-def _value_ranks(df: DataFrame, value: str, buckets: int, weight: str | None = None) -> DataFrame:
+def _value_ranks(df: DataFrame, value: str, buckets: int | None, weight: str | None = None) -> DataFrame:
     """Average rank of each distinct value: ``(value, t, rank)``.
 
     ``weight`` names a count column when ``df`` is already collapsed.
@@ -158,7 +158,7 @@ def _value_ranks(df: DataFrame, value: str, buckets: int, weight: str | None = N
     return cum.select(value, "t", (F.col("_cum") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, first, second, buckets: int = 16,
+def mann_whitney(df: DataFrame, value: str, group: str, first, second, buckets: int | None = None,
                  alpha: float = 0.05, digits: int | None = 6) -> DataFrame:
     """Two-sided Mann-Whitney U of ``first`` vs ``second`` (H4).
 
@@ -195,7 +195,7 @@ def _norm_sf(z: Column) -> Column:
     return norm_pvalue(z) / 2
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str, buckets: int = 16, alpha: float = 0.05,
+def kruskal_wallis(df: DataFrame, value: str, group: str, buckets: int | None = None, alpha: float = 0.05,
                    digits: int | None = 6) -> DataFrame:
     """Kruskal-Wallis H over the groups of ``group`` with tie correction (H5)."""
     d = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()) \
