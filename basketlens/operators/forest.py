@@ -142,7 +142,10 @@ def fit_isolation_forest(df: DataFrame, key: str, zcols: Sequence[str], trees: i
     psi = min(max_samples, n)
     samples = _tree_samples(df, key, list(zcols), trees, psi, n, seed)
     schema = "tree int, node int, feature int, threshold double, left int, right int, size int"
+    from basketlens.session import task_parallelism
+
     forest = (samples.select("tree", "_h", *zcols)
+                     .repartition(task_parallelism(df.sparkSession), "tree")
                      .groupBy("tree").applyInPandas(lambda p: _grow(p, list(zcols), psi, seed), schema))
     return forest.toPandas(), psi
 
@@ -189,7 +192,10 @@ def isolation_forest(df: DataFrame, features: Sequence[str], key: str, contamina
         model[int(t)] = (g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(float),
                          g["left"].to_numpy(np.int64), g["right"].to_numpy(np.int64), g["size"].to_numpy(float))
     ktype = dict(z.dtypes)[key]
-    scored = z.mapInPandas(lambda it: _score_batches(it, zcols, model, psi, key),
+    from basketlens.session import task_parallelism
+
+    scored = z.repartition(task_parallelism(df.sparkSession)).mapInPandas(
+        lambda it: _score_batches(it, zcols, model, psi, key),
                            f"`{key}` {ktype}, iso_score_samples double")
     from basketlens.operators.quantile import quantile_frame
 

@@ -31,14 +31,28 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 
 def profile_row(df: DataFrame) -> DataFrame:
-    """Every per-table count in ONE aggregate: rows, non-nulls per column, empty and
-    numeric-looking values per text column, plus the duplicate count."""
+    """Every per-table count from ONE shuffle.
+
+    ``groupBy(all columns)`` yields each distinct row with its multiplicity
+    (the duplicate check needs that shuffle anyway; partial aggregation
+    collapses repeats before it). Rows, distinct rows, non-nulls per column
+    and empty / numeric-looking values per text column are then weighted
+    sums over the distinct rows. Grouping treats NULLs, NaN and -0.0 like
+    ``distinct`` does.
+    """
     cols, strings = df.columns, _strings(df)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(cols)]
-    aggs += [F.count(F.when(F.col(f"`{c}`") == "", 1)).alias(f"_e{j}") for j, c in enumerate(strings)]
-    aggs += [F.count(numeric_text(F.col(f"`{c}`"))).alias(f"_k{j}") for j, c in enumerate(strings)]
-    return df.agg(*aggs).crossJoin(duplicate_count(df))
+    m = F.col("_bl_m")
+    g = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_bl_m"))
+
+    def wsum(cond):
+        return F.coalesce(F.sum(F.when(cond, m)), F.lit(0)).cast("bigint")
+
+    aggs = [F.sum(m).cast("bigint").alias("_n"), F.count(F.lit(1)).alias("_d")]
+    aggs += [wsum(F.col(f"`{c}`").isNotNull()).alias(f"_c{i}") for i, c in enumerate(cols)]
+    aggs += [wsum(F.col(f"`{c}`") == "").alias(f"_e{j}") for j, c in enumerate(strings)]
+    aggs += [wsum(numeric_text(F.col(f"`{c}`")).isNotNull()).alias(f"_k{j}") for j, c in enumerate(strings)]
+    row = g.agg(*aggs)
+    return row.select("*", (F.coalesce(F.col("_n"), F.lit(0)) - F.col("_d")).alias("duplicates")).fillna(0, ["_n"])
 
 
 def table_quality(df: DataFrame, table: str, row: DataFrame | None = None) -> DataFrame:

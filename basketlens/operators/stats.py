@@ -232,43 +232,74 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _poisson1_cdf() -> np.ndarray:
-    k = np.arange(0, 30)
+def _poisson1_thresholds() -> np.ndarray:
+    """Poisson(1) CDF scaled to 32-bit integers: ``searchsorted`` on raw hash bits."""
+    k = np.arange(0, 20)
     pmf = np.exp(-1.0) / np.array([math.factorial(int(i)) for i in k], dtype=float)
-    return np.cumsum(pmf)
+    return np.minimum(np.cumsum(pmf) * float(1 << 32), float((1 << 32) - 1)).astype(np.uint32)
+
+
+_C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+
+
+def _fmix32_inplace(h: np.ndarray, tmp: np.ndarray) -> None:
+    """murmur3 32-bit finaliser, in place (SIMD-friendly 32-bit multiplies)."""
+    for shift, mult in ((16, _C1), (13, _C2), (16, None)):
+        np.right_shift(h, np.uint32(shift), out=tmp)
+        h ^= tmp
+        if mult is not None:
+            h *= mult
 
 
 def _boot_sums(batches, by: str, key: str, x: str, y: str, reps: int, seed: int, chunk: int):
-    """Per batch: Poisson(1) weights per (row, rep) from a hash of (seed, rep, key),
-    reduced at once to 6 weighted sums per (group, rep). Rows are never exploded."""
-    cdf = _poisson1_cdf()
+    """Per partition: Poisson(1) weights per (row, rep) from a hash of (seed, rep, key),
+    reduced at once to 6 weighted sums per (group, rep). Rows are never exploded.
+
+    The row hash and the replicate hash are computed once each; a (row, rep)
+    weight costs one in-place mix and one integer search. Rows are sorted by
+    group so each group's weights are a contiguous slice for the matrix
+    product; chunks of replicates keep the working set near ``chunk`` weights.
+    """
+    thr = _poisson1_thresholds()
+    parts = [b for b in batches if not b.empty]
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
     with np.errstate(over="ignore"):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy().astype(np.int64).astype(np.uint64)
-            xv, yv = pdf[x].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
-            feats = np.stack([np.ones_like(xv), xv, yv, xv * xv, yv * yv, xv * yv], axis=1)
-            codes, uniq = pd.factorize(pdf[by], sort=False)
-            base = _mix(keys * _G + np.uint64(seed))
-            out = []
-            for r0 in range(0, reps, chunk):
-                rs = np.arange(r0, min(reps, r0 + chunk), dtype=np.uint64)
-                h = _mix(base[None, :] ^ _mix(rs[:, None] + _G))
-                u = (h >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
-                w = np.searchsorted(cdf, u, side="right").astype(np.float64)
-                for gi, gval in enumerate(uniq):
-                    cols = codes == gi
-                    s = w[:, cols] @ feats[cols]
-                    out.append(pd.DataFrame({by: gval, "rep": rs.astype(np.int64),
-                                             "s0": s[:, 0], "sx": s[:, 1], "sy": s[:, 2],
-                                             "sxx": s[:, 3], "syy": s[:, 4], "sxy": s[:, 5]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+        rep_h = (_mix(np.arange(reps, dtype=np.uint64) * _M1 + _mix(np.uint64(seed) + _G))
+                 & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        codes, uniq = pd.factorize(pdf[by], sort=False)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        keys = pdf[key].to_numpy().astype(np.int64).astype(np.uint64)[order]
+        xv = pdf[x].to_numpy(dtype=float)[order]
+        yv = pdf[y].to_numpy(dtype=float)[order]
+        feats = np.stack([np.ones_like(xv), xv, yv, xv * xv, yv * yv, xv * yv], axis=1)
+        bounds = np.searchsorted(codes, np.arange(len(uniq) + 1))
+        base = (_mix(keys * _G + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)
+        m = len(keys)
+        step = max(1, min(reps, chunk // max(m, 1)))
+        sums = np.zeros((len(uniq), reps, 6))
+        h = np.empty((step, m), dtype=np.uint32)
+        tmp = np.empty_like(h)
+        for r0 in range(0, reps, step):
+            r1 = min(reps, r0 + step)
+            hv, tv = h[: r1 - r0], tmp[: r1 - r0]
+            np.bitwise_xor(base[None, :], rep_h[r0:r1, None], out=hv)
+            _fmix32_inplace(hv, tv)
+            w = np.searchsorted(thr, hv.ravel(), side="right").reshape(hv.shape).astype(np.float64)
+            for gi in range(len(uniq)):
+                a, b = bounds[gi], bounds[gi + 1]
+                sums[gi, r0:r1] = w[:, a:b] @ feats[a:b]
+    flat = sums.reshape(-1, 6)
+    yield pd.DataFrame({by: np.repeat(np.asarray(uniq, dtype=object), reps),
+                        "rep": np.tile(np.arange(reps, dtype=np.int64), len(uniq)),
+                        "s0": flat[:, 0], "sx": flat[:, 1], "sy": flat[:, 2],
+                        "sxx": flat[:, 3], "syy": flat[:, 4], "sxy": flat[:, 5]})
 
 
 def bootstrap_corr_ci(df: DataFrame, x: str, y: str, by: str, key: str, reps: int = 10000,
-                      level: float = 0.95, seed: int = 42, chunk: int = 256) -> DataFrame:
+                      level: float = 0.95, seed: int = 42, chunk: int = 1 << 21) -> DataFrame:
     """Bootstrap percentile CI of Pearson r per group (H7), Poisson bootstrap.
 
     Each row gets a Poisson(1) multiplicity per replicate from a hash of
@@ -280,8 +311,12 @@ def bootstrap_corr_ci(df: DataFrame, x: str, y: str, by: str, key: str, reps: in
     """
     src = df.select(by, key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)) \
             .filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(by).isNotNull())
+    from basketlens.session import task_parallelism
+
     gtype = dict(src.dtypes)[by]
     schema = f"`{by}` {gtype}, rep bigint, s0 double, sx double, sy double, sxx double, syy double, sxy double"
+    # rows x reps of vectorised work: spread the rows over every core.
+    src = src.repartition(task_parallelism(src.sparkSession))
     partial = src.mapInPandas(lambda it: _boot_sums(it, by, key, x, y, reps, seed, chunk), schema)
     sums = partial.groupBy(by, "rep").agg(*[F.sum(c).alias(c) for c in ("s0", "sx", "sy", "sxx", "syy", "sxy")])
     num = F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")

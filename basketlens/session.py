@@ -53,3 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def task_parallelism(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy Python stages: at least one per core.
+
+    Used with an explicit ``repartition(n)``, which AQE does not coalesce, so
+    vectorised Python work is spread over every core instead of the one or
+    two tasks a small aggregated input would otherwise be coalesced into.
+    """
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(spark.sparkContext.defaultParallelism, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
