@@ -522,3 +522,86 @@ def s11_snapshot_history(spark, base):
     append_snapshot(ltv.snapshot_rows(ltv.ltv_pipeline(c, "2001-08-02"), "2001-08-02"), out)
     append_snapshot(ltv.snapshot_rows(ltv.ltv_pipeline(c, "2002-08-02"), "2002-08-02"), out)
     return read_snapshot_history(spark, out, since="2001-01-01")
+
+
+# ------------------------------------------------------------------ ingestion and stage pipelines
+
+@register("s1_ingest_tables")
+def s1_ingest_tables(spark, base):
+    """Raw CSV (written from the driver tables) -> declared schema -> Parquet, with row counts."""
+    from pyspark.sql import types as T
+
+    raw = _scratch(spark)
+    for t in ("customer", "orders"):
+        tables.load_table(spark, t, base).write.option("header", True).csv(f"{raw}/{t}.csv")
+    schemas = {
+        "customer": T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
+                                  T.StructField("c_nationkey", T.IntegerType()),
+                                  T.StructField("c_acctbal", T.DoubleType()),
+                                  T.StructField("c_mktsegment", T.StringType())]),
+        "orders": T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+                                T.StructField("o_orderstatus", T.StringType()),
+                                T.StructField("o_totalprice", T.DoubleType()),
+                                T.StructField("o_orderdate", T.TimestampNTZType()),
+                                T.StructField("o_orderpriority", T.StringType())]),
+        "supplier": T.StructType([T.StructField("s_suppkey", T.LongType())]),  # absent input: reported
+    }
+    return tables.ingest_tables(spark, raw, _scratch(spark), schemas)
+
+
+def _stage(spark, base, name):
+    from basketlens.plans import reports
+
+    stages = {
+        "products": lambda: reports.product_analysis(retail.products(spark, base), "PROMO", reps=2000),
+        "customers": lambda: reports.customer_analysis(retail.customers(spark, base), cohort_floor=1997,
+                                                       country="NATION_1"),
+        "customers_extended": lambda: reports.customer_analysis_extended(retail.customers(spark, base)),
+        "orders": lambda: reports.order_analysis(retail.lines(spark, base, with_repeat=True)),
+        "ltv": lambda: reports.ltv_analysis(retail.customers(spark, base), AS_OF),
+        "anomaly": lambda: reports.anomaly_reports(retail.lines(spark, base), retail.customer_attributes(spark, base)),
+        "validate": lambda: {"checks": reports.validation(_quality_tables(spark, base), RELATIONS)},
+    }
+    return stages if name is None else {name: stages[name]}
+
+
+@register("g2_product_analysis")
+def g2_product_analysis(spark, base):
+    from basketlens.plans.reports import run_pipeline
+    return run_pipeline(spark, _stage(spark, base, "products"))
+
+
+@register("g3_customer_analysis")
+def g3_customer_analysis(spark, base):
+    from basketlens.plans.reports import run_pipeline
+    return run_pipeline(spark, _stage(spark, base, "customers"))
+
+
+@register("g4_customer_analysis_extended")
+def g4_customer_analysis_extended(spark, base):
+    from basketlens.plans.reports import run_pipeline
+    return run_pipeline(spark, _stage(spark, base, "customers_extended"))
+
+
+@register("g5_order_analysis")
+def g5_order_analysis(spark, base):
+    from basketlens.plans.reports import run_pipeline
+    return run_pipeline(spark, _stage(spark, base, "orders"))
+
+
+@register("g6_run_pipeline")
+def g6_run_pipeline(spark, base):
+    """Stage selection: LTV, validation and exports run; the heavy stages are skipped here
+    (each has its own g2-g5 / r6 query)."""
+    from basketlens.plans.reports import run_pipeline
+
+    out = _scratch(spark)
+    stages = _stage(spark, base, None)
+
+    def write(name, df):
+        path = f"{out}/{name.replace('.', '/')}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).count()
+
+    return run_pipeline(spark, stages, skip=["products", "customers", "customers_extended", "orders", "anomaly"],
+                        action=write)
