@@ -76,7 +76,7 @@ def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple
         q = quantile_frame(df, c, [0.5], keys, method=quantile_method)
         m = F.col("_q")[0]
         q = q.select(*keys, (pround(m, digits) if digits is not None else m).alias(out))
-        res = res.join(q, list(keys), "left") if keys else res.crossJoin(q)
+        res = res.join(q, list(keys), "left") if keys else res.crossJoin(F.broadcast(q))
     return res.select(*keys, *[out for out, _, _ in measures])
 
 
@@ -96,14 +96,19 @@ def reindex_domain(df: DataFrame, key: str, values: Sequence, mode: str = "all",
 
 
 def dense_grid(df: DataFrame, domains: dict[str, Sequence], fill: dict[str, float]) -> DataFrame:
-    """Zero-filled cross product of literal domains left-joined to ``df`` (P9 grid)."""
+    """Zero-filled grid of literal domains left-joined to ``df`` (P9 dense grid).
+
+    The grid is generated from literal arrays (``inline`` of structs), so it
+    is a constant relation whose size is the product of the domain sizes.
+    """
     spark = df.sparkSession
-    grid = None
-    for k, vals in domains.items():
-        d = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], f"{k} string, {k}_ord int")
-        grid = d if grid is None else grid.crossJoin(d)
-    out = F.broadcast(grid).join(df, list(domains), "left")
-    return out.fillna(fill)
+    names = list(domains)
+    import itertools
+    combos = list(itertools.product(*[list(enumerate(domains[k])) for k in names]))
+    rows = [tuple(v for _, v in c) + tuple(i for i, _ in c) for c in combos]
+    schema = ", ".join([f"{k} string" for k in names] + [f"{k}_ord int" for k in names])
+    grid = spark.createDataFrame(rows, schema)
+    return F.broadcast(grid).join(df, names, "left").fillna(fill)
 
 
 def min_group_size(df: DataFrame, key: str, n: int) -> DataFrame:

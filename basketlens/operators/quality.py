@@ -27,7 +27,7 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     cols = list(subset) if subset else df.columns
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     d = df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("_d"))
-    return n.crossJoin(d).select((F.col("_n") - F.col("_d")).alias("duplicates"))
+    return n.crossJoin(F.broadcast(d)).select((F.col("_n") - F.col("_d")).alias("duplicates"))
 
 
 def profile_row(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def _bucketed(src: DataFrame, keys: list[str], probs: list[float], buckets: int,
                                         F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_hi"))
     n = bounds.select(*keys, "_n")
     pq = F.array(*[F.lit(q) for q in probs])
-    res = pairs.join(n, keys) if keys else pairs.crossJoin(n)
+    res = pairs.join(n, keys) if keys else pairs.crossJoin(F.broadcast(n))
     pos = (F.col("_n") - 1) * pq[F.col("qi")]
     res = res.withColumn("_qv", _interp(F.col("_lo"), F.col("_hi"), pos - F.floor(pos)))
     arr = res.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("qi", "_qv"))).alias("_s"))

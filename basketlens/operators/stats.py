@@ -210,7 +210,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, buckets: int | None =
                       F.count(F.lit(1)).alias("k"))
     n = F.col("n")
     h = (F.lit(12.0) / (n * (n + 1)) * F.col("ssum") - 3 * (n + 1)) / (1 - F.col("tie") / (n * n * n - n))
-    out = g.crossJoin(ties).select(F.lit(value).alias("value"), F.lit(group).alias("group"),
+    out = g.crossJoin(F.broadcast(ties)).select(F.lit(value).alias("value"), F.lit(group).alias("group"),
                                    n.cast("bigint").alias("n"), F.col("k"), h.alias("h"),
                                    (F.col("k") - 1).alias("dof"))
     out = out.withColumn("p", chi2_pvalue(F.col("h"), F.col("dof")))
