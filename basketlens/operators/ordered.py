@@ -4,7 +4,8 @@ A window without ``partitionBy`` plans ``Exchange SinglePartition``: every row
 goes to one task. That is fine for already-aggregated input (one row per
 product) and fatal for raw fact rows, so each operator takes ``buckets``:
 
-* ``buckets=None`` (default): one bucket per shuffle partition.
+* ``buckets=None`` (default): decided from the input files at planning time
+  (plain window up to 64 MB of input, one bucket per shuffle partition above).
 * ``buckets=1``: the plain window, for inputs known to be small.
 * ``buckets>1``: range buckets from ``percentile_approx`` (one row, broadcast),
   a bucket index found by a balanced comparison tree (codegen, no UDF),
@@ -29,8 +30,16 @@ _B = "_bl_bucket"
 
 
 def auto_buckets(df: DataFrame) -> int:
-    """Default bucket count: one per shuffle partition, so the ordered work
-    spreads over the same parallelism as the rest of the plan."""
+    """Default bucket count decided at planning time.
+
+    Inputs read from at most 64 MB of files fit one task: the plain window.
+    Anything larger (or unsized) gets one bucket per shuffle partition, so
+    the ordered work spreads over the same parallelism as the rest of the plan.
+    """
+    from basketlens.operators.sizing import is_small_input
+
+    if is_small_input(df):
+        return 1
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 

@@ -14,10 +14,11 @@ bucketed method finds the exact order statistics instead:
 5. interpolate linearly between the order statistics at floor/ceil of
    ``(n - 1) q`` (the definition of pandas, Spark and DuckDB).
 
-``method='auto'`` measures the largest per-group distinct count with
-``approx_count_distinct`` and uses Spark's ``percentile`` below
-``max_distinct`` (its per-group map then fits a task), the bucketed
-selection above it.
+``method='auto'`` decides at planning time from the input files: when the
+largest input is at most 64 MB every per-group map fits a task and Spark's
+``percentile`` is used, otherwise the bucketed selection. For materialised
+inputs (checkpoints) it measures the largest per-group distinct count with
+``approx_count_distinct`` against ``max_distinct``.
 """
 
 from __future__ import annotations
@@ -52,8 +53,13 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
     x = F.col(value).cast("double")
     src = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
     if method == "auto":
-        mx = src.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
-        method = "exact" if (mx or 0) <= max_distinct else "bucketed"
+        from basketlens.operators.sizing import is_small_input
+
+        small = is_small_input(df)
+        if small is None:  # unsized (materialised) input: measuring it is cheap
+            mx = src.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
+            small = (mx or 0) <= max_distinct
+        method = "exact" if small else "bucketed"
     if method == "exact":
         return src.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias(out))
     if method == "approx":

@@ -1,0 +1,37 @@
+"""Planning-time input size: pick single-task or distributed strategies without a job.
+
+Catalyst's estimate for joins is a product of sizes and useless for this, but
+the leaves of a plan are file scans whose sizes are known. If every leaf is a
+file or literal relation, the largest leaf bounds the work; frames with other
+leaves (checkpointed or RDD-backed data) report ``None`` and the caller falls
+back to a measured decision (cheap there: the data is already materialised).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT_BYTES = 64 << 20
+
+_SIZED = {"LogicalRelation", "LocalRelation", "Range", "OneRowRelation", "FileSourceScanPlan"}
+
+
+def largest_input_bytes(df: DataFrame) -> int | None:
+    """Size in bytes of the largest leaf of ``df``'s plan, or None if a leaf is unsized."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = []
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.getClass().getSimpleName() not in _SIZED:
+                return None
+            sizes.append(int(str(leaf.stats().sizeInBytes())))
+        return max(sizes) if sizes else 0
+    except Exception:  # noqa: BLE001 - planner internals differ across versions
+        return None
+
+
+def is_small_input(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool | None:
+    """True/False when the plan's inputs are all sized, None when unknown."""
+    b = largest_input_bytes(df)
+    return None if b is None else b <= limit
