@@ -58,13 +58,13 @@ def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple
     Medians come from ``quantile_frame`` (exact, and never a whole group in
     one task for high-cardinality values) joined on the keys.
     """
-    from basketlens.operators.quantile import quantile_frame
+    from basketlens.operators.quantile import quantile_frame, resolve_method
 
     if dropna and keys:
         df = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     exprs, medians = [], []
     for out, fn, c in measures:
-        if fn == "median":
+        if fn == "median" and resolve_method(df, c, keys, quantile_method) != "exact":
             medians.append((out, c))
             continue
         e = measure(fn, c)

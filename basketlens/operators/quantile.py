@@ -38,6 +38,24 @@ def _interp(lo: F.Column, hi: F.Column, frac: F.Column) -> F.Column:
     return lo + (hi - lo) * frac
 
 
+def resolve_method(df: DataFrame, value: str, by: Sequence[str] = (), method: str | None = None,
+                   max_distinct: int = MAX_DISTINCT) -> str:
+    """The concrete method ``quantile_frame`` would use for these arguments."""
+    if method is None or method == "auto":
+        method = df.sparkSession.conf.get("spark.basketlens.quantile.method", "auto")
+    if method != "auto":
+        return method
+    from basketlens.operators.sizing import is_small_input
+
+    small = is_small_input(df)
+    if small is None:  # unsized (materialised) input: measuring it is cheap
+        keys = list(by)
+        src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+        mx = src.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
+        small = (mx or 0) <= max_distinct
+    return "exact" if small else "bucketed"
+
+
 def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                    method: str | None = None, buckets: int = 512, accuracy: int = 100000,
                    max_distinct: int = MAX_DISTINCT, out: str = "_q") -> DataFrame:
@@ -48,18 +66,9 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
     (``auto`` when unset); ``exact``, ``bucketed`` and ``approx`` force one.
     """
     keys = list(by)
-    if method is None or method == "auto":
-        method = df.sparkSession.conf.get("spark.basketlens.quantile.method", "auto")
+    method = resolve_method(df, value, keys, method, max_distinct)
     x = F.col(value).cast("double")
     src = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
-    if method == "auto":
-        from basketlens.operators.sizing import is_small_input
-
-        small = is_small_input(df)
-        if small is None:  # unsized (materialised) input: measuring it is cheap
-            mx = src.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
-            small = (mx or 0) <= max_distinct
-        method = "exact" if small else "bucketed"
     if method == "exact":
         return src.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias(out))
     if method == "approx":
