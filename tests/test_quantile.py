@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from basketlens.operators.quantile import quantile_frame
@@ -29,3 +30,15 @@ def test_bucketed_global(spark):
     q = quantile_frame(df, "v", [0.5, 0.9], method="bucketed", buckets=16).first()._q
     vals = np.arange(0, 10001) % 997
     assert q == pytest.approx(list(np.percentile(vals, [50, 90])), abs=1e-9)
+
+
+def test_sizing_from_input_files(spark, tmp_path):
+    from basketlens.operators.sizing import is_small_input, largest_input_bytes
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 1000).write.parquet(path)
+    df = spark.read.parquet(path)
+    joined = df.join(spark.read.parquet(path).withColumnRenamed("id", "k"), F.col("id") == F.col("k"))
+    assert 0 < largest_input_bytes(joined) < (1 << 20) and is_small_input(joined) is True
+    assert is_small_input(joined, limit=10) is False
+    assert largest_input_bytes(df.checkpoint(eager=True)) is None  # materialised: measured instead
