@@ -45,35 +45,6 @@ JOIN (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS first_order_date
       FROM orders GROUP BY o_custkey) f ON o.o_custkey = f.o_custkey
 """
 
-VIEWS["v_orders"] = """
-SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id,
-       CAST(o.o_orderdate AS DATE) AS order_date,
-       year(CAST(o.o_orderdate AS DATE)) AS year,
-       month(CAST(o.o_orderdate AS DATE)) AS month,
-       quarter(CAST(o.o_orderdate AS DATE)) AS quarter,
-       dayname(CAST(o.o_orderdate AS DATE)) AS day_of_week,
-       o.o_orderpriority AS payment_method, o.o_orderstatus AS device_used,
-       CAST(o.o_totalprice AS DECIMAL(12,2)) AS total_amount_usd,
-       a.subtotal_usd, a.shipping_fee_usd, a.discount_pct, a.delivery_days,
-       a.customer_rating, a.session_duration_minutes, a.pages_viewed_before_purchase,
-       coalesce(a.returned_line_majority, 0) AS returned,
-       CASE WHEN CAST(o.o_orderdate AS DATE) > f.first_order_date THEN 1 ELSE 0 END AS is_repeat_customer
-FROM orders o
-LEFT JOIN (
-    SELECT order_id,
-           sum(subtotal_usd) AS subtotal_usd,
-           sum(shipping_fee_usd) AS shipping_fee_usd,
-           CAST(sum(discount_pct) AS DOUBLE) / count(discount_pct) AS discount_pct,
-           max(delivery_days) AS delivery_days,
-           CAST(sum(customer_rating) AS DOUBLE) / count(customer_rating) AS customer_rating,
-           CAST(sum(quantity) AS DOUBLE) / 2 AS session_duration_minutes,
-           count(*) AS pages_viewed_before_purchase,
-           CASE WHEN 2 * sum(returned) > count(*) THEN 1 ELSE 0 END AS returned_line_majority
-    FROM v_lines GROUP BY order_id) a ON o.o_orderkey = a.order_id
-JOIN (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS first_order_date
-      FROM orders GROUP BY o_custkey) f ON o.o_custkey = f.o_custkey
-"""
-
 VIEWS["v_products"] = """
 SELECT product_id, product_name, category,
        count(*) AS total_orders,
@@ -127,7 +98,7 @@ LEFT JOIN (SELECT customer_id, category AS preferred_category FROM (
            WHERE rk = 1) pf ON c.c_custkey = pf.customer_id
 """
 
-_ORDER = ["v_lines", "v_orders", "v_products", "v_customers"]
+_ORDER = ["v_lines", "v_products", "v_customers"]
 
 
 def with_views(body: str) -> str:

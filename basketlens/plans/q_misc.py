@@ -378,10 +378,11 @@ def v1_histogram_return_rate(spark, base):
 
 @register("v1_histogram_markers", f"""
 WITH {_PROFILE}
-SELECT {mean('return_rate')} AS mean, quantile_cont(return_rate, 0.75) AS p75, quantile_cont(return_rate, 0.9) AS p90,
-       quantile_cont(return_rate, 0.95) AS p95 FROM feat""")
+SELECT {rnd(mean('return_rate'), 6)} AS mean, {rnd('quantile_cont(return_rate, 0.75)', 6)} AS p75,
+       {rnd('quantile_cont(return_rate, 0.9)', 6)} AS p90, {rnd('quantile_cont(return_rate, 0.95)', 6)} AS p95 FROM feat""")
 def v1_histogram_markers(spark, base):
-    return charts.markers(_features(spark, base), "return_rate")
+    m = charts.markers(_features(spark, base), "return_rate")
+    return m.select(*[pround(c, 6).alias(c) for c in m.columns])
 
 
 def _conv_dec(spark, base):

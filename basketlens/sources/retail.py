@@ -1,7 +1,7 @@
 """Retail views over the TPC-H-style tables.
 
 The operators are generic over column names; these views give them a retail
-schema (transactions, orders, products, customers) derived from the driver
+schema (transactions, products, customers) derived from the driver
 tables, so every query reads the real tables and grows with them. The same
 definitions exist as SQL text in ``basketlens.plans.oracle`` for the DuckDB
 cross-check; both must stay expression-for-expression identical.
@@ -92,39 +92,6 @@ def lines(spark: SparkSession, base: str, with_repeat: bool = False) -> DataFram
                       *extra))
 
 
-def orders(spark: SparkSession, base: str) -> DataFrame:
-    """Order grain: one row per order with line rollups and repeat flag."""
-    o = _t(spark, base, "orders")
-    li = lines(spark, base)
-    per_order = li.groupBy("order_id").agg(
-        F.sum("subtotal_usd").alias("subtotal_usd"),
-        F.sum("shipping_fee_usd").alias("shipping_fee_usd"),
-        (F.sum("discount_pct").cast("double") / F.count("discount_pct")).alias("discount_pct"),
-        F.max("delivery_days").alias("delivery_days"),
-        (F.sum("customer_rating").cast("double") / F.count("customer_rating")).alias("customer_rating"),
-        (F.sum("quantity").cast("double") / 2).alias("session_duration_minutes"),
-        F.count(F.lit(1)).alias("pages_viewed_before_purchase"),
-        F.when(2 * F.sum("returned") > F.count(F.lit(1)), 1).otherwise(0).alias("returned_line_majority"))
-    first = (o.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("first_order_date")))
-    odate = F.to_date("o_orderdate")
-    return (o.join(per_order, o.o_orderkey == per_order.order_id, "left")
-              .join(first, "o_custkey")
-              .select(F.col("o_orderkey").alias("order_id"),
-                      F.col("o_custkey").alias("customer_id"),
-                      odate.alias("order_date"),
-                      F.year(odate).alias("year"),
-                      F.month(odate).alias("month"),
-                      F.quarter(odate).alias("quarter"),
-                      F.date_format(odate, "EEEE").alias("day_of_week"),
-                      F.col("o_orderpriority").alias("payment_method"),
-                      F.col("o_orderstatus").alias("device_used"),
-                      F.col("o_totalprice").cast(ORDER_MONEY).alias("total_amount_usd"),
-                      "subtotal_usd", "shipping_fee_usd", "discount_pct", "delivery_days",
-                      "customer_rating", "session_duration_minutes", "pages_viewed_before_purchase",
-                      F.coalesce("returned_line_majority", F.lit(0)).alias("returned"),
-                      F.when(odate > F.col("first_order_date"), 1).otherwise(0).alias("is_repeat_customer")))
-
-
 def products(spark: SparkSession, base: str) -> DataFrame:
     """Product summary: one row per part with sales rollups."""
     li = lines(spark, base)
