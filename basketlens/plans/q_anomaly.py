@@ -255,3 +255,32 @@ def v4_box_summary_flagged_vs_clean(spark, base):
 def v6_method_agreement(spark, base):
     df, _ = _full(spark, base)
     return charts.method_agreement(df)
+
+
+_BOX = ["return_rate", "avg_order_value", "order_velocity", "avg_discount_pct"]
+
+
+def _box_sql() -> str:
+    long = " UNION ALL ".join(
+        f"SELECT CAST(rule_flagged AS VARCHAR) AS grp, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM rf"
+        for m in _BOX)
+    return f"""
+WITH {_PROFILE}, {_BASE}, {_THR}, {_RULE_SQL},
+rf AS (SELECT feat.*, rc.rule_flag_count > 0 AS rule_flagged FROM feat JOIN rc USING (customer_id)),
+l AS (SELECT * FROM ({long}) WHERE value IS NOT NULL),
+q AS (SELECT grp, metric, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS qs FROM l GROUP BY grp, metric),
+f AS (SELECT *, qs[1] - 1.5 * (qs[3] - qs[1]) AS lo, qs[3] + 1.5 * (qs[3] - qs[1]) AS hi FROM q)
+SELECT f.grp AS "group", f.metric, f.n, {rnd('f.qs[1]', 6)} AS q1, {rnd('f.qs[2]', 6)} AS median, {rnd('f.qs[3]', 6)} AS q3,
+       min(CASE WHEN l.value >= f.lo AND l.value <= f.hi THEN l.value END) AS whisker_low,
+       max(CASE WHEN l.value >= f.lo AND l.value <= f.hi THEN l.value END) AS whisker_high,
+       count(CASE WHEN NOT (l.value >= f.lo AND l.value <= f.hi) THEN 1 END) AS outliers
+FROM f JOIN l ON f.grp = l.grp AND f.metric = l.metric
+GROUP BY f.grp, f.metric, f.n, f.qs"""
+
+
+@register("v4_box_summary_rule_flagged", _box_sql())
+def v4_box_summary_rule_flagged(spark, base):
+    df = _rules(spark, base).withColumn("group", F.col("rule_flagged").cast("string"))
+    b = charts.box_summary(df, _BOX, "group")
+    return b.select("group", "metric", "n", *[pround(c, 6).alias(c) for c in ("q1", "median", "q3")],
+                    "whisker_low", "whisker_high", "outliers")
