@@ -33,3 +33,15 @@ def test_abc_inclusive_cuts(spark):
     assert got == {1: "A", 2: "B", 3: "C", 4: "C"}
     got = dict(ordered.abc_classification(df, "v", "k", buckets=4).select("k", "abc_class").collect())
     assert got == {1: "A", 2: "B", 3: "C", 4: "C"}
+
+
+def test_reports_stay_jvm_side(spark):
+    """SURVEY 5.2: no Python UDF in the profile / ordered / derived-metric plans."""
+    import __spark_entry__ as entry
+
+    base = "/root/testdata/sf0.001"
+    for name in ("a1_profile_overview", "a3_membership_tier_profile", "a9_temporal_day_of_week",
+                 "a18_return_rate_by", "d2_abc_viability_matrix", "d8_ltv_pipeline", "r2_rule_flags",
+                 "d9_anomaly_features", "a21_table_quality"):
+        plan = entry.queries()[name](spark, base)._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "PythonUDF" not in plan, name
