@@ -46,6 +46,23 @@ def mean(c: str | Column) -> Column:
     return F.try_divide(F.sum(col(c)).cast("double"), F.count(col(c)).cast("double"))
 
 
+MICRO_SUFFIX = "_micro"
+
+
+def micro_sum(micro: str | Column) -> Column:
+    """Exact sum of an integer micro-unit column as the decimal value (scale 6).
+
+    Summing longs stays on Spark's primitive path (a decimal(28,6) sum buffer
+    goes through BigDecimal per row); the one conversion per group is exact.
+    """
+    return F.sum(col(micro)).cast("decimal(38,0)") / F.lit(1000000)
+
+
+def micro_mean(micro: str | Column) -> Column:
+    """``mean`` of the value behind an integer micro-unit column (sum / count)."""
+    return F.try_divide(micro_sum(micro).cast("double"), F.count(col(micro)).cast("double"))
+
+
 def total(c: str | Column) -> Column:
     """Sum of non-null values with pandas semantics: empty -> 0."""
     return F.coalesce(F.sum(col(c)).cast("double"), F.lit(0.0))

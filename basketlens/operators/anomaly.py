@@ -43,14 +43,21 @@ def customer_order_profile(orders: DataFrame, customers: DataFrame, customer: st
     Aggregate first, then inner-join the customer attributes (they depend
     functionally on the key, N15), so the join sees one row per customer.
     """
+    from basketlens.functions.core import MICRO_SUFFIX, micro_mean, micro_sum
+
     ret = F.col("returned") == 1
     amt = F.col(amount)
+    if f"{amount}{MICRO_SUFFIX}" in orders.columns:  # exact integer twin: long sums
+        mic = F.col(f"{amount}{MICRO_SUFFIX}")
+        avg_v, sum_v, ret_v = micro_mean(mic), micro_sum(mic), micro_mean(F.when(ret, mic))
+    else:
+        avg_v, sum_v, ret_v = mean(amt), F.sum(amt), mean(F.when(ret, amt))
     prof = orders.groupBy(customer).agg(
         F.count("order_id").alias("total_orders"),
         F.sum(F.when(ret, 1).otherwise(0)).alias("total_returns"),
-        pround(mean(amt), 2).alias("avg_order_value"),
-        pround(F.sum(amt), 2).alias("total_spend"),
-        pround(mean(F.when(ret, amt)), 2).alias("avg_returned_value"),
+        pround(avg_v, 2).alias("avg_order_value"),
+        pround(sum_v, 2).alias("total_spend"),
+        pround(ret_v, 2).alias("avg_returned_value"),
         pround(mean("discount_pct"), 2).alias("avg_discount_pct"),
         F.count_distinct("payment_method").alias("payment_methods_used"),
         F.count_distinct("device_used").alias("devices_used"),

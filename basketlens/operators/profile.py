@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.core import bin_expr, mean, pround, recode, safe_div, total
+from basketlens.functions.core import MICRO_SUFFIX, bin_expr, mean, micro_mean, micro_sum, pround, recode, safe_div, total
 
 # The reference's age bins (right-closed) and labels.
 AGE_EDGES = [17, 24, 31, 38, 45, 52, 59, 100]
@@ -67,7 +67,11 @@ def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple
         if fn == "median" and resolve_method(df, c, keys, quantile_method) != "exact":
             medians.append((out, c))
             continue
-        e = measure(fn, c)
+        micro = f"{c}{MICRO_SUFFIX}" if isinstance(c, str) else None
+        if fn in ("sum", "mean") and micro in df.columns:  # exact integer twin: long sums
+            e = F.coalesce(micro_sum(micro).cast("double"), F.lit(0.0)) if fn == "sum" else micro_mean(micro)
+        else:
+            e = measure(fn, c)
         if digits is not None and fn not in ("size", "count", "nunique", "min", "max"):
             e = pround(e, digits)
         exprs.append(e.alias(out))

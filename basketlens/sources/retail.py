@@ -83,6 +83,10 @@ def lines(spark: SparkSession, base: str, with_repeat: bool = False) -> DataFram
                       (disc * 100).alias("discount_pct"),
                       (sub * tax).alias("shipping_fee_usd"),
                       (sub * (1 - disc) * (1 + tax)).alias("total_amount_usd"),
+                      # The same amount as exact integer millionths: sums stay on long arithmetic.
+                      (F.rint(F.col("l_extendedprice") * 100).cast("long")
+                       * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
+                       * (100 + F.rint(F.col("l_tax") * 100).cast("long"))).alias("total_amount_usd_micro"),
                       F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
                       F.col("l_linestatus").alias("line_status"),
                       (F.abs(F.datediff(F.to_date("l_shipdate"), odate)) % 30).alias("delivery_days"),
@@ -96,9 +100,11 @@ def products(spark: SparkSession, base: str) -> DataFrame:
     """Product summary: one row per part with sales rollups."""
     li = lines(spark, base)
     n = F.count(F.lit(1))
+    from basketlens.functions.core import micro_sum
+
     return li.groupBy("product_id", "product_name", "category").agg(
         n.alias("total_orders"),
-        F.sum("total_amount_usd").alias("total_revenue_usd"),
+        micro_sum("total_amount_usd_micro").alias("total_revenue_usd"),
         (F.sum("customer_rating").cast("double") / n).alias("avg_rating"),
         (F.sum("returned").cast("double") * 100 / n).alias("return_rate"),
         (F.sum("delivery_days").cast("double") / n).alias("avg_delivery_days"),
