@@ -66,22 +66,23 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("connected components did not settle")
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, out: str) -> DataFrame:
-    """Sum of ``value`` over the rows before each row of its group, without a task per group.
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, out: str, xor: bool = False) -> DataFrame:
+    """Sum (or XOR) of ``value`` over the rows before each row of its group, without a task per group.
 
     ``bucket`` is an ordinal column that agrees with ``order`` and splits the
     group; totals per bucket (one row each) give the offsets, and the row
     window runs inside a bucket.
     """
+    total = F.bit_xor if xor else F.sum
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*group, bucket).agg(total(value).alias("__sum"))
+    before = Window.partitionBy(*group).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(g).alias(f"__{g}") for g in [*group, bucket]],
-                       F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+                       F.coalesce(total("__sum").over(before), F.lit(0)).alias("__before"))
     cond = None
     for g in [*group, bucket]:
         c = F.col(g).eqNullSafe(F.col(f"__{g}"))
         cond = c if cond is None else cond & c
-    own = df.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return (own.join(sums, cond).withColumn(out, F.col("__before") + F.col("__own"))
-            .drop("__before", "__own", *[f"__{g}" for g in [*group, bucket]]))
+    own = df.withColumn("__own", F.coalesce(total(value).over(inside), F.lit(0)))
+    both = F.col("__before").bitwiseXOR(F.col("__own")) if xor else F.col("__before") + F.col("__own")
+    return own.join(sums, cond).withColumn(out, both).drop("__before", "__own", *[f"__{g}" for g in [*group, bucket]])

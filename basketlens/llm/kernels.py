@@ -143,27 +143,39 @@ def ragged_take(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
 
 
 class PieceCache:
-    """Token ids of distinct text pieces, encoded once per worker process (bounded; cleared when full)."""
+    """Token ids of distinct text pieces, encoded once per worker process (bounded; cleared when full).
 
-    def __init__(self, encode_many, limit: int = 400_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    ``encode_many(data, start, end)`` gives (ids of all spans, ids per span).
+    """
+
+    def __init__(self, encode_many, limit: int = 1_000_000):
+        self.encode_many, self.limit = encode_many, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each piece)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        key, at, inv = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        if len(self.known) + len(keys) > self.limit:
-            self.known = {}
-        known = self.known
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        if missing:
-            where = at[missing]
-            pieces = [data[a:b].tobytes() for a, b in zip(start[where].tolist(), end[where].tolist())]
-            for i, ids in zip(missing, self.encode_many(pieces)):
-                known[keys[i]] = np.asarray(ids, np.uint32).tobytes()
-        values = [known[k] for k in keys]
-        length = np.fromiter((len(v) for v in values), np.int64, len(values)) // 4
-        flat = np.frombuffer(b"".join(values), np.uint32)
-        return ragged_take(flat, (np.cumsum(length) - length)[inv], length[inv]), length[inv]
+        key, first, inv = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.key) + len(key) > self.limit:
+            self.clear()
+        where = np.searchsorted(self.key, key)
+        new = np.ones(len(key), bool)
+        if len(self.key):
+            new = self.key[np.minimum(where, len(self.key) - 1)] != key
+        if new.any():
+            ids, n = self.encode_many(data, start[first[new]], end[first[new]])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.key = np.insert(self.key, where[new], key[new])
+            self.at = np.insert(self.at, where[new], self.used + np.cumsum(n) - n)
+            self.n = np.insert(self.n, where[new], n.astype(np.int32))
+            self.used += len(ids)
+            where = np.searchsorted(self.key, key)
+        length = self.n[where].astype(np.int64)[inv]
+        return ragged_take(self.flat, self.at[where][inv], length), length

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe_automaton, curriculum, jaccard_join, quality_bands, secret_index
-from basketlens.llm.common import read
+from basketlens.llm import (bpe_automaton, chat_collapse, curriculum, jaccard_join, language_id, quality_bands,
+                            secret_index, spotsigs, wavelet)
+from basketlens.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.score(read(spark, sf_dir, "documents"))
 
 
+@register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.fuse(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 @register
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_index.report(read(spark, sf_dir, "documents"))
@@ -40,6 +46,33 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position", "position_2").orderBy("position", "doc_id")
 
 
+@register
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@register
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "wavelet-shards")
+    wavelet.write_shards(read(spark, sf_dir, "documents"), out, word_bpe_path())
+    r = wavelet.read_shards(spark, out)
+    return r.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op9_chat_collapse"] = chat_collapse.SQL
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
