@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import (bpe_automaton, chat_collapse, curriculum, jaccard_join, language_id, quality_bands,
-                            secret_index, spotsigs, wavelet)
+from basketlens.llm import (bpe_automaton, chat_collapse, curriculum, jaccard_join, language_id, lattice_lm,
+                            quality_bands, secret_index, spotsigs, wavelet)
 from basketlens.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,17 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position", "position_2").orderBy("position", "doc_id")
 
 
+@register
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(read(spark, sf_dir, "documents"), piece_path())
+
+
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @register
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
