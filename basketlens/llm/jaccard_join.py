@@ -33,13 +33,15 @@ the component is the smallest non-NULL id. Repeated rows link with each other.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import kernels as K
-from basketlens.llm.common import components, null_safe, partitions, saved
+from basketlens.llm.common import components, partitions, saved, shared_path
 
 WORDS = 5
 THRESHOLD_PCT = 75
@@ -245,9 +247,15 @@ def _overlaps(batches):
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links among ``pairs(a, b)`` by the exact overlap of their whole rows."""
-    left = rows.select(F.col("sig").alias("a"), F.col("row").alias("ra"))
-    right = rows.select(F.col("sig").alias("b"), F.col("row").alias("rb"))
+    """Links among ``pairs(a, b)`` by the exact overlap of their whole rows.
+
+    The row table is bucketed, so only rows that take part are shuffled; both
+    joins are plain shuffle joins whose hot keys the engine can split.
+    """
+    part = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    own = rows.join(part, "sig", "left_semi")
+    left = own.select(F.col("sig").alias("a"), F.col("row").alias("ra"))
+    right = own.select(F.col("sig").alias("b"), F.col("row").alias("rb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_overlaps, "a long, b long").distinct()
 
 
@@ -257,13 +265,19 @@ def _whole_rows(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) ->
     src = src.join(reps.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches):
+        seen = set()  # rows that repeat an id stand in one partition
         for b in batches:
             for s in K.batch_slices(b, "t"):
-                sets = [x for x in shingle_sets(s.column("t")) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([_signed(signature(x)[0]) for x in sets], pa.int64()),
-                                                  pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "row"])
+                sig, row = [], []
+                for x in shingle_sets(s.column("t")):
+                    own = signature(x)[0]
+                    if len(x) and own not in seen:
+                        seen.add(own)
+                        sig.append(_signed(own))
+                        row.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(row, pa.binary())], names=["sig", "row"])
 
-    return src.mapInArrow(run, "sig long, row binary").dropDuplicates(["sig"])
+    return src.mapInArrow(run, "sig long, row binary")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -292,7 +306,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = first.select(F.col("a").alias("sig")).unionByName(
         first.where("gram is null").select(F.col("b").alias("sig"))).distinct()
     classes = per_doc.where("n > 0").groupBy(F.col("s1").alias("sig")).agg(F.min("id").alias("rep"))
-    rows = saved(_whole_rows(docs, classes.join(wanted, "sig", "left_semi"), id_col, text_col), "rows")
+    table = f"shingle_rows_{uuid.uuid4().hex}"
+    (_whole_rows(docs, classes.join(wanted, "sig", "left_semi"), id_col, text_col).repartition(n_parts, "sig")
+     .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
+    rows = spark.table(table)
 
     links = saved(_verified(pairs, rows), "links")
     labels = _labels(links)
@@ -322,6 +339,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             links = links.unionByName(more)
             labels = _labels(links)
 
+    spark.sql(f"DROP TABLE {table}")
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
         "id", "n", "s1", "s2", F.coalesce("root", "s1").alias("root"))
     lowest = members.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
