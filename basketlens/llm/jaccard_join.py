@@ -262,7 +262,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _whole_rows(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sig, row): the whole shingle rows of the classes that have candidates."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    src = src.join(reps.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    src = src.join(reps.select("rep").distinct().hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches):
         seen = set()  # rows that repeat an id stand in one partition
@@ -280,8 +280,17 @@ def _whole_rows(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) ->
     return src.mapInArrow(run, "sig long, row binary")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return saved(components(links), "labels")
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after further links: only roots that a new link joins are searched again."""
+    if labels is None:
+        return saved(components(links), "labels")
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("root").alias("__root"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
+    moved = saved(components(links), "moved").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    kept = labels.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    fresh = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return saved(kept.unionByName(fresh), "labels")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +321,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = spark.table(table)
 
     links = saved(_verified(pairs, rows), "links")
-    labels = _labels(links)
+    labels = _merged(None, links)
     tested = saved(pairs, "tested")
     for k in range(1, PIVOT_ROUNDS + 1):
         known = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
@@ -337,7 +346,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         more = saved(_verified(fresh, rows), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = _labels(links)
+            labels = _merged(labels, more)
 
     spark.sql(f"DROP TABLE {table}")
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
