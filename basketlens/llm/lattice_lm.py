@@ -230,7 +230,7 @@ def _partial(docs: DataFrame, head: tuple[np.ndarray, ...], id_col: str, text_co
                 hit = (hh[at] == h) if len(hh) else np.zeros(len(h), bool)
 
                 def per_doc(v, where=owner[hit]):
-                    return np.bincount(where, weights=v, minlength=docs_n) if docs_n else np.zeros(0)
+                    return np.bincount(where, weights=v, minlength=docs_n).astype(float)  # an empty count has integers
 
                 key = serial + np.arange(docs_n)
                 serial += docs_n
