@@ -49,13 +49,20 @@ def mean(c: str | Column) -> Column:
 MICRO_SUFFIX = "_micro"
 
 
+_LIMB = 24
+
+
 def micro_sum(micro: str | Column) -> Column:
     """Exact sum of an integer micro-unit column as the decimal value (scale 6).
 
-    Summing longs stays on Spark's primitive path (a decimal(28,6) sum buffer
-    goes through BigDecimal per row); the one conversion per group is exact.
+    The value is summed as two longs (its low ``_LIMB`` bits and the rest), so
+    rows stay on Spark's primitive path and a group of 2^38 lines cannot
+    overflow; the two sums are joined as one decimal per group.
     """
-    return F.sum(col(micro)).cast("decimal(38,0)") / F.lit(1000000)
+    c = col(micro)
+    high = F.sum(F.shiftright(c, _LIMB)).cast("decimal(20,0)") * F.lit(1 << _LIMB).cast("decimal(10,0)")
+    low = F.sum(c.bitwiseAND(F.lit((1 << _LIMB) - 1).cast("long"))).cast("decimal(20,0)")
+    return (high + low).cast("decimal(38,0)") / F.lit(1000000)
 
 
 def micro_mean(micro: str | Column) -> Column:

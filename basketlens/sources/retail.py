@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from basketlens.sources.tables import load_table
 
@@ -164,12 +163,10 @@ def customers(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
         F.count(F.when(F.col("event_type") == "click", 1)).alias("reviews_given"),
         F.count(F.when(F.col("event_type") == "view", 1)).alias("wishlist_items"),
         F.max(F.when(F.col("event_type") == "signup", 1).otherwise(0)).alias("newsletter_subscribed"))
-    # Mode of category per customer; the window runs over at most
-    # (#categories) pre-aggregated rows per customer, so a hot customer
-    # cannot make it large.
-    w = Window.partitionBy("customer_id").orderBy(F.col("n").desc(), F.col("category"))
-    pref = (cat_n.withColumn("rk", F.row_number().over(w)).filter("rk = 1")
-                 .select("customer_id", F.col("category").alias("preferred_category")))
+    # Mode of category per customer (ties by name). As an aggregate on the join
+    # key this branch, and lineitem with it, is dropped where it is not used.
+    pref = cat_n.where(F.col("category").isNotNull()).groupBy("customer_id").agg(
+        F.min(F.struct((-F.col("n")).alias("less"), "category"))["category"].alias("preferred_category"))
     out = (attrs.join(per_cust, "customer_id", "left").join(engagement, "customer_id", "left")
                 .join(per_line, "customer_id", "left").join(pref, "customer_id", "left"))
     return out.select(

@@ -20,13 +20,8 @@ SNAPSHOT_MEASURES = ["lifespan_years", "ltv", "annual_spend_rate", "churn_probab
 
 def append_snapshot(rows: DataFrame, path: str) -> None:
     """Write one snapshot (rows carry ``snapshot_date``); same date -> replaced, others kept."""
-    spark = rows.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("snapshot_date").parquet(path))
 
 
 def read_snapshot_history(spark: SparkSession, path: str, since: str | None = None,
