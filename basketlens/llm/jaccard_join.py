@@ -15,13 +15,20 @@ nothing). The result is exact.
   sorted, so a posting list is streamed, never held. A pair counts only where
   ``min(n_a - i, n_b - j) >= 3/7 (n_a + n_b)`` for its positions i, j, the
   largest overlap that is still possible there.
+* **Parity bound.** A class carries a bitmap of the parity of its shingle
+  slots. Common shingles cancel, so the bits in which two bitmaps differ bound
+  the symmetric difference from below, and a pair with
+  ``7 * differing bits > n_a + n_b`` cannot link. Only pairs that pass have
+  their whole rows read and moved.
 * **No all-pairs emission.** Only components are wanted, so each list first
   emits one pair per row (with a pivot that changes by round); verified links
   contract the documents, and later rounds emit only pairs of different
-  components. The last round emits whatever pairs of different components are
-  left, so no link between different texts is lost.
+  components. The last round emits the pairs of different components that are
+  left and that the bounds on sizes, positions and parity allow, so no link
+  between different texts is lost.
 * **Accumulated overlap.** Surviving pairs get their exact overlap from the two
-  whole shingle rows.
+  whole shingle rows, first one pair per row, then the pairs that are still of
+  different components.
 
 The order only affects cost: a fixed-size bitmap (``FREQ_BITS``) marks shingles
 that batches of documents repeat, and a wrong mark changes no result. Shingles
@@ -48,7 +55,12 @@ THRESHOLD_PCT = 75
 FREQ_BITS = 1 << 23  # bits of the frequent-shingle bitmap: 1 MB, whatever the corpus
 LOCAL_MIN = 3        # documents of one batch that must share a shingle to report it
 FREQ_MIN = 16        # reported documents from which a shingle is ordered last
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+PARITY = 16          # 64-bit words of a parity bitmap
+FOLDED = 4           # words to which the last round folds it
+
+
+_WORDS = [f"p{i}" for i in range(PARITY)]
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -78,13 +90,21 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(b, initial=np.uint64(0))) ^ len(s)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of PARITY words: bit k is the number of shingles of slot k, modulo 2."""
+    slot = (K.mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * PARITY - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: one row per document (id, n, s1, s2); kind 1: shingles that a batch repeats (s1, n)."""
+    """kind 0: one row per document (id, n, s1, s2, parity words); kind 1: shingles that a batch repeats (s1, n)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    names = ["kind", "id", "n", "s1", "s2", *_WORDS]
 
     def run(batches):
         for b in batches:
@@ -92,10 +112,11 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in K.batch_slices(b, "t"):
                 sets = shingle_sets(s.column("t"))
                 sig = [signature(x) for x in sets]
+                bits = np.array([parity(x) for x in sets], np.int64).reshape(len(sets), PARITY)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
-                     pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64())],
-                    names=["kind", "id", "n", "s1", "s2"])
+                     pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
+                     *[pa.array(bits[:, i]) for i in range(PARITY)]], names=names)
                 seen += sets
             if not seen:
                 continue
@@ -104,15 +125,26 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(g):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(len(g), np.int32)), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)),
-                     pa.array(K.to_long(g)), pa.nulls(len(g), pa.int64())], names=["kind", "id", "n", "s1", "s2"])
+                     pa.array(K.to_long(g)), *[pa.nulls(len(g), pa.int64())] * (PARITY + 1)], names=names)
+
+    return src.mapInArrow(run, ", ".join(["kind int", *[f"{c} long" for c in names[1:]]]))
 
-    return src.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long")
+
+def _classes(digests: DataFrame) -> DataFrame:
+    """(sig, rep, n, parity words): one row per set of shingles, rep the smallest id."""
+    return (digests.where("kind = 0 and n > 0").groupBy(F.col("s1").alias("sig"))
+            .agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_WORDS]]))
 
 
 def _frequent_bitmap(rows: DataFrame) -> np.ndarray:
-    """Bitmap of FREQ_BITS bits, set at the slot of every shingle reported FREQ_MIN times."""
-    words = (rows.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQ_MIN)
-             .select((F.col("s1").bitwiseAND(F.lit(FREQ_BITS - 1))).alias("slot"))
+    """Bitmap of every shingle reported FREQ_MIN times."""
+    often = rows.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQ_MIN)
+    return _bitmap(often, F.col("s1"))
+
+
+def _bitmap(rows: DataFrame, key) -> np.ndarray:
+    """Bitmap of FREQ_BITS bits, set at the slot of every key."""
+    words = (rows.select(key.bitwiseAND(F.lit(FREQ_BITS - 1)).alias("slot"))
              .groupBy((F.col("slot") / 64).cast("int").alias("w"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow())
     bitmap = np.zeros(FREQ_BITS // 64, np.uint64)
@@ -259,31 +291,81 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_overlaps, "a long, b long").distinct()
 
 
-def _whole_rows(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sig, row): the whole shingle rows of the classes that have candidates."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    src = src.join(reps.select("rep").distinct().hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+def _whole_rows(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> str:
+    """Writes the whole shingle rows (sig, row) of the classes in ``pairs`` as a bucketed table; returns its name.
+
+    A fixed-size bitmap of (class, smallest id) picks the documents in the scan,
+    so texts are not shuffled. A full bitmap only lets more rows through.
+    """
+    spark = docs.sparkSession
+    n_parts = partitions(spark)
+    part = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    mask = FREQ_BITS - 1
+    shared = spark.sparkContext.broadcast(_bitmap(
+        classes.select("sig", "rep").join(part, "sig", "left_semi"), F.col("sig").bitwiseXOR(F.coalesce("rep", F.lit(0).cast("long")))))
 
     def run(batches):
-        seen = set()  # rows that repeat an id stand in one partition
+        seen = set()
         for b in batches:
             for s in K.batch_slices(b, "t"):
                 sig, row = [], []
-                for x in shingle_sets(s.column("t")):
+                for x, i in zip(shingle_sets(s.column("t")), s.column("id").to_pylist()):
                     own = signature(x)[0]
-                    if len(x) and own not in seen:
+                    slot = (own ^ (i or 0)) & mask
+                    if len(x) and own not in seen and int(shared.value[slot >> 6]) >> (slot & 63) & 1:
                         seen.add(own)
                         sig.append(_signed(own))
                         row.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(row, pa.binary())], names=["sig", "row"])
 
-    return src.mapInArrow(run, "sig long, row binary")
+    def once(batches):
+        last = None
+        for b in batches:
+            g = b.column(0).to_numpy()
+            if len(g):
+                keep = np.r_[last is None or g[0] != last, g[1:] != g[:-1]]
+                last = g[-1]
+                yield b.filter(pa.array(keep))
+
+    table = f"shingle_rows_{uuid.uuid4().hex}"
+    (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "sig long, row binary")
+     .repartition(n_parts, "sig").sortWithinPartitions("sig").mapInArrow(once, "sig long, row binary")
+     .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
+    return table
+
+
+def _differing(left: list, right: list):
+    """Number of bits in which two bitmaps differ."""
+    total = F.lit(0)
+    for x, y in zip(left, right):
+        total = total + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    return total
+
+
+def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose parity bitmaps allow a link."""
+    ends = [classes.select(F.col("sig").alias(e), F.col("n").alias(f"n_{e}"), *[F.col(w).alias(f"{w}_{e}") for w in _WORDS]) for e in "ab"]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    bits = _differing([f"{w}_a" for w in _WORDS], [f"{w}_b" for w in _WORDS])
+    return both.where(7 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
 
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """One pair of every row, with its partner of the smallest hash."""
+    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    best = ends.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
+    return best.select(F.least("u", "m.v").alias("a"), F.greatest("u", "m.v").alias("b")).distinct()
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    for e in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")), e, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, root) after further links: only roots that a new link joins are searched again."""
-    if labels is None:
-        return saved(components(links), "labels")
     for end in ("a", "b"):
         of = labels.select(F.col("node").alias(end), F.col("root").alias("__root"))
         links = links.join(of, end, "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
@@ -293,6 +375,24 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return saved(kept.unionByName(fresh), "labels")
 
 
+def _left_over(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of ``known(gram, sig, np, comp)`` that share a list and that components, sizes, positions and folded parity allow."""
+    folded = []
+    for i in range(FOLDED):
+        w = F.col(_WORDS[i])
+        for k in range(i + FOLDED, PARITY, FOLDED):
+            w = w.bitwiseXOR(F.col(_WORDS[k]))
+        folded.append(w.alias(f"f{i}"))
+    known = known.join(classes.select("sig", *folded), "sig")
+    other = known.select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "np", "comp", *[f"f{i}" for i in range(FOLDED)])])
+    n, i = F.expr("shiftright(np, 31)"), F.expr(f"np & {int(_LOW)}L")
+    m, j = F.expr("shiftright(np2, 31)"), F.expr(f"np2 & {int(_LOW)}L")
+    bits = _differing([f"f{k}" for k in range(FOLDED)], [f"f{k}2" for k in range(FOLDED)])
+    return (known.join(other, (known["gram"] == other["gram"]) & (F.col("sig") < F.col("sig2")) & (F.col("comp") != F.col("comp2"))
+                       & _possible(n, i, m, j) & (7 * bits <= n + m))
+            .select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct())
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id, n_links).
 
@@ -302,7 +402,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     digests = saved(_digest_rows(docs, id_col, text_col), "digests")
-    per_doc = digests.where("kind = 0")
+    per_doc = digests.where("kind = 0").select("id", "n", "s1", "s2")
+    classes = saved(_classes(digests), "classes")
     n_parts = partitions(spark)
     order = F.xxhash64("sig")
     first = (_postings(docs, text_col, _frequent_bitmap(digests))
@@ -310,19 +411,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
              .mapInArrow(_first_round, "gram long, a long, b long"))
     first = saved(first, "lists")
     lists = first.where("gram is not null").select("gram", F.col("a").alias("sig"), F.col("b").alias("np"))
-    pairs = first.where("gram is null").select("a", "b").distinct()
-
-    wanted = first.select(F.col("a").alias("sig")).unionByName(
-        first.where("gram is null").select(F.col("b").alias("sig"))).distinct()
-    classes = per_doc.where("n > 0").groupBy(F.col("s1").alias("sig")).agg(F.min("id").alias("rep"))
-    table = f"shingle_rows_{uuid.uuid4().hex}"
-    (_whole_rows(docs, classes.join(wanted, "sig", "left_semi"), id_col, text_col).repartition(n_parts, "sig")
-     .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
-    rows = spark.table(table)
 
-    links = saved(_verified(pairs, rows), "links")
-    labels = _merged(None, links)
-    tested = saved(pairs, "tested")
+    links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, root long")
+
+    def follow(pairs: DataFrame) -> None:
+        """Verifies pairs until each is tested or joins rows of one component."""
+        nonlocal links, labels
+        if pairs.isEmpty():
+            return
+        table = _whole_rows(docs, classes, pairs, id_col, text_col)
+        best = saved(_one_each(pairs), "pairs")
+        for some in (best, pairs.join(best, ["a", "b"], "left_anti")):
+            found = saved(_verified(_apart(some, labels), spark.table(table)), "links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = _merged(labels, found)
+        spark.sql(f"DROP TABLE {table}")
+
+    tested = saved(_promising(first.where("gram is null").select("a", "b").distinct(), classes), "pairs")
+    follow(tested)
     for k in range(1, PIVOT_ROUNDS + 1):
         known = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
             "gram", "sig", "np", F.coalesce("root", "sig").alias("comp"))
@@ -335,20 +443,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             found = (known.repartition(n_parts, "gram").sortWithinPartitions("gram", F.xxhash64("sig", F.lit(k)), "sig")
                      .mapInArrow(_later_round, "a long, b long").distinct())
         else:
-            other = known.select("gram", F.col("sig").alias("sig2"), F.col("np").alias("np2"), F.col("comp").alias("comp2"))
-            n, i = F.expr("shiftright(np, 31)"), F.expr(f"np & {int(_LOW)}L")
-            m, j = F.expr("shiftright(np2, 31)"), F.expr(f"np2 & {int(_LOW)}L")
-            found = (known.join(other, "gram").where((F.col("sig") < F.col("sig2")) & (F.col("comp") != F.col("comp2"))
-                                                     & _possible(n, i, m, j))
-                     .select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct())
-        fresh = saved(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = _left_over(known, classes)
+        fresh = saved(_promising(found.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
         tested = tested.unionByName(fresh)
-        more = saved(_verified(fresh, rows), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = _merged(labels, more)
+        follow(fresh)
 
-    spark.sql(f"DROP TABLE {table}")
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
         "id", "n", "s1", "s2", F.coalesce("root", "s1").alias("root"))
     lowest = members.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
