@@ -5,13 +5,12 @@ Plan:
 1. Features: NULL -> 0, standardised with population mean/std (one aggregate
    row, broadcast), as the reference's scaler.
 2. Sampling by key hashes, never ``rand()`` or partition ids, so the forest is
-   identical for any partitioning. Each tree gets ``psi = min(256, n)`` rows:
-   * small inputs (n < trees * psi * 1.3): every (row, tree) pair gets a hash
-     and each tree keeps its ``psi`` lowest - at most trees^2 * psi * 1.3
-     candidate pairs, a bound independent of the data size;
-   * large inputs: one hash selects a row with probability
-     trees * psi * 1.3 / n, a second assigns it to one tree, then each tree
-     keeps its ``psi`` lowest. Work is O(n) hashing.
+   identical for any partitioning. One rule at every size: a row has one point
+   on the unit circle (a hash of its key), a tree a starting point, and takes
+   the ``psi = min(256, n)`` rows that follow it. The circle is cut into cells
+   of about ``2 psi / n``; a row meets only the trees whose arc touches its
+   cell (an equi-join with at most three small rows a tree), so work is O(n).
+   Arcs are doubled until every tree is full.
 3. ``groupBy(tree).applyInPandas`` grows each tree from its <= 1.3 * psi rows
    (bounded group size) with a per-tree seeded RNG.
 4. The forest (<= trees * (2 psi - 1) nodes) is the fitted model: collected
@@ -70,35 +69,28 @@ def _unit_hash(*cols) -> F.Column:
 
 def _tree_samples(df: DataFrame, key: str, zcols: Sequence[str], trees: int, psi: int, n: int,
                   seed: int) -> DataFrame:
-    """Each tree's ``psi`` rows with the lowest hash(seed, tree, key).
-
-    Small inputs: (row, tree) pairs are hashed as they are generated and only
-    pairs under a rate of ``2 psi / n`` survive the same stage (about 2 psi
-    per tree instead of n); if any tree got fewer than ``psi`` candidates the
-    rate is raised to 1, so the sample is always exactly the lowest ``psi``.
-    Large inputs: one hash selects rows at rate ``trees psi 1.3 / n`` and a
-    second assigns each to one tree.
-    """
+    """The ``psi`` rows that follow each tree's starting point on the circle of key hashes."""
     from pyspark.sql.window import Window
 
-    def small(rate: float) -> DataFrame:
-        t = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        pairs = df.select(key, *zcols, t).withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
-        return pairs.filter(F.col("_h") < rate) if rate < 1.0 else pairs
-
-    if n < trees * psi * 1.3:
-        rate = min(1.0, 2.0 * psi / max(n, 1))
-        pairs = small(rate)
-        if rate < 1.0:
-            got = pairs.groupBy("tree").count()
-            short = got.filter(F.col("count") < psi).limit(1).count() + (trees - got.count())
-            if short:
-                pairs = small(1.0)
-    else:
-        p = trees * psi * 1.3 / n
-        sel = df.filter(_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < p)
-        pairs = (sel.withColumn("tree", (F.abs(F.xxhash64(F.lit(seed), F.lit(-2), F.col(key))) % trees).cast("int"))
-                    .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key))))
+    starts = np.random.default_rng(seed).random(trees)
+    placed = df.select(key, *zcols, _unit_hash(F.lit(seed), F.col(key)).alias("_u"))
+
+    def candidates(width: float) -> DataFrame:
+        cells = max(1, int(1 / width))
+        arcs = [(int(c), t, float(s)) for t, s in enumerate(starts)
+                for c in {c % cells for c in range(int(s * cells), int((s + width) * cells) + 1)}]
+        arcs = df.sparkSession.createDataFrame(arcs, "_cell long, tree int, _start double")
+        near = placed.withColumn("_cell", F.least(F.floor(F.col("_u") * cells), F.lit(cells - 1)).cast("long"))
+        near = near.join(F.broadcast(arcs), "_cell")  # at most three rows a tree
+        return (near.withColumn("_h", F.pmod(F.col("_u") - F.col("_start"), F.lit(1.0)))
+                .filter(F.col("_h") < width).drop("_u", "_cell", "_start"))
+
+    width = min(1.0, 2.0 * psi / max(n, 1))
+    while True:
+        pairs = candidates(width)
+        if width >= 1.0 or pairs.groupBy("tree").count().filter(F.col("count") >= psi).count() == trees:
+            break
+        width = min(1.0, 2 * width)
     w = Window.partitionBy("tree").orderBy("_h", key)
     return pairs.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk")
 

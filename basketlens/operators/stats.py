@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from basketlens.functions.core import mean, pround
 from basketlens.functions.dist import chi2_pvalue, norm_ppf, t_pvalue
@@ -206,11 +207,13 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, buckets: int | None =
                    .agg(F.sum(F.col("c") * F.col("rank")).alias("rsum"), F.sum("c").cast("double").alias("ng")))
     ties = ranks.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("tie"),
                      F.sum("t").cast("double").alias("n"))
-    g = per_group.agg(F.sum(F.col("rsum") * F.col("rsum") / F.col("ng")).alias("ssum"),
-                      F.count(F.lit(1)).alias("k"))
+    off = F.col("rsum") / F.col("ng") - (F.col("n") + 1) / 2  # mean rank of the group against the overall one
+    g = per_group.crossJoin(F.broadcast(ties)).agg(
+        F.sum(F.col("ng") * off * off).alias("ssum"), F.count(F.lit(1)).alias("k"),
+        F.first("tie").alias("tie"), F.first("n").alias("n"))
     n = F.col("n")
-    h = (F.lit(12.0) / (n * (n + 1)) * F.col("ssum") - 3 * (n + 1)) / (1 - F.col("tie") / (n * n * n - n))
-    out = g.crossJoin(F.broadcast(ties)).select(F.lit(value).alias("value"), F.lit(group).alias("group"),
+    h = F.try_divide(F.lit(12.0) * F.col("ssum") / (n * (n + 1)), 1 - F.col("tie") / (n * n * n - n))
+    out = g.select(F.lit(value).alias("value"), F.lit(group).alias("group"),
                                    n.cast("bigint").alias("n"), F.col("k"), h.alias("h"),
                                    (F.col("k") - 1).alias("dof"))
     out = out.withColumn("p", chi2_pvalue(F.col("h"), F.col("dof")))
@@ -239,6 +242,9 @@ def _poisson1_thresholds() -> np.ndarray:
     return np.minimum(np.cumsum(pmf) * float(1 << 32), float((1 << 32) - 1)).astype(np.uint32)
 
 
+#: Groups whose sums a task holds before it passes them on (480 KB each at 10,000 replicates).
+_GROUPS_HELD = 128
+
 _C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -256,46 +262,47 @@ def _boot_sums(batches, by: str, key: str, x: str, y: str, reps: int, seed: int,
     reduced at once to 6 weighted sums per (group, rep). Rows are never exploded.
 
     The row hash and the replicate hash are computed once each; a (row, rep)
-    weight costs one in-place mix and one integer search. Rows are sorted by
-    group so each group's weights are a contiguous slice for the matrix
-    product; chunks of replicates keep the working set near ``chunk`` weights.
+    weight costs one in-place mix and one integer search. Batches are added
+    into the sums one by one, and sums leave the task when ``_GROUPS_HELD``
+    groups are held, so memory depends on neither rows nor groups; chunks of
+    replicates keep the working set near ``chunk`` weights.
     """
     thr = _poisson1_thresholds()
-    parts = [b for b in batches if not b.empty]
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    sums: dict = {}
+
+    def flush():
+        if sums:
+            flat = np.concatenate(list(sums.values()))
+            yield pd.DataFrame({by: np.repeat(np.asarray(list(sums), dtype=object), reps),
+                                "rep": np.tile(np.arange(reps, dtype=np.int64), len(sums)),
+                                "s0": flat[:, 0], "sx": flat[:, 1], "sy": flat[:, 2],
+                                "sxx": flat[:, 3], "syy": flat[:, 4], "sxy": flat[:, 5]})
+            sums.clear()
+
     with np.errstate(over="ignore"):
         rep_h = (_mix(np.arange(reps, dtype=np.uint64) * _M1 + _mix(np.uint64(seed) + _G))
                  & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        codes, uniq = pd.factorize(pdf[by], sort=False)
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        keys = pdf[key].to_numpy().astype(np.int64).astype(np.uint64)[order]
-        xv = pdf[x].to_numpy(dtype=float)[order]
-        yv = pdf[y].to_numpy(dtype=float)[order]
-        feats = np.stack([np.ones_like(xv), xv, yv, xv * xv, yv * yv, xv * yv], axis=1)
-        bounds = np.searchsorted(codes, np.arange(len(uniq) + 1))
-        base = (_mix(keys * _G + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)
-        m = len(keys)
-        step = max(1, min(reps, chunk // max(m, 1)))
-        sums = np.zeros((len(uniq), reps, 6))
-        h = np.empty((step, m), dtype=np.uint32)
-        tmp = np.empty_like(h)
-        for r0 in range(0, reps, step):
-            r1 = min(reps, r0 + step)
-            hv, tv = h[: r1 - r0], tmp[: r1 - r0]
-            np.bitwise_xor(base[None, :], rep_h[r0:r1, None], out=hv)
-            _fmix32_inplace(hv, tv)
-            w = np.searchsorted(thr, hv.ravel(), side="right").reshape(hv.shape).astype(np.float64)
-            for gi in range(len(uniq)):
-                a, b = bounds[gi], bounds[gi + 1]
-                sums[gi, r0:r1] = w[:, a:b] @ feats[a:b]
-    flat = sums.reshape(-1, 6)
-    yield pd.DataFrame({by: np.repeat(np.asarray(uniq, dtype=object), reps),
-                        "rep": np.tile(np.arange(reps, dtype=np.int64), len(uniq)),
-                        "s0": flat[:, 0], "sx": flat[:, 1], "sy": flat[:, 2],
-                        "sxx": flat[:, 3], "syy": flat[:, 4], "sxy": flat[:, 5]})
+        for pdf in batches:
+            for group, rows in pdf.groupby(by, sort=False):
+                if group not in sums and len(sums) == _GROUPS_HELD:
+                    yield from flush()
+                total = sums.setdefault(group, np.zeros((reps, 6)))
+                keys = rows[key].to_numpy().astype(np.int64).astype(np.uint64)
+                xv, yv = rows[x].to_numpy(dtype=float), rows[y].to_numpy(dtype=float)
+                feats = np.stack([np.ones_like(xv), xv, yv, xv * xv, yv * yv, xv * yv], axis=1)
+                base = (_mix(keys * _G + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)
+                m = len(keys)
+                step = max(1, min(reps, chunk // m))
+                h = np.empty((step, m), dtype=np.uint32)
+                tmp = np.empty_like(h)
+                for r0 in range(0, reps, step):
+                    r1 = min(reps, r0 + step)
+                    hv, tv = h[: r1 - r0], tmp[: r1 - r0]
+                    np.bitwise_xor(base[None, :], rep_h[r0:r1, None], out=hv)
+                    _fmix32_inplace(hv, tv)
+                    w = np.searchsorted(thr, hv.ravel(), side="right").reshape(hv.shape).astype(np.float64)
+                    total[r0:r1] += w @ feats
+        yield from flush()
 
 
 def bootstrap_corr_ci(df: DataFrame, x: str, y: str, by: str, key: str, reps: int = 10000,
@@ -309,6 +316,8 @@ def bootstrap_corr_ci(df: DataFrame, x: str, y: str, by: str, key: str, reps: in
     and its percentiles are ordinary aggregates (at most ``reps`` values per
     group). Degenerate replicates (NULL r) are dropped and counted.
     """
+    if not isinstance(df.schema[key].dataType, IntegralType):  # names and other keys by their hash
+        df = df.withColumn(key, F.xxhash64(key))
     src = df.select(by, key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)) \
             .filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(by).isNotNull())
     from basketlens.session import task_parallelism

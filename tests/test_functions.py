@@ -52,3 +52,16 @@ def test_pvalues_textbook():
     assert norm_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-12)
     assert norm_ppf(0.975) == pytest.approx(1.959963984540054, abs=1e-12)
     assert math.isnan(t_two_sided(float("nan"), 3))
+
+
+def test_pvalues_closed_forms_and_large_dof():
+    t = np.array([1e-6, 0.3, 1.0, 4.0, 25.0])
+    assert t_two_sided(t, 1.0) == pytest.approx(1 - 2 / math.pi * np.arctan(t), rel=1e-11)
+    assert t_two_sided(t, 2.0) == pytest.approx(1 - t / np.sqrt(2 + t * t), rel=1e-11)
+    normal = np.array([math.erfc(v / math.sqrt(2)) for v in t])
+    assert norm_two_sided(t) == pytest.approx(normal, rel=1e-11)
+    for dof in (1e10, 1e12, 1e13, 1e15):  # within 1 / dof of the normal tail
+        assert t_two_sided(t[:4], dof) == pytest.approx(normal[:4], rel=1e-8)
+    assert t_two_sided(1.0, 99.9) == pytest.approx(float(t_two_sided(1.0, 100.1)), rel=1e-4)
+    assert chi2_upper([3.0, 700.0], 2) == pytest.approx([math.exp(-1.5), math.exp(-350.0)], rel=1e-11)
+    assert chi2_upper(5.0, 3) == pytest.approx(math.erfc(math.sqrt(2.5)) + math.sqrt(10 / math.pi) * math.exp(-2.5), rel=1e-12)

@@ -100,3 +100,19 @@ def test_ab_sample_size_normal_approximation(spark):
     df = spark.createDataFrame([("s", float(i)) for i in range(10)], "seg string, m double")
     r = stats.ab_sample_size(df, "seg", "m", effect_size=0.5).first()
     assert r.required_per_group == 63  # 2 * ((1.96 + 0.8416) / 0.5)^2 = 62.79
+
+
+def test_bootstrap_by_name(spark):
+    rows = [(f"item {i}", "g", float(i % 7), float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, grp string, x double, y double")
+    r = stats.bootstrap_corr_ci(df, "x", "y", "grp", "k", reps=200).first()
+    assert r.ci_lower < r.r_observed < r.ci_upper
+
+
+def test_forest_samples_are_full_at_any_size(spark):
+    from basketlens.operators.forest import _tree_samples
+
+    for n in (300, 60000, 70000):
+        df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("z"))
+        s = _tree_samples(df, "k", ["z"], 50, 256, n, 42).groupBy("tree").agg(F.count("*").alias("c"), F.countDistinct("k").alias("d")).collect()
+        assert len(s) == 50 and all(r.c == r.d == 256 for r in s), n
