@@ -16,16 +16,17 @@ nothing). The result is exact.
   ``min(n_a - i, n_b - j) >= 3/7 (n_a + n_b)`` for its positions i, j, the
   largest overlap that is still possible there.
 * **Parity bound.** A class carries a bitmap of the parity of its shingle
-  slots. Common shingles cancel, so the bits in which two bitmaps differ bound
-  the symmetric difference from below, and a pair with
-  ``7 * differing bits > n_a + n_b`` cannot link. Only pairs that pass have
-  their whole rows read and moved.
+  slots, two to four bits a shingle. Common shingles cancel, so the bits in
+  which two bitmaps differ (the longer one folded) bound the symmetric
+  difference from below, and a pair with ``7 * differing bits > n_a + n_b``
+  cannot link. Only pairs that pass have their whole rows moved.
 * **No all-pairs emission.** Only components are wanted, so each list first
-  emits one pair per row (with a pivot that changes by round); verified links
-  contract the documents, and later rounds emit only pairs of different
-  components. The last round emits the pairs of different components that are
-  left and that the bounds on sizes, positions and parity allow, so no link
-  between different texts is lost.
+  emits one pair per row, with its pivot; verified links contract the
+  documents, and later rounds emit only pairs of a row with one of ``PIVOTS``
+  pivots in another component. The pairs of different components that could
+  still meet are counted, not made; rounds go on while each at least halves
+  that count and it exceeds the rows. The last round emits what is left of them and what the bounds on
+  sizes, positions and parity allow, so no link between different texts is lost.
 * **Accumulated overlap.** Surviving pairs get their exact overlap from the two
   whole shingle rows, first one pair per row, then the pairs that are still of
   different components.
@@ -55,12 +56,11 @@ THRESHOLD_PCT = 75
 FREQ_BITS = 1 << 23  # bits of the frequent-shingle bitmap: 1 MB, whatever the corpus
 LOCAL_MIN = 3        # documents of one batch that must share a shingle to report it
 FREQ_MIN = 16        # reported documents from which a shingle is ordered last
-PIVOT_ROUNDS = 2
-PARITY = 16          # 64-bit words of a parity bitmap
-FOLDED = 4           # words to which the last round folds it
+PIVOTS = 4           # rows of a list that the others meet in a later round
+PARITY_BITS = 1024   # least bits of a parity bitmap
+FOLDED = 4           # 64-bit words to which the last round folds it
 
-
-_WORDS = [f"p{i}" for i in range(PARITY)]
+_FOLDS = [f"f{i}" for i in range(FOLDED)]
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -91,20 +91,26 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Bitmap of PARITY words: bit k is the number of shingles of slot k, modulo 2."""
-    slot = (K.mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * PARITY - 1)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=64 * PARITY) & 1).astype(np.uint8)
+    """Bitmap (64-bit words): bit k is the number of shingles of slot k, modulo 2; a power of two of bits, 2 a shingle at least."""
+    m = max(PARITY_BITS, 1 << (2 * len(s) - 1).bit_length() if len(s) else 0)
+    slot = (K.mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=m) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of ``words`` words that the same set has."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: one row per document (id, n, s1, s2, parity words); kind 1: shingles that a batch repeats (s1, n)."""
+    """kind 0: one row per document (id, n, s1, s2, folded parity words, bits); kind 1: shingles that a batch repeats (s1, n)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    names = ["kind", "id", "n", "s1", "s2", *_WORDS]
+    names = ["kind", "id", "n", "s1", "s2", *_FOLDS, "bits"]
 
     def run(batches):
         for b in batches:
@@ -112,11 +118,12 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in K.batch_slices(b, "t"):
                 sets = shingle_sets(s.column("t"))
                 sig = [signature(x) for x in sets]
-                bits = np.array([parity(x) for x in sets], np.int64).reshape(len(sets), PARITY)
+                bits = [parity(x) for x in sets]
+                short = np.array([fold(x, FOLDED) for x in bits], np.int64).reshape(len(sets), FOLDED)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
                      pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
-                     *[pa.array(bits[:, i]) for i in range(PARITY)]], names=names)
+                     *[pa.array(short[:, i]) for i in range(FOLDED)], pa.array([x.tobytes() for x in bits], pa.binary())], names=names)
                 seen += sets
             if not seen:
                 continue
@@ -125,15 +132,15 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(g):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(len(g), np.int32)), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)),
-                     pa.array(K.to_long(g)), *[pa.nulls(len(g), pa.int64())] * (PARITY + 1)], names=names)
+                     pa.array(K.to_long(g)), *[pa.nulls(len(g), pa.int64())] * (FOLDED + 1), pa.nulls(len(g), pa.binary())], names=names)
 
-    return src.mapInArrow(run, ", ".join(["kind int", *[f"{c} long" for c in names[1:]]]))
+    return src.mapInArrow(run, ", ".join(["kind int", *[f"{c} long" for c in names[1:-1]], "bits binary"]))
 
 
 def _classes(digests: DataFrame) -> DataFrame:
-    """(sig, rep, n, parity words): one row per set of shingles, rep the smallest id."""
+    """(sig, rep, n, folded parity words, bits): one row per set of shingles, rep the smallest id."""
     return (digests.where("kind = 0 and n > 0").groupBy(F.col("s1").alias("sig"))
-            .agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_WORDS]]))
+            .agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_FOLDS, "bits"]]))
 
 
 def _frequent_bitmap(rows: DataFrame) -> np.ndarray:
@@ -244,22 +251,27 @@ def _first_round(batches):
 
 
 def _later_round(batches):
-    """Streams (gram, sig, np, comp) sorted by gram: pairs of a row with its list's pivot in another component."""
-    gram = pivot = None
+    """Streams (gram, sig, np, comp) sorted by gram: pairs of a row with its list's first PIVOTS rows in another component."""
+    carry = None
     for b in batches:
-        g, s, x, c = (b.column(i).to_numpy() for i in range(4))
-        if len(g) == 0:
+        rows = np.stack([b.column(i).to_numpy() for i in range(4)])
+        if rows.shape[1] == 0:
             continue
+        if carry is not None and rows[0, 0] == carry[0, 0]:
+            rows = np.concatenate([carry, rows], axis=1)
+        g, s, x, c = rows
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        p = np.stack([s, x, c])[:, start[run]]
-        if gram is not None and g[0] == gram:
-            p = np.where(run == 0, np.array(pivot, np.int64)[:, None], p)
-        ok = (c != p[2]) & _possible(x >> 31, x & _LOW, p[1] >> 31, p[1] & _LOW)
-        pairs = np.unique(np.stack([np.minimum(s, p[0])[ok], np.maximum(s, p[0])[ok]]), axis=1)
-        gram, pivot = g[-1], tuple(int(v) for v in p[:, -1])
+        first = start[np.cumsum(new) - 1]
+        found = []
+        for q in range(PIVOTS):
+            at = np.flatnonzero(np.arange(len(g)) - first > q)
+            p = first[at] + q
+            ok = (c[at] != c[p]) & _possible(x[at] >> 31, x[at] & _LOW, x[p] >> 31, x[p] & _LOW)
+            found.append(np.stack([np.minimum(s[at], s[p])[ok], np.maximum(s[at], s[p])[ok]]))
+        carry = rows[:, start[-1]:start[-1] + PIVOTS]
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
@@ -291,15 +303,14 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_overlaps, "a long, b long").distinct()
 
 
-def _whole_rows(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> str:
-    """Writes the whole shingle rows (sig, row) of the classes in ``pairs`` as a bucketed table; returns its name.
+def _whole_rows(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: str, text_col: str) -> str:
+    """Writes the whole shingle rows (sig, row) of the classes ``part(sig)`` as a bucketed table; returns its name.
 
     A fixed-size bitmap of (class, smallest id) picks the documents in the scan,
     so texts are not shuffled. A full bitmap only lets more rows through.
     """
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    part = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
     mask = FREQ_BITS - 1
     shared = spark.sparkContext.broadcast(_bitmap(
         classes.select("sig", "rep").join(part, "sig", "left_semi"), F.col("sig").bitwiseXOR(F.coalesce("rep", F.lit(0).cast("long")))))
@@ -342,12 +353,26 @@ def _differing(left: list, right: list):
     return total
 
 
+def _parity_allows(batches):
+    """The pairs whose parity bitmaps, the longer one folded, allow a link."""
+    for b in batches:
+        left, right = b.column(2), b.column(3)
+        n = b.column(4).to_numpy()
+        keep = np.zeros(b.num_rows, bool)
+        for i in range(b.num_rows):
+            x = np.frombuffer(left[i].as_buffer(), np.int64)
+            y = np.frombuffer(right[i].as_buffer(), np.int64)
+            words = min(len(x), len(y))
+            bits = np.bitwise_count((fold(x, words) ^ fold(y, words)).view(np.uint64))
+            keep[i] = 7 * int(bits.sum()) <= n[i]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose parity bitmaps allow a link."""
-    ends = [classes.select(F.col("sig").alias(e), F.col("n").alias(f"n_{e}"), *[F.col(w).alias(f"{w}_{e}") for w in _WORDS]) for e in "ab"]
+    ends = [classes.select(F.col("sig").alias(e), F.col("n").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}")) for e in "ab"]
     both = pairs.join(ends[0], "a").join(ends[1], "b")
-    bits = _differing([f"{w}_a" for w in _WORDS], [f"{w}_b" for w in _WORDS])
-    return both.where(7 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    return both.select("a", "b", "bits_a", "bits_b", F.expr("n_a + n_b")).mapInArrow(_parity_allows, "a long, b long")
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
@@ -377,22 +402,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _left_over(known: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of ``known(gram, sig, np, comp)`` that share a list and that components, sizes, positions and folded parity allow."""
-    folded = []
-    for i in range(FOLDED):
-        w = F.col(_WORDS[i])
-        for k in range(i + FOLDED, PARITY, FOLDED):
-            w = w.bitwiseXOR(F.col(_WORDS[k]))
-        folded.append(w.alias(f"f{i}"))
-    known = known.join(classes.select("sig", *folded), "sig")
-    other = known.select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "np", "comp", *[f"f{i}" for i in range(FOLDED)])])
+    known = known.join(classes.select("sig", *_FOLDS), "sig")
+    other = known.select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "np", "comp", *_FOLDS)])
     n, i = F.expr("shiftright(np, 31)"), F.expr(f"np & {int(_LOW)}L")
     m, j = F.expr("shiftright(np2, 31)"), F.expr(f"np2 & {int(_LOW)}L")
-    bits = _differing([f"f{k}" for k in range(FOLDED)], [f"f{k}2" for k in range(FOLDED)])
+    bits = _differing(_FOLDS, [f"{f}2" for f in _FOLDS])
     return (known.join(other, (known["gram"] == other["gram"]) & (F.col("sig") < F.col("sig2")) & (F.col("comp") != F.col("comp2"))
                        & _possible(n, i, m, j) & (7 * bits <= n + m))
             .select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct())
 
 
+def _pairs_left(known: DataFrame) -> tuple[float, float]:
+    """Number of pairs of ``known(gram, comp)`` that share a list but not a component; number of rows."""
+    sizes = known.groupBy("gram", "comp").agg(F.count("*").cast("double").alias("k"))
+    lists = sizes.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    pairs = F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)
+    return tuple(lists.agg(F.coalesce(pairs, F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first())
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id, n_links).
 
@@ -415,38 +442,46 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, root long")
 
+    tested = saved(_promising(first.where("gram is null").select("a", "b").distinct(), classes), "pairs")
+    part = lists.select("sig").unionAll(tested.select("a")).unionAll(tested.select("b")).distinct()
+    table = _whole_rows(docs, classes, part, id_col, text_col)
+
     def follow(pairs: DataFrame) -> None:
         """Verifies pairs until each is tested or joins rows of one component."""
         nonlocal links, labels
         if pairs.isEmpty():
             return
-        table = _whole_rows(docs, classes, pairs, id_col, text_col)
         best = saved(_one_each(pairs), "pairs")
         for some in (best, pairs.join(best, ["a", "b"], "left_anti")):
             found = saved(_verified(_apart(some, labels), spark.table(table)), "links")
             if not found.isEmpty():
                 links = links.unionByName(found)
                 labels = _merged(labels, found)
-        spark.sql(f"DROP TABLE {table}")
 
-    tested = saved(_promising(first.where("gram is null").select("a", "b").distinct(), classes), "pairs")
     follow(tested)
-    for k in range(1, PIVOT_ROUNDS + 1):
+    left, k = float("inf"), 0
+    while True:
         known = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
             "gram", "sig", "np", F.coalesce("root", "sig").alias("comp"))
         open_lists = (known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                       .where("lo <> hi").select("gram"))
         known = saved(known.join(open_lists, "gram", "left_semi"), "open")
-        if known.isEmpty():  # every list lies inside one component
+        before, k = left, k + 1
+        left, n_rows = _pairs_left(known)
+        if left == 0:  # every list lies inside one component
             break
-        if k < PIVOT_ROUNDS:
+        last = left <= n_rows or left > before / 2
+        if last:
+            found = _left_over(known, classes)
+        else:
             found = (known.repartition(n_parts, "gram").sortWithinPartitions("gram", F.xxhash64("sig", F.lit(k)), "sig")
                      .mapInArrow(_later_round, "a long, b long").distinct())
-        else:
-            found = _left_over(known, classes)
         fresh = saved(_promising(found.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
         tested = tested.unionByName(fresh)
         follow(fresh)
+        if last:
+            break
+    spark.sql(f"DROP TABLE {table}")
 
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
         "id", "n", "s1", "s2", F.coalesce("root", "s1").alias("root"))
