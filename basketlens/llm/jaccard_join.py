@@ -23,9 +23,9 @@ nothing). The result is exact.
 * **No all-pairs emission.** Only components are wanted, so each list first
   emits one pair per row, with its pivot; verified links contract the
   documents, and later rounds emit only pairs of a row with one of ``PIVOTS``
-  pivots in another component. The pairs of different components that could
-  still meet are counted, not made; rounds go on while each at least halves
-  that count and it exceeds the rows. The last round emits what is left of them and what the bounds on
+  pivots in another component, other pivots in each list and round. The pairs of different components that could
+  still meet are counted, not made; rounds go on while each cuts that
+  count by a quarter and it exceeds the rows. The last round emits what is left of them and what the bounds on
   sizes, positions and parity allow, so no link between different texts is lost.
 * **Accumulated overlap.** Surviving pairs get their exact overlap from the two
   whole shingle rows, first one pair per row, then the pairs that are still of
@@ -470,11 +470,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         left, n_rows = _pairs_left(known)
         if left == 0:  # every list lies inside one component
             break
-        last = left <= n_rows or left > before / 2
+        last = left <= n_rows or 4 * left > 3 * before
         if last:
             found = _left_over(known, classes)
         else:
-            found = (known.repartition(n_parts, "gram").sortWithinPartitions("gram", F.xxhash64("sig", F.lit(k)), "sig")
+            found = (known.repartition(n_parts, "gram").sortWithinPartitions("gram", F.xxhash64("sig", "gram", F.lit(k)), "sig")
                      .mapInArrow(_later_round, "a long, b long").distinct())
         fresh = saved(_promising(found.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
         tested = tested.unionByName(fresh)
