@@ -20,7 +20,7 @@ nothing). The result is exact.
   which two bitmaps differ (the longer one folded) bound the symmetric
   difference from below, and a pair with ``7 * differing bits > n_a + n_b``
   cannot link. Only pairs that pass have their whole rows moved.
-* **No all-pairs emission.** Only components are wanted, so each list first
+* **No all-pairs emission.** For components, each list first
   emits one pair per row, with its pivot; verified links contract the
   documents, and later rounds emit only pairs of a row with one of ``PIVOTS``
   pivots in another component, other pivots in each list and round. The pairs of different components that could
@@ -30,6 +30,12 @@ nothing). The result is exact.
 * **Accumulated overlap.** Surviving pairs get their exact overlap from the two
   whole shingle rows, first one pair per row, then the pairs that are still of
   different components.
+* **Link counts.** Contraction leaves pairs inside a component untested, so
+  links are counted after it: a component's classes are cut into blocks by set
+  size and hash, and every two blocks whose sizes allow a link are multiplied
+  as gram by row matrices that accumulate the overlap of all their pairs. A task
+  holds two bounded blocks and gives one count per row, never a pair. A partner
+  class weighs its copies, and the class's own other copies are added.
 
 The order only affects cost: a fixed-size bitmap (``FREQ_BITS``) marks shingles
 that batches of documents repeat, and a wrong mark changes no result. Shingles
@@ -41,6 +47,7 @@ the component is the smallest non-NULL id. Repeated rows link with each other.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -59,6 +66,10 @@ FREQ_MIN = 16        # reported documents from which a shingle is ordered last
 PIVOTS = 4           # rows of a list that the others meet in a later round
 PARITY_BITS = 1024   # least bits of a parity bitmap
 FOLDED = 4           # 64-bit words to which the last round folds it
+BLOCK_ROWS = 256     # classes of one block of the link count
+BLOCK_SHINGLES = 1 << 19  # shingles of one block
+BLOCK_COLUMNS = 4096      # shingles multiplied at once
+BAND = 1.4           # ratio of set sizes in one block; linked sets differ by 4/3 at most
 
 _FOLDS = [f"f{i}" for i in range(FOLDED)]
 
@@ -138,9 +149,9 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(digests: DataFrame) -> DataFrame:
-    """(sig, rep, n, folded parity words, bits): one row per set of shingles, rep the smallest id."""
+    """(sig, rep, copies, n, folded parity words, bits): one row per set of shingles, rep the smallest id."""
     return (digests.where("kind = 0 and n > 0").groupBy(F.col("s1").alias("sig"))
-            .agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_FOLDS, "bits"]]))
+            .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ["n", *_FOLDS, "bits"]]))
 
 
 def _frequent_bitmap(rows: DataFrame) -> np.ndarray:
@@ -420,12 +431,84 @@ def _pairs_left(known: DataFrame) -> tuple[float, float]:
     return tuple(lists.agg(F.coalesce(pairs, F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first())
 
 
+def gram_product(rows: list[np.ndarray], cut: int) -> np.ndarray:
+    """Overlap of each of the first ``cut`` rows with each of the others; of all rows with each other if there are no others."""
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    _, inv, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    shared = count > 1
+    live = shared[inv]
+    owner, column = owner[live], (np.cumsum(shared) - 1)[inv[live]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    right = slice(cut, None) if cut < len(rows) else slice(None)
+    total = np.zeros((cut, len(rows) - cut or cut), np.int64)
+    for lo in range(0, int(shared.sum()), BLOCK_COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + BLOCK_COLUMNS]))
+        m = np.zeros((len(rows), BLOCK_COLUMNS), np.float32)
+        m[owner[at], column[at] - lo] = 1
+        total += (m[:cut] @ m[right].T).astype(np.int64)
+    return total
+
+
+def _block_links(t: pa.Table) -> pa.Table:
+    """Links of two blocks, or inside one: (sig, other documents linked). One unit of ``_link_counts``."""
+    first = {c: t.column(c)[0].as_py() for c in ("pb", "ph", "qb", "qh")}
+    one = (first["pb"], first["ph"]) == (first["qb"], first["qh"])
+    in_left = (t.column("band").to_numpy() == first["pb"]) & (t.column("h").to_numpy() == first["ph"])
+    t = t.take(pa.array(np.argsort(~in_left, kind="stable")))
+    cut = int(in_left.sum())
+    none = pa.table({"sig": pa.array([], pa.int64()), "extra": pa.array([], pa.int64())})
+    if cut == 0 or (cut == t.num_rows and not one):
+        return none
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("row")]
+    n, copies = t.column("n").to_numpy(), t.column("copies").to_numpy()
+    right = slice(None) if one else slice(cut, None)
+    common = gram_product(rows, cut)
+    linked = 100 * common >= THRESHOLD_PCT * (n[:cut, None] + n[None, right] - common)
+    if one:
+        np.fill_diagonal(linked, False)
+        extra = linked @ copies
+    else:
+        extra = np.r_[linked @ copies[right], linked.T @ copies[:cut]]
+    return pa.table({"sig": t.column("sig"), "extra": pa.array(extra, pa.int64())}).filter(pa.array(extra > 0))
+
+
+def _link_counts(classes: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sig, n_links): every other document whose set links with the class's, its own copies included.
+
+    Links lie inside components. A component of two classes has its one link; in
+    larger ones every pair of blocks that sizes allow is one unit.
+    """
+    own = saved(classes.select("sig", "n", "copies", F.floor(F.log("n") / math.log(BAND)).alias("band"))
+                .join(labels.withColumnRenamed("node", "sig"), "sig"), "members")
+    sizes = saved(own.groupBy("root", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.sum("copies").alias("docs")), "sizes")
+    whole = sizes.groupBy("root").agg(F.sum("k").alias("k"), F.sum("docs").alias("docs"))
+    couples = own.join(whole.where("k = 2").select("root", "docs"), "root").select("sig", (F.col("docs") - F.col("copies")).alias("extra"))
+
+    grid = saved(sizes.join(whole.where("k > 2").select("root"), "root", "left_semi").select("root", "band", F.greatest(
+        F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("nb")), "grid")
+    for name, step in (("above", 1), ("below", -1)):
+        near = grid.select("root", (F.col("band") - step).alias("band"), F.col("nb").alias(name))
+        grid = grid.join(near, ["root", "band"], "left")
+    unit = "named_struct('pb', {}, 'ph', {}, 'qb', {}, 'qh', {})".format
+    each = "if({0} is null, array(), transform(sequence(1L, {0}), x -> {1}))".format
+    units = F.expr("explode(concat({}, {}, {}))".format(
+        f"transform(sequence(1L, nb), x -> {unit('band', 'least(x - 1, h)', 'band', 'greatest(x - 1, h)')})",
+        each("above", unit("band", "h", "band + 1", "x - 1")), each("below", unit("band - 1", "x - 1", "band", "h"))))
+    placed = own.join(grid, ["root", "band"]).withColumn("h", F.expr("pmod(xxhash64(sig, 7), nb)"))
+    placed = placed.select("sig", "n", "copies", "root", "band", "h", units.alias("u")).select("*", "u.*").drop("u")
+    counted = (placed.join(rows, "sig").groupBy("root", "pb", "ph", "qb", "qh")
+               .applyInArrow(_block_links, "sig long, extra long"))
+    extra = couples.unionByName(counted).groupBy("sig").agg(F.sum("extra").alias("extra"))
+    return classes.select("sig", "copies").join(extra, "sig", "left").select(
+        "sig", (F.coalesce("extra", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id, n_links).
 
-    ``n_links`` is the number of verified links between the document's class
-    and other classes; links inside a class and inside a component that were
-    not needed are not expanded.
+    ``n_links`` is the number of other documents that link with the document,
+    exact copies included.
     """
     spark = docs.sparkSession
     digests = saved(_digest_rows(docs, id_col, text_col), "digests")
@@ -439,7 +522,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first = saved(first, "lists")
     lists = first.where("gram is not null").select("gram", F.col("a").alias("sig"), F.col("b").alias("np"))
 
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, root long")
 
     tested = saved(_promising(first.where("gram is null").select("a", "b").distinct(), classes), "pairs")
@@ -448,14 +530,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def follow(pairs: DataFrame) -> None:
         """Verifies pairs until each is tested or joins rows of one component."""
-        nonlocal links, labels
+        nonlocal labels
         if pairs.isEmpty():
             return
         best = saved(_one_each(pairs), "pairs")
         for some in (best, pairs.join(best, ["a", "b"], "left_anti")):
             found = saved(_verified(_apart(some, labels), spark.table(table)), "links")
             if not found.isEmpty():
-                links = links.unionByName(found)
                 labels = _merged(labels, found)
 
     follow(tested)
@@ -481,16 +562,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         follow(fresh)
         if last:
             break
+    degree = saved(_link_counts(classes, labels, spark.table(table)), "degree").withColumnRenamed("sig", "s1")
     spark.sql(f"DROP TABLE {table}")
 
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
         "id", "n", "s1", "s2", F.coalesce("root", "s1").alias("root"))
     lowest = members.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    degree = (links.select(F.col("a").alias("s1")).unionAll(links.select(F.col("b").alias("s1")))
-              .groupBy("s1").agg(F.count("*").alias("n_links")))
     empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = (members.where("n > 0").join(lowest, "root").join(degree, "s1", "left")
-            .select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    full = (members.where("n > 0").join(lowest, "root").join(degree, "s1")
+            .select("id", F.col("n").alias("n_shingles"), "component_id", F.col("n_links").cast("long").alias("n_links")))
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
 

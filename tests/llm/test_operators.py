@@ -89,6 +89,29 @@ def test_jaccard_join_matches_brute_force(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def brute_links(rows, pct=75):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    links = [sum(i != j and bool(a & b) and 100 * len(a & b) >= pct * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    return sorted(((i, n) for (i, _), n in zip(rows, links)), key=str)
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_ROWS, 7])
+def test_jaccard_links_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    words = [f"t{k}" for k in range(100)]
+    triangle = [(800 + k, " ".join([*words, f"end{k}"])) for k in range(3)]  # all three link with each other
+    grown = [(810 + k, " ".join([f"g{j}" for j in range(60 + 6 * k)])) for k in range(12)]  # sizes in several bands
+    copies = [(830 + k, "only exact copies of this one text " * 3) for k in range(9)]
+    rows = [*near_copies(), *triangle, *grown, *copies]
+    got = jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_links(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == want
+    assert dict(want)[801] == 2 and dict(want)[830] == 8
+
+
 def test_jaccard_join_of_nothing(no_docs):
     assert jaccard_join.near_duplicate_classes(no_docs).count() == 0
 
