@@ -45,6 +45,42 @@ def test_quality_edge_cases(edge_docs, no_docs):
     assert quality_bands.keep_good(edge_docs).columns == edge_docs.columns
 
 
+def labelled(quality):
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    ids = pq.read_table("/root/testdata/sf0.1/labels.parquet", filters=[("quality", "=", quality)]).column("doc_id")
+    d = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    return d.filter(pc.is_in(d.column("doc_id"), ids.combine_chunks())).column("text").combine_chunks()
+
+
+def test_quality_bands_decide():
+    import base64
+
+    import pyarrow as pa
+
+    texts = labelled(1)
+    good, bad = quality_bands.metrics(texts), quality_bands.metrics(labelled(0))
+    assert (good["kept"] == ~good["base_failed"]).all()
+    assert (~bad["base_failed"]).sum() == 291 and bad["kept"].sum() == 81  # 210 are left to the bands
+    size, ok = np.array([len(t.as_py().encode()) for t in texts]), ~good["base_failed"] & (good["ratio"] > 0)
+    fits = ok & (size < 24576)
+    assert quality_bands.fitted(size[fits], good["ratio"][fits], [b[0] for b in quality_bands.BANDS[:-1]]) == quality_bands.BANDS[1:-1]
+
+    prose = [t.as_py() for t, k, n in zip(texts, ok, size) if k and 2000 < n < 12000][:40]
+    rng = random.Random(4)
+    junk = []
+    for t in prose:
+        n = len(t.encode())
+        code = base64.b64encode(rng.randbytes(n)).decode()
+        junk.append(" ".join(code[i:i + 8] for i in range(0, n, 9)))  # incompressible
+        words = t.split()[:60]
+        junk.append(" ".join(rng.choice(words) for _ in range(n // 6)))  # repetitive, few repeated word triples
+        junk.append(" ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in t.split()))  # symbols
+    got = quality_bands.metrics(pa.array(junk))
+    assert not got["base_failed"].any() and not got["kept"].any()
+
+
 def near_copies():
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
