@@ -234,7 +234,7 @@ def r6_flagged_customers(spark, base):
 @register("a30_high_confidence_profile")
 def a30_high_confidence_profile(spark, base):
     df, _ = _full(spark, base)
-    return anomaly.high_confidence_profile(df, level=2)
+    return anomaly.high_confidence_profile(df)
 
 
 @register("a31_consensus_tier_counts")
@@ -246,7 +246,7 @@ def a31_consensus_tier_counts(spark, base):
 @register("v4_box_summary_flagged_vs_clean")
 def v4_box_summary_flagged_vs_clean(spark, base):
     df, _ = _full(spark, base)
-    grp = F.when(F.col("methods_flagged") >= 2, "High-flag").when(F.col("methods_flagged") == 0, "Clean")
+    grp = F.when(F.col("methods_flagged") == 3, "High-flag").when(F.col("methods_flagged") == 0, "Clean")
     return charts.box_summary(df.withColumn("group", grp), ["return_rate", "avg_order_value", "order_velocity",
                                                           "avg_discount_pct"], "group")
 

@@ -550,18 +550,34 @@ def s1_ingest_tables(spark, base):
     return tables.ingest_tables(spark, raw, _scratch(spark), schemas)
 
 
+def _exports(spark, base):
+    """The retail tables, the LTV detail and one frame per LTV dimension; the runner's writes are the export."""
+    orders = retail.lines(spark, base, with_repeat=True)
+    detail = ltv.ltv_pipeline(retail.customers(spark, base), AS_OF)
+    aggregates = ltv.ltv_aggregate(detail)
+    out = {"product_summary": retail.products(spark, base), "customers": retail.customers(spark, base), "orders": orders,
+           "monthly_revenue": profile.temporal_by(orders, ["year", "month"]),
+           "ltv_customers": detail.select("customer_id", "country", "age_group", "gender", "membership_tier", "lifespan_years",
+                                          "ltv", "annual_spend_rate", "churn_probability", "survival_probability",
+                                          "projected_ltv")}
+    for d in ("membership_tier", "country", "age_group"):
+        out[f"ltv_by_{d}"] = aggregates.where(F.col("dimension") == d)
+    return out
+
+
 def _stage(spark, base, name):
     from basketlens.plans import reports
 
     stages = {
-        "products": lambda: reports.product_analysis(retail.products(spark, base), "PROMO", reps=2000),
+        "validate": lambda: {"checks": reports.validation(_quality_tables(spark, base), RELATIONS)},
+        "products": lambda: reports.product_analysis(retail.products(spark, base), "PROMO"),
         "customers": lambda: reports.customer_analysis(retail.customers(spark, base), cohort_floor=1997,
                                                        country="NATION_1"),
         "customers_extended": lambda: reports.customer_analysis_extended(retail.customers(spark, base)),
-        "orders": lambda: reports.order_analysis(retail.lines(spark, base, with_repeat=True)),
         "ltv": lambda: reports.ltv_analysis(retail.customers(spark, base), AS_OF),
+        "orders": lambda: reports.order_analysis(retail.lines(spark, base, with_repeat=True)),
         "anomaly": lambda: reports.anomaly_reports(retail.lines(spark, base), retail.customer_attributes(spark, base)),
-        "validate": lambda: {"checks": reports.validation(_quality_tables(spark, base), RELATIONS)},
+        "exports": lambda: _exports(spark, base),
     }
     return stages if name is None else {name: stages[name]}
 
@@ -592,17 +608,6 @@ def g5_order_analysis(spark, base):
 
 @register("g6_run_pipeline")
 def g6_run_pipeline(spark, base):
-    """Stage selection: LTV, validation and exports run; the heavy stages are skipped here
-    (each has its own g2-g5 / r6 query)."""
+    """Every stage in the reference's order, the exports last; each output is written."""
     from basketlens.plans.reports import run_pipeline
-
-    out = _scratch(spark)
-    stages = _stage(spark, base, None)
-
-    def write(name, df):
-        path = f"{out}/{name.replace('.', '/')}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path).count()
-
-    return run_pipeline(spark, stages, skip=["products", "customers", "customers_extended", "orders", "anomaly"],
-                        action=write)
+    return run_pipeline(spark, _stage(spark, base, None))
