@@ -5,9 +5,9 @@ of the CHAIN content words that follow it, other common words skipped. The set
 of hashed chains is the document's signature set; the fingerprint is that set,
 sorted, eight hexadecimal digits each. Frequent boilerplate has few anchors,
 so the sets follow the running text. A text without any spot has one signature
-of its whole normalised text. Sets are compared by Jaccard similarity, pruned
-by their lengths: ``min / max`` bounds it from above, so pairs of different
-length classes are not intersected when a floor is asked for.
+of its whole normalised text. Sets are compared by Jaccard similarity of
+given pairs only; the length-partitioned, pruned comparison across the corpus
+is not built.
 
 NULL and empty texts have the signature of the empty text. Equal texts have
 equal fingerprints. "Next" follows descending ids (NULL ids last, repeated ids
