@@ -1,14 +1,14 @@
 """BPE encoding and decoding by a tokenization automaton (operator 10).
 
-The merges of a byte-level BPE vocabulary are compiled into a deterministic
-automaton over tokens that accepts exactly the merge-correct token sequences.
-A state is the token last read, an arc is labelled with a token. Construction
-is by one gadget per merge, in merge order: merge (u, v) of rank r forbids, in
-every state that still ends in u when r is reached, each arc whose token still
-starts with v then (such a pair would have been merged). A token ends in u
+The automaton over tokens that accepts exactly the merge-correct token sequences
+is not compiled: an arc (a pair of neighbouring tokens) is tested when it is
+first met. A state is the token last read, an arc is labelled with a token.
+Merge (u, v) of rank r forbids, in every state that still ends in u when r is
+reached, each arc whose token still starts with v then (such a pair would have
+been merged). A token ends in u
 between the rank that formed u and the rank that merges it further along the
-token's right edge; likewise at the left edge. Arc rows are filled in when a
-state is first met and then kept in a table.
+token's right edge; likewise at the left edge. Answers are kept in a
+bounded table.
 
 Encoding splits a text into pieces (contractions, optional blank + letters,
 digits or other marks, white space), walks the arcs of each distinct piece
