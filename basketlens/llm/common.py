@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,25 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     own = df.withColumn("__own", F.coalesce(total(value).over(inside), F.lit(0)))
     both = F.col("__before").bitwiseXOR(F.col("__own")) if xor else F.col("__before") + F.col("__own")
     return own.join(sums, cond).withColumn(out, both).drop("__before", "__own", *[f"__{g}" for g in [*group, bucket]])
+
+
+def running_totals(df: DataFrame, group: list[str], bucket: str, order: list, totals: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """Several running totals over the rows before each row of its group, by one window and one table of buckets.
+
+    ``totals`` maps an output column to (value, whether XOR instead of sum);
+    ``bucket`` is as in ``running_total``.
+    """
+    def total(xor: bool, c: Column) -> Column:
+        return F.bit_xor(c) if xor else F.sum(c)
+
+    keys = [*group, bucket]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(*[total(x, v).alias(f"__sum_{o}") for o, (v, x) in totals.items()])
+    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys],
+                       *[F.coalesce(total(x, F.col(f"__sum_{o}")).over(earlier), F.lit(0)).alias(f"__before_{o}") for o, (v, x) in totals.items()])
+    own = df.select("*", *[F.coalesce(total(x, v).over(inside), F.lit(0)).alias(f"__own_{o}") for o, (v, x) in totals.items()])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    both = {o: F.col(f"__before_{o}").bitwiseXOR(F.col(f"__own_{o}")) if x else F.col(f"__before_{o}") + F.col(f"__own_{o}")
+            for o, (v, x) in totals.items()}
+    return own.join(sums, same).select(*df.columns, *[c.cast("long").alias(o) for o, c in both.items()])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import (bpe_automaton, chat_collapse, curriculum, jaccard_join, language_id, lattice_lm,
-                            quality_bands, secret_index, spotsigs, wavelet)
+from basketlens.llm import (bpe_automaton, chat_collapse, curriculum, hard_negatives, jaccard_join, language_id, lattice_lm,
+                            prefix_trie, quality_bands, run_merge, secret_index, spotsigs, wavelet)
 from basketlens.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,30 @@ def byte_bpe_path() -> str:
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bpe_automaton.encode_decode(read(spark, sf_dir, "documents"), byte_bpe_path())
     return e.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.shared_heads(turns))
+
+
+ORACLE["op11_prefix_trie"] = prefix_trie.SQL
+
+
+@register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", moved, F.col("id") % 100 == 0)
+
+
+ORACLE["op12_hard_negatives"] = hard_negatives.SQL
+
+
+@register
+def op13_run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_merge.tree_merge(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op13_run_merge"] = run_merge.SQL
