@@ -99,16 +99,13 @@ def metric_long(features: DataFrame, metrics: Sequence[str] = BASELINE_METRICS,
 
 
 def baselines(features: DataFrame, metrics: Sequence[str] = BASELINE_METRICS) -> DataFrame:
-    """Per-metric n, mean, median, std, p75, p90, p95, p99, iqr in one aggregate."""
-    from basketlens.operators.quantile import quantile_frame, resolve_method
+    """Per-metric n, mean, median, std, p75, p90, p95, p99, iqr."""
+    from basketlens.operators.quantile import quantile_frame
 
     long = metric_long(features, metrics)
     probs = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
     stats = [F.count(F.lit(1)).alias("n"), mean("value").alias("mean"), F.stddev_samp("value").alias("std")]
-    if resolve_method(long, "value", ["metric"]) == "exact":  # one pass
-        agg = long.groupBy("metric").agg(*stats, F.percentile("value", probs).alias("_q"))
-    else:
-        agg = long.groupBy("metric").agg(*stats).join(quantile_frame(long, "value", probs, ["metric"]), "metric")
+    agg = long.groupBy("metric").agg(*stats).join(quantile_frame(long, "value", probs, ["metric"]), "metric")
     return agg.select("metric", "n", "mean", F.col("_q")[1].alias("median"), "std",
                       F.col("_q")[2].alias("p75"), F.col("_q")[3].alias("p90"), F.col("_q")[4].alias("p95"),
                       F.col("_q")[5].alias("p99"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))

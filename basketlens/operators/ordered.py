@@ -1,76 +1,103 @@
-"""Ordered analytics: average ranks, running totals, ABC classes.
-
-A window without ``partitionBy`` plans ``Exchange SinglePartition``: every row
-goes to one task. That is fine for already-aggregated input (one row per
-product) and fatal for raw fact rows, so each operator takes ``buckets``:
-
-* ``buckets=None`` (default): decided from the input files at planning time
-  (plain window up to 64 MB of input, one bucket per shuffle partition above).
-* ``buckets=1``: the plain window, for inputs known to be small.
-* ``buckets>1``: range buckets from ``percentile_approx`` (one row, broadcast),
-  a bucket index found by a balanced comparison tree (codegen, no UDF),
-  per-bucket totals (at most ``buckets`` rows) turned into prefix offsets, and
-  a window partitioned by bucket. Equal values always share a bucket, so ranks
-  and running sums are exact; the only single-partition step is over the
-  bucket totals.
-
-Ranks collapse the input to ``(value, count)`` first, so heavy ties cost one
-row each and a hot value cannot overload a task.
+"""Ordered analytics: average ranks, running totals, ABC classes.
+
+A window without ``partitionBy`` sends every row to one task, and one with a
+key sends a hot group to one. Here every global or grouped order is cut into
+buckets, by one plan at every input size:
+
+* *Splitters* are quantiles of the leading order column, four for each shuffle
+  partition (one aggregated row, broadcast). They are kept in two levels, block
+  heads and blocks, so locating a row compares about ``2 sqrt(buckets)``
+  numbers, and the plan holds the same few expressions however many there are.
+* Values equal to a splitter have buckets of their own. A value that several
+  splitters repeat is *hot*: its rows are cut further, into as many pieces, by
+  splitters of the tie-breaking column, so one value on a third of all rows
+  spreads over a third of the buckets. NULLs are treated as one such value.
+* Totals per bucket (at most three per splitter and group) become offsets, and
+  the row window runs inside a bucket. Sums over the buckets before plus the sum
+  inside are the running total, exact for integers and decimals.
+
+Ranks collapse the input to ``(value, count)`` first; rows get their rank back
+by a join in which the values that hold more than their share are salted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_B = "_bl_bucket"
+_B, _P = "_bl_bucket", "_bl_piece"
+SPLITTERS_PER_PARTITION = 4
+SALTS = 16
 
 
-def auto_buckets(df: DataFrame) -> int:
-    """Default bucket count decided at planning time.
+def default_buckets(df: DataFrame) -> int:
+    """Splitters of an order: four for each shuffle partition of the session."""
+    return SPLITTERS_PER_PARTITION * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A double that never orders two values of ``c`` the wrong way round (equal for close ones)."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        lead = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(lead, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return F.col(c).cast("double")
 
-    Inputs read from at most 64 MB of files fit one task: the plain window.
-    Anything larger (or unsized) gets one bucket per shuffle partition, so
-    the ordered work spreads over the same parallelism as the rest of the plan.
-    """
-    from basketlens.operators.sizing import is_small_input
 
-    if is_small_input(df):
-        return 1
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def splitters(x: Column, buckets: int) -> Column:
+    """Aggregate: sorted array of ``buckets - 1`` quantiles of ``x``, with repeats."""
+    probs = [i / buckets for i in range(1, buckets)] or [0.5]
+    return F.coalesce(F.percentile_approx(x, probs, max(10_000, 10 * buckets)), F.array().cast("array<double>"))
 
 
-def _resolve(df: DataFrame, buckets: int | None) -> int:
-    return auto_buckets(df) if buckets is None else buckets
+def two_level(sorted_values: Column, buckets: int) -> Column:
+    """Block heads and blocks of a sorted array (repeats stay)."""
+    side = max(1, math.isqrt(buckets))
+    starts = F.when(F.size(sorted_values) > 0, F.sequence(F.lit(1), F.size(sorted_values), F.lit(side))).otherwise(F.array().cast("array<int>"))
+    return F.struct(F.transform(starts, lambda s: F.element_at(sorted_values, s)).alias("heads"),
+                    F.transform(starts, lambda s: F.slice(sorted_values, s, F.lit(side))).alias("blocks"), F.lit(side).alias("side"))
 
 
-def _bucket_tree(x: Column, bounds: Column, lo: int, hi: int) -> Column:
-    """Number of ``bounds[lo:hi]`` entries <= x, plus ``lo`` (upper bound search)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(x >= bounds[mid], _bucket_tree(x, bounds, mid + 1, hi)).otherwise(
-        _bucket_tree(x, bounds, lo, mid))
+def _count(levels: Column, small) -> Column:
+    """How many splitters satisfy ``small`` (which holds for a leading run of them): among heads, then in one block."""
+    block = F.size(F.filter(levels["heads"], small)) - 1
+    inside = F.size(F.filter(F.get(levels["blocks"], block), small))
+    return F.when(block >= 0, block * levels["side"] + inside).otherwise(0)
 
 
-def add_range_bucket(df: DataFrame, order_col: str, buckets: int, accuracy: int = 10000,
-                     out: str = _B, nulls_last_desc: bool = True) -> DataFrame:
-    """Attach a monotone bucket index of ``order_col``.
+def add_range_bucket(df: DataFrame, order: Sequence[tuple[str, bool]], buckets: int) -> DataFrame:
+    """Attach (bucket, piece), which rise with ``order`` ((column, descending) pairs): see the module docstring.
 
-    NULL order values get a bucket of their own that sorts last (index -1
-    for descending order, ``buckets`` for ascending), like pandas.
+    NULLs of the first column come last in descending order and first in
+    ascending order, as Spark sorts them.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    x = F.col(order_col).cast("double")
-    bounds = df.agg(F.percentile_approx(x, probs, accuracy).alias("_bl_bounds"))
-    tree = _bucket_tree(x, F.col("_bl_bounds"), 0, len(probs))
-    return (df.crossJoin(F.broadcast(bounds))
-              .withColumn(out, F.when(x.isNull(), F.lit(-1 if nulls_last_desc else buckets))
-                               .otherwise(tree))
-              .drop("_bl_bounds"))
+    lead, lead_desc = order[0]
+    x = _number(df, lead)
+    ties = [c for c in order[1:2]]
+    tie = _number(df, ties[0][0]) if ties else F.lit(0.0)
+    cut = df.agg(splitters(x, buckets).alias("_bl_s"), splitters(tie, buckets).alias("_bl_u"))
+    cut = cut.select(two_level(F.col("_bl_s"), buckets).alias("_bl_lead"), two_level(F.col("_bl_u"), buckets).alias("_bl_tie"))
+    sign = -1 if lead_desc else 1
+    b = df.crossJoin(F.broadcast(cut)).withColumn("_bl_x", x).withColumn("_bl_t", tie)
+    here = F.col("_bl_x")
+    b = b.withColumn("_bl_upto", _count(F.col("_bl_lead"), lambda v: v <= here)).withColumn("_bl_below", _count(F.col("_bl_lead"), lambda v: v < here))
+    repeats = F.col("_bl_upto") - F.col("_bl_below")  # splitters equal to the value
+    bucket = F.when(here.isNull(), F.lit(-1)).when(repeats > 0, 2 * F.col("_bl_upto") - 1).otherwise(2 * F.col("_bl_upto"))
+    # Rows of a value that holds r splitters are cut into about r pieces of the tie-breaker.
+    share = F.when(here.isNull(), F.lit(buckets)).otherwise(repeats)
+    tied = F.col("_bl_t")
+    rank = F.when(tied.isNull(), F.lit(0)).otherwise(_count(F.col("_bl_tie"), lambda v: v <= tied) + 1)
+    piece = F.when(share > 1, F.floor(rank * share / buckets)).otherwise(0).cast("long")
+    tie_sign = -1 if ties and ties[0][1] else 1
+    return (b.withColumn(_B, (bucket * sign).cast("long")).withColumn(_P, (piece * tie_sign).cast("long"))
+            .drop("_bl_lead", "_bl_tie", "_bl_x", "_bl_t", "_bl_upto", "_bl_below"))
 
 
 def _order_exprs(order: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -79,28 +106,41 @@ def _order_exprs(order: Sequence[tuple[str, bool]]) -> list[Column]:
 
 def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, out: str,
                 partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Running total of ``value`` in ``order`` ((col, descending) pairs).
+    """Running total of ``value`` in ``order`` ((col, descending) pairs), per ``partition_by`` group if given.
 
     ``order`` must end with a unique tie-breaker for a deterministic result.
-    With ``buckets>1`` (and no ``partition_by``) the first order column is
-    range-bucketed as described in the module docstring.
+    ``buckets`` is the number of splitters (four per shuffle partition by default).
+    """
+    b = add_range_bucket(df, order, buckets or default_buckets(df))
+    keys = list(partition_by)
+    cell = [*keys, _B, _P]
+    totals = b.groupBy(*cell).agg(F.sum(value).alias("_bl_tot"))
+    before = Window.partitionBy(*keys).orderBy(_B, _P).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_bl_k{i}") for i, c in enumerate(cell)], F.coalesce(F.sum("_bl_tot").over(before), F.lit(0)).alias("_bl_off"))
+    offsets = offsets if keys else F.broadcast(offsets)  # without groups at most three rows a splitter
+    same = F.lit(True)
+    for i, c in enumerate(cell):
+        same = same & (F.col(c).eqNullSafe(F.col(f"_bl_k{i}")) if c in keys else F.col(c) == F.col(f"_bl_k{i}"))
+    inside = Window.partitionBy(*cell).orderBy(*_order_exprs(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = b.withColumn("_bl_own", F.sum(value).over(inside))
+    return own.join(offsets, same).select(*df.columns, (F.col("_bl_off") + F.col("_bl_own")).alias(out))
+
+
+def with_hot_keys_salted(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, share: int) -> DataFrame:
+    """Left join of ``rows`` to the unique keys of ``table``, keys with more than a ``share``-th of all ``weight`` salted.
+
+    There are fewer than ``share`` such keys at any size, so they are broadcast
+    to mark the rows; their table rows are repeated once per salt.
     """
-    frame = Window.unboundedPreceding, Window.currentRow
-    buckets = _resolve(df, buckets)
-    if buckets <= 1 or partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(*_order_exprs(order)).rowsBetween(*frame)
-        return df.withColumn(out, F.sum(value).over(w))
-    lead_col, lead_desc = order[0]
-    b = add_range_bucket(df, lead_col, buckets, nulls_last_desc=lead_desc)
-    totals = b.groupBy(_B).agg(F.sum(value).alias("_bl_tot"))
-    # Prefix over at most `buckets` rows; descending order visits high buckets first.
-    pw = Window.orderBy(F.col(_B).desc() if lead_desc else F.col(_B).asc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_bl_off", F.coalesce(F.sum("_bl_tot").over(pw), F.lit(0))).drop("_bl_tot")
-    w = Window.partitionBy(_B).orderBy(*_order_exprs(order)).rowsBetween(*frame)
-    return (b.join(F.broadcast(offsets), _B)
-              .withColumn(out, F.col("_bl_off") + F.sum(value).over(w))
-              .drop(_B, "_bl_off"))
+    keys = list(keys)
+    total = table.agg(F.sum(weight).alias("_bl_all"))
+    sized = table.crossJoin(F.broadcast(total)).withColumn("_bl_hot", F.col(weight) * share > F.col("_bl_all")).drop("_bl_all")
+    hot = sized.where("_bl_hot").select(*keys, F.lit(True).alias("_bl_marked"))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_bl_salt", F.when(F.col("_bl_marked"), spread).otherwise(0))
+    salts = F.when(F.col("_bl_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = sized.withColumn("_bl_salt", F.explode(salts)).drop("_bl_hot", weight)
+    return marked.join(salted, [*keys, "_bl_salt"], "left").drop("_bl_salt", "_bl_marked")
 
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
@@ -113,11 +153,11 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
     keys = list(partition_by)
     counts = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_bl_n")))
-    order = [(value, descending)]
-    cum = running_sum(counts, order, "_bl_n", "_bl_cum", partition_by=keys, buckets=buckets)
-    ranks = cum.select(*keys, value,
+    buckets = buckets or default_buckets(df)
+    cum = running_sum(counts, [(value, descending)], "_bl_n", "_bl_cum", partition_by=keys, buckets=buckets)
+    ranks = cum.select(*keys, value, "_bl_n",
                        (F.col("_bl_cum") - F.col("_bl_n") + (F.col("_bl_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    return with_hot_keys_salted(df, ranks, [*keys, value], "_bl_n", buckets).select(*df.columns, out)
 
 
 def share_of_total(df: DataFrame, value: str, out: str, partition_by: Sequence[str] = (),

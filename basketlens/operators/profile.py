@@ -4,13 +4,13 @@
 with named measures, pandas-style null handling (null keys dropped, counts of
 non-null values, empty sums 0) and numpy rounding. All measures are
 distributive or algebraic (partial aggregation before the shuffle) except
-``median``/``quantile``, which use Spark's exact ``percentile`` (state is one
-count per distinct value per group; see README for the scale note).
+``median``, which goes through radix selection (``operators/quantile.py``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,6 @@ def measure(fn: str, c: str | Column | None = None) -> Column:
         return total(x)
     if fn == "mean":
         return mean(x)
-    if fn == "median":
-        return F.percentile(x.cast("double"), 0.5)
     if fn == "std":
         return F.stddev_samp(x.cast("double"))
     if fn == "min":
@@ -50,21 +48,21 @@ def measure(fn: str, c: str | Column | None = None) -> Column:
 
 
 def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str | None]],
-                    digits: int | None = 2, dropna: bool = True, quantile_method: str | None = None) -> DataFrame:
+                    digits: int | None = 2, dropna: bool = True) -> DataFrame:
     """``groupBy(keys)`` with ``(out, fn, column)`` measures (A0).
 
     Null keys are dropped like pandas when ``dropna``; float measures are
     rounded with numpy semantics when ``digits`` is set (counts stay exact).
-    Medians come from ``quantile_frame`` (exact, and never a whole group in
-    one task for high-cardinality values) joined on the keys.
+    Medians come from one ``quantile_frame`` over all median columns (exact, and
+    never a whole group in one task), joined on the keys.
     """
-    from basketlens.operators.quantile import quantile_frame, resolve_method
+    from basketlens.operators.quantile import quantile_frame
 
     if dropna and keys:
         df = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     exprs, medians = [], []
     for out, fn, c in measures:
-        if fn == "median" and resolve_method(df, c, keys, quantile_method) != "exact":
+        if fn == "median":
             medians.append((out, c))
             continue
         micro = f"{c}{MICRO_SUFFIX}" if isinstance(c, str) else None
@@ -76,11 +74,17 @@ def segment_profile(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple
             e = pround(e, digits)
         exprs.append(e.alias(out))
     res = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
-    for out, c in medians:
-        q = quantile_frame(df, c, [0.5], keys, method=quantile_method)
-        m = F.col("_q")[0]
-        q = q.select(*keys, (pround(m, digits) if digits is not None else m).alias(out))
-        res = res.join(q, list(keys), "left") if keys else res.crossJoin(F.broadcast(q))
+    if medians:
+        long = df.select(*keys, *[F.col(c).cast("double").alias(f"_m{i}") for i, (_, c) in enumerate(medians)]).unpivot(
+            list(keys), [f"_m{i}" for i in range(len(medians))], "_measure", "_x")
+        q = quantile_frame(long, "_x", [0.5], [*keys, "_measure"])
+        m = pround(F.col("_q")[0], digits) if digits is not None else F.col("_q")[0]
+        one = [F.max(F.when(F.col("_measure") == f"_m{i}", m)).alias(out) for i, (out, _) in enumerate(medians)]
+        if keys:
+            q = q.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*one)
+            res = res.join(q, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), "left")
+        else:
+            res = res.crossJoin(F.broadcast(q.agg(*one)))
     return res.select(*keys, *[out for out, _, _ in measures])
 
 

@@ -1,114 +1,99 @@
-"""Exact quantiles without holding a group in one task (used by medians, baselines, bins).
-
-Spark's exact ``percentile`` keeps one entry per distinct value per group and
-merges all of them for a group in one reduce task: fine for bounded domains
-(days, rounded rates), not for money amounts over billions of rows. The
-bucketed method finds the exact order statistics instead:
-
-1. collapse to distinct ``(group, value, count)`` rows (hot values -> 1 row);
-2. range-bucket each group's values on its own ``percentile_approx`` bounds
-   (one small array per group, joined back);
-3. per-(group, bucket) counts -> prefix offsets (window over <= buckets rows);
-4. keep only the buckets that contain a target rank, and rank the distinct
-   values inside them (a window over one bucket, about n / buckets rows);
-5. interpolate linearly between the order statistics at floor/ceil of
-   ``(n - 1) q`` (the definition of pandas, Spark and DuckDB).
-
-``method='auto'`` decides at planning time from the input files: when the
-largest input is at most 64 MB every per-group map fits a task and Spark's
-``percentile`` is used, otherwise the bucketed selection. For materialised
-inputs (checkpoints) it measures the largest per-group distinct count with
-``approx_count_distinct`` against ``max_distinct``.
+"""Exact quantiles by radix selection (medians, baselines, bins, thresholds, markers).
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one
+reduce task. Selection by digits needs a bounded histogram instead, and the
+plan is the same at every input size:
+
+1. rows collapse to ``(group, value, count)`` before anything is shuffled, so a
+   value on a third of all rows is one row;
+2. a double becomes a 64-bit integer of the same order (``order_code``,
+   arithmetic only);
+3. three rounds look at 22, 21 and 21 bits of it. A round counts rows per
+   (group, leading bits), finds the bins that hold the wanted ranks by a running
+   sum over the bins (at most 2^22 a bin of the round before), and only values
+   inside these bins reach the next round;
+4. after the last round a bin is one value; the order statistics at floor and
+   ceil of ``(n - 1) q`` are interpolated (as pandas, Spark and DuckDB do).
+
+The wanted bins (at most two per group and quantile) meet the values by an
+equi-join on group, bits and a salt, so a bin that holds most of a group's
+values is spread over tasks; without groups they are a handful of rows and
+broadcast. The collapsed values are one exchange that all rounds reuse.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketlens.operators.ordered import _bucket_tree
+SHIFTS = (42, 21, 0)
+SALTS = 16
 
-MAX_DISTINCT = 1_000_000
 
+def order_code(x: str) -> Column:
+    """A long that orders like the double column ``x``: -0.0 as 0.0, NaN above infinity, NULL as 0.
 
-def _interp(lo: F.Column, hi: F.Column, frac: F.Column) -> F.Column:
-    return lo + (hi - lo) * frac
-
-
-def resolve_method(df: DataFrame, value: str, by: Sequence[str] = (), method: str | None = None,
-                   max_distinct: int = MAX_DISTINCT) -> str:
-    """The concrete method ``quantile_frame`` would use for these arguments."""
-    if method is None or method == "auto":
-        method = df.sparkSession.conf.get("spark.basketlens.quantile.method", "auto")
-    if method != "auto":
-        return method
-    from basketlens.operators.sizing import is_small_input
-
-    small = is_small_input(df)
-    if small is None:  # unsized (materialised) input: measuring it is cheap
-        keys = list(by)
-        src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-        mx = src.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
-        small = (mx or 0) <= max_distinct
-    return "exact" if small else "bucketed"
-
-
-def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                   method: str | None = None, buckets: int = 512, accuracy: int = 100000,
-                   max_distinct: int = MAX_DISTINCT, out: str = "_q") -> DataFrame:
+    The value of the sign, exponent and mantissa bits, from comparisons and
+    exact divisions by powers of two.
+    """
+    a = f"abs(`{x}`)"
+    guess = f"floor(log2({a}))"
+    exponent = f"({guess} + CASE WHEN {a} < pow(2D, {guess}) THEN -1 WHEN {a} >= pow(2D, {guess}) * 2 THEN 1 ELSE 0 END)"
+    normal = f"CAST({exponent} + 1023 AS LONG) * {1 << 52}L + CAST(({a} / pow(2D, {exponent}) - 1) * {1 << 52}D AS LONG)"
+    tiny = f"CAST({a} * pow(2D, 537) * pow(2D, 537) AS LONG)"
+    top = 2047 << 52
+    size = (f"CASE WHEN isnan(`{x}`) THEN {top + 1}L WHEN {a} = double('infinity') THEN {top}L "
+            f"WHEN {a} < pow(2D, -1022) THEN {tiny} ELSE {normal} END")
+    return F.expr(f"coalesce(CASE WHEN `{x}` < 0 THEN -1L ELSE 1L END * {size}, 0L)")
+
+
+def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), out: str = "_q") -> DataFrame:
     """``(by..., out)`` where ``out`` is the array of exact quantiles of ``value``.
 
-    NULL values are ignored; a group with no values gets NULLs. ``method``
-    defaults to the session setting ``spark.basketlens.quantile.method``
-    (``auto`` when unset); ``exact``, ``bucketed`` and ``approx`` force one.
+    NULL values are ignored; without ``by`` there is always one row (NULLs if
+    no value is left), with ``by`` groups without values have no row.
     """
     keys = list(by)
-    method = resolve_method(df, value, keys, method, max_distinct)
-    x = F.col(value).cast("double")
-    src = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
-    if method == "exact":
-        return src.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias(out))
-    if method == "approx":
-        return src.groupBy(*keys).agg(F.percentile_approx("_v", list(probs), accuracy).alias(out))
-    return _bucketed(src, keys, list(probs), buckets, accuracy, out)
-
-
-def _bucketed(src: DataFrame, keys: list[str], probs: list[float], buckets: int, accuracy: int,
-              out: str) -> DataFrame:
-    distinct = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = src.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_bnd"),
-                                    F.count(F.lit(1)).alias("_n"))
-    tree = _bucket_tree(F.col("_v"), F.col("_bnd"), 0, len(cuts))
-    b = (distinct.join(bounds, keys) if keys else distinct.crossJoin(F.broadcast(bounds)))
-    b = b.withColumn("_b", tree).drop("_bnd")
-    tot = b.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"), F.first("_n").alias("_n"))
-    pw = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(pw), F.lit(0)))
-    # Target ranks (0-based): floor and ceil of (n - 1) * q for every q.
-    targets = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(j).alias("side"),
-                                 (F.floor if j == 0 else F.ceil)((F.col("_n") - 1) * q).cast("long").alias("r"))
-                        for i, q in enumerate(probs) for j in (0, 1)])
-    need = (tot.select(*keys, "_b", "_bt", "_off", "_n", F.explode(targets).alias("t"))
-               .filter((F.col("t.r") >= F.col("_off")) & (F.col("t.r") < F.col("_off") + F.col("_bt")))
-               .select(*keys, "_b", "_off", F.col("t.qi").alias("qi"), F.col("t.side").alias("side"),
-                       F.col("t.r").alias("r")))
-    inside = b.join(need.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_cum", F.sum("_c").over(w))
-    hit = (need.join(ranked, [*keys, "_b"])
-               .filter((F.col("r") - F.col("_off") < F.col("_cum"))
-                       & (F.col("r") - F.col("_off") >= F.col("_cum") - F.col("_c")))
-               .select(*keys, "qi", "side", "_v"))
-    pairs = hit.groupBy(*keys, "qi").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_lo"),
-                                        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_hi"))
-    n = bounds.select(*keys, "_n")
-    pq = F.array(*[F.lit(q) for q in probs])
-    res = pairs.join(n, keys) if keys else pairs.crossJoin(F.broadcast(n))
-    pos = (F.col("_n") - 1) * pq[F.col("qi")]
-    res = res.withColumn("_qv", _interp(F.col("_lo"), F.col("_hi"), pos - F.floor(pos)))
-    arr = res.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("qi", "_qv"))).alias("_s"))
-    return arr.select(*keys, F.transform("_s", lambda s: s["_qv"]).alias(out))
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    src = df.select(group.alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    values = src.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_code", order_code("_v"))
+
+    # The 0-based ranks wanted in a group of _n values, and whether one of them lies in a bin.
+    low = [f"CAST(floor((_n - 1) * {float(p)!r}D) AS LONG)" for p in probs]
+    high = [f"CAST(ceil((_n - 1) * {float(p)!r}D) AS LONG)" for p in probs]
+    holds = "({r} >= _before AND {r} < _before + _c)"
+    wanted, upper = None, None
+    for shift in SHIFTS:
+        if wanted is None:
+            rows = values.selectExpr("_k", "0L AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "0L AS _base", "0L AS _n")
+        else:
+            rows = _inside(values, wanted, upper, bool(keys)).selectExpr("_k", "_lead AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "_base", "_n")
+        bins = rows.groupBy("_k", "_parent", "_bin").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.min("_base").alias("_base"), F.min("_n").alias("_n"))
+        run = "OVER (PARTITION BY _k, _parent ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        size = "sum(_c) OVER (PARTITION BY _k, _parent)" if wanted is None else "_n"
+        bins = bins.selectExpr("_k", "_bin", "_v", "_c", f"_base + sum(_c) {run} - _c AS _before", f"{size} AS _n")
+        wanted = bins.where(" OR ".join(holds.format(r=r) for r in dict.fromkeys(low + high)))
+        upper = shift
+
+    one = []
+    for p, lo, hi in zip(probs, low, high):
+        lower = f"max(CASE WHEN {holds.format(r=lo)} THEN _v END)"
+        above = f"max(CASE WHEN {holds.format(r=hi)} THEN _v END)"
+        one.append(f"{lower} + ({above} - {lower}) * max((_n - 1) * {float(p)!r}D - {lo})")
+    res = F.expr(f"array({', '.join(one)})").alias(out)
+    if not keys:
+        return wanted.agg(res)
+    return wanted.groupBy("_k").agg(res).select(*[F.col("_k")[k].alias(k) for k in keys], out)
+
+
+def _inside(values: DataFrame, wanted: DataFrame, shift: int, grouped: bool) -> DataFrame:
+    """Values whose leading bits are those of a wanted bin of their group, with the bin's start and the group's size."""
+    own = values.withColumn("_lead", F.expr(f"shiftright(_code, {shift})"))
+    bins = wanted.selectExpr("_k", "_bin AS _lead", "_before AS _base", "_n")
+    if not grouped:  # two rows a quantile
+        return own.join(F.broadcast(bins), ["_k", "_lead"])
+    own = own.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(_code), {SALTS}) AS INT)"))
+    return own.join(bins.withColumn("_salt", F.expr(f"explode(sequence(0, {SALTS - 1}))")), ["_k", "_lead", "_salt"])

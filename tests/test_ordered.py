@@ -18,15 +18,54 @@ def test_running_sum_bucketed_equals_plain(spark):
     assert plain == buck
 
 
-def test_bucketed_plan_has_no_single_partition_over_rows(spark):
+def test_running_sum_plan_has_no_single_partition_over_rows(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("k"), (F.col("id") % 13).cast("double").alias("v"))
-    out = ordered.running_sum(df, [("v", True), ("k", False)], "v", "c", buckets=8)
+    out = ordered.running_sum(df, [("v", True), ("k", False)], "v", "c")
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # The only SinglePartition exchange allowed is the one over bucket totals
-    # (and global one-row aggregates), never over the raw rows' window.
+    # The only SinglePartition exchanges allowed are the one over bucket totals
+    # and global one-row aggregates, never over the raw rows' window.
     assert "hashpartitioning(_bl_bucket" in plan
 
 
+def test_grouped_running_sum_with_hot_value_nulls_and_strings(spark):
+    rows = [(g, None if i % 11 == 0 else float(i % 3 == 0) * 7 + i % 5, f"k{i:05d}" if i % 13 else None, i) for g in ("a", None) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, k string, n long")
+    order = [("v", True), ("k", False), ("n", False)]
+    got = {(r.g, r.n): r.c for r in ordered.running_sum(df, order, "n", "c", partition_by=["g"], buckets=12).collect()}
+    for g in ("a", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", r[3]))
+        total = 0
+        for r in own:
+            total += r[3]
+            assert got[(g, r[3])] == total
+
+
+def test_hot_value_is_cut_into_pieces(spark):
+    df = spark.range(0, 6000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 1000).alias("v"))
+    b = ordered.add_range_bucket(df, [("v", False), ("k", False)], 60)
+    sizes = [r["count"] for r in b.groupBy("_bl_bucket", "_bl_piece").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 6000 / 60 * 4
+
+
+def test_four_thousand_buckets_plan_stays_small(spark):
+    df = spark.range(0, 20_000).select(F.col("id").alias("k"), ((F.col("id") * 7919) % 9973).cast("double").alias("v"))
+    out = ordered.running_sum(df, [("v", False), ("k", False)], "v", "c", buckets=4000)
+    where = ordered.add_range_bucket(df, [("v", False), ("k", False)], 4000)
+    assert "CASE" not in where._jdf.queryExecution().optimizedPlan().toString().replace("CASE WHEN", "", 12)
+    want = df.toPandas().sort_values(["v", "k"]).v.cumsum().iloc[-1]
+    assert out.agg(F.max("c")).first()[0] == want
+
+
+def test_average_rank_of_hot_value_and_nulls(spark):
+    vals = [5.0] * 400 + [float(i) for i in range(100)] + [None] * 20
+    df = spark.createDataFrame(list(enumerate(vals)), "k int, v double")
+    import pandas as pd
+    want = pd.Series(vals).rank(ascending=False)
+    got = {r.k: r.r for r in ordered.average_rank(df, "v", "r", buckets=8).collect()}
+    assert len(got) == len(vals)
+    assert all((got[i] is None) if pd.isna(want[i]) else got[i] == want[i] for i in range(len(vals)))
+
+
 def test_abc_inclusive_cuts(spark):
     df = spark.createDataFrame([(1, 80.0), (2, 15.0), (3, 4.0), (4, 1.0)], "k int, v double")
     got = dict(ordered.abc_classification(df, "v", "k").select("k", "abc_class").collect())
