@@ -237,8 +237,19 @@ RELATIONS = [("orders", "o_custkey", "customer", "c_custkey"),
 _NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _quality_tables(spark, base):
-    return {t: tables.load_table(spark, t, base) for t in QUALITY_TABLES}
+#: All 14 driver tables, vectors and raw pages included.
+ALL_TABLES = {**QUALITY_TABLES,
+              "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+              "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")]}
+
+
+def _quality_tables(spark, base, which=None):
+    return {t: tables.load_table(spark, t, base) for t in which or QUALITY_TABLES}
+
+
+def _each_table(spark, base, check, which=None):
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), [check(df, t) for t, df in _quality_tables(spark, base, which).items()])
 
 
 def _q_nulls_sql(t: str) -> str:
@@ -246,7 +257,7 @@ def _q_nulls_sql(t: str) -> str:
         f"""SELECT '{t}' AS "table", '{c}' AS "column", '{ty}' AS dtype, count(*) - count({c}) AS null_count,
        {rnd(f'CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)')} AS null_pct,
        (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicates,
-       count(*) AS row_count FROM {t}""" for c, ty in QUALITY_TABLES[t])
+       count(*) AS row_count FROM {t}""" for c, ty in ALL_TABLES[t])
 
 
 @register("a21_table_quality", "\nUNION ALL\n".join(_q_nulls_sql(t) for t in QUALITY_TABLES))
@@ -267,12 +278,12 @@ def a22_duplicate_count(spark, base):
 
 
 def _strings(t: str) -> list[str]:
-    return [c for c, ty in QUALITY_TABLES[t] if ty == "string"]
+    return [c for c, ty in ALL_TABLES[t] if ty == "string"]
 
 
-def _empty_sql() -> str:
+def _empty_sql(which=QUALITY_TABLES) -> str:
     parts = []
-    for t in QUALITY_TABLES:
+    for t in which:
         for c in _strings(t):
             parts.append(f"""SELECT '{t}' AS "table", '{c}' AS "column", count(CASE WHEN {c} = '' THEN 1 END) AS empty_strings,
        {rnd(f"CAST(count(CASE WHEN {c} = '' THEN 1 END) AS DOUBLE) * 100 / count(*)")} AS pct FROM {t}""")
@@ -286,9 +297,9 @@ def a23_empty_string_check(spark, base):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _numeric_sql(min_rate: float = 0.8) -> str:
+def _numeric_sql(min_rate: float = 0.8, which=QUALITY_TABLES) -> str:
     parts = []
-    for t in QUALITY_TABLES:
+    for t in which:
         for c in _strings(t):
             ok = f"count(CASE WHEN regexp_full_match(trim({c}), '{_NUM_RE}') THEN 1 END)"
             parts.append(f"""SELECT '{t}' AS "table", '{c}' AS "column", 'string' AS dtype, count({c}) AS nn, {ok} AS ok
@@ -322,22 +333,22 @@ def j2_orphans(spark, base):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _validate_sql() -> str:
+def _validate_sql(which=QUALITY_TABLES, relations=RELATIONS) -> str:
     nulls = "\nUNION ALL\n".join(
         f"""SELECT 'nulls' AS "check", '{t}' AS "table", '{c}' AS "column", CAST(count(*) - count({c}) AS DOUBLE) AS value,
        CASE WHEN count(*) - count({c}) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {t}"""
-        for t in QUALITY_TABLES for c, _ in QUALITY_TABLES[t])
+        for t in which for c, _ in which[t])
     dups = "\nUNION ALL\n".join(
         f"""SELECT 'duplicates', '{t}', CAST(NULL AS VARCHAR), CAST(d AS DOUBLE), CASE WHEN d = 0 THEN 'PASS' ELSE 'FAIL' END
 FROM (SELECT (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS d)"""
-        for t in QUALITY_TABLES)
-    empt = f"""SELECT 'empty_strings', "table", "column", CAST(empty_strings AS DOUBLE), 'FAIL' FROM ({_empty_sql()})"""
-    numt = f"""SELECT 'numeric_text', "table", "column", numeric_pct, 'WARN' FROM ({_numeric_sql()})"""
+        for t in which)
+    empt = f"""SELECT 'empty_strings', "table", "column", CAST(empty_strings AS DOUBLE), 'FAIL' FROM ({_empty_sql(which)})"""
+    numt = f"""SELECT 'numeric_text', "table", "column", numeric_pct, 'WARN' FROM ({_numeric_sql(which=which)})"""
     orph = "\nUNION ALL\n".join(
         f"""SELECT 'orphans:{p}.{pk}', '{c}', '{ck}', CAST(count(DISTINCT x.{ck}) AS DOUBLE),
        CASE WHEN count(DISTINCT x.{ck}) = 0 THEN 'PASS' ELSE 'FAIL' END
 FROM {c} x LEFT JOIN (SELECT DISTINCT {pk} FROM {p}) y ON x.{ck} = y.{pk} WHERE y.{pk} IS NULL"""
-        for c, ck, p, pk in RELATIONS)
+        for c, ck, p, pk in relations)
     return "\nUNION ALL\n".join([nulls, dups, empt, numt, orph])
 
 
@@ -346,6 +357,47 @@ def g1_validate_all(spark, base):
     return quality.validate_all(_quality_tables(spark, base), RELATIONS)
 
 
+#: Every key that refers to another table.
+ALL_RELATIONS = [*RELATIONS, ("supplier", "s_nationkey", "nation", "n_nationkey"), ("events", "user_id", "customer", "c_custkey"),
+                 ("nation", "n_regionkey", "region", "r_regionkey")]
+
+
+@register("a21_table_quality_all", "\nUNION ALL\n".join(_q_nulls_sql(t) for t in ALL_TABLES))
+def a21_table_quality_all(spark, base):
+    """Null counts, duplicates and types of all 14 tables."""
+    return _each_table(spark, base, quality.table_quality, ALL_TABLES)
+
+
+@register("a22_duplicate_count_all", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))"
+    f" AS duplicates" for t in ALL_TABLES))
+def a22_duplicate_count_all(spark, base):
+    return _each_table(spark, base, lambda df, t: quality.duplicate_count(df).select(F.lit(t).alias("table"), "duplicates"), ALL_TABLES)
+
+
+@register("a22_duplicate_count_subset", """SELECT (SELECT count(*) FROM documents)
+    - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicates""")
+def a22_duplicate_count_subset(spark, base):
+    """Documents that repeat text and language: texts are hashed in the scan, never shuffled."""
+    return quality.duplicate_count(tables.load_table(spark, "documents", base), ["text", "lang"])
+
+
+@register("a23_empty_string_check_all", _empty_sql(ALL_TABLES))
+def a23_empty_string_check_all(spark, base):
+    return _each_table(spark, base, quality.empty_string_check, ALL_TABLES)
+
+
+@register("a24_numeric_text_check_all", _numeric_sql(which=ALL_TABLES))
+def a24_numeric_text_check_all(spark, base):
+    return _each_table(spark, base, quality.numeric_text_check, ALL_TABLES)
+
+
+@register("g1_validate_all_tables", _validate_sql(ALL_TABLES, ALL_RELATIONS))
+def g1_validate_all_tables(spark, base):
+    """Every check over all 14 tables and all nine relations."""
+    return quality.validate_all(_quality_tables(spark, base, ALL_TABLES), ALL_RELATIONS)
+
+
 @register("s6_coerce_numeric", f"""
 SELECT o_orderkey,
        CASE WHEN regexp_full_match(trim(o_orderpriority), '{_NUM_RE}') THEN CAST(trim(o_orderpriority) AS DOUBLE) END
