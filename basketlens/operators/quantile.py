@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 SHIFTS = (42, 21, 0)
 SALTS = 16
+HOLDS = "({r} >= _before AND {r} < _before + _c)"  # a bin holds the rank r
 
 
 def order_code(x: str) -> Column:
@@ -61,32 +62,51 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
     src = df.select(group.alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     values = src.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_code", order_code("_v"))
 
-    # The 0-based ranks wanted in a group of _n values, and whether one of them lies in a bin.
+    # The 0-based ranks wanted in a group of _n values.
     low = [f"CAST(floor((_n - 1) * {float(p)!r}D) AS LONG)" for p in probs]
     high = [f"CAST(ceil((_n - 1) * {float(p)!r}D) AS LONG)" for p in probs]
-    holds = "({r} >= _before AND {r} < _before + _c)"
+    wanted = _select(values, low + high, bool(keys))
+    one = []
+    for p, lo, hi in zip(probs, low, high):
+        lower = f"max(CASE WHEN {HOLDS.format(r=lo)} THEN _v END)"
+        above = f"max(CASE WHEN {HOLDS.format(r=hi)} THEN _v END)"
+        one.append(f"{lower} + ({above} - {lower}) * max((_n - 1) * {float(p)!r}D - {lo})")
+    res = F.expr(f"array({', '.join(one)})").alias(out)
+    if not keys:
+        return wanted.agg(res)
+    return wanted.groupBy("_k").agg(res).select(*[F.col("_k")[k].alias(k) for k in keys], out)
+
+
+def kth_smallest(df: DataFrame, by: str, code: str, rank: str) -> DataFrame:
+    """(by, code, before): per group the value of the long ``code`` at the group's 0-based ``rank``, and the rows below it.
+
+    Every row of a group carries the group's ``rank``; groups whose rank lies outside have no row.
+    """
+    values = df.selectExpr(f"struct(`{by}`) AS _k", f"CAST(`{code}` AS LONG) AS _code", f"CAST(`{rank}` AS LONG) AS _n")
+    values = values.groupBy("_k", "_code", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_v", F.col("_code"))
+    found = _select(values, ["_n"], True, sized=True)
+    return found.select(F.col("_k")[by].alias(by), F.col("_v").alias(code), F.col("_before").alias("before"))
+
+
+def _select(values: DataFrame, ranks: Sequence[str], grouped: bool, sized: bool = False) -> DataFrame:
+    """The rounds: (_k, _bin, _v, _c, _before, _n) of the single values of ``values(_k, _code, _v, _c)`` that hold a rank.
+
+    ``ranks`` are SQL over ``_n``, the number of values of the group, or what the rows carry as ``_n`` if ``sized``.
+    """
     wanted, upper = None, None
     for shift in SHIFTS:
         if wanted is None:
-            rows = values.selectExpr("_k", "0L AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "0L AS _base", "0L AS _n")
+            rows = values.selectExpr("_k", "0L AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "0L AS _base", "_n" if sized else "0L AS _n")
         else:
-            rows = _inside(values, wanted, upper, bool(keys)).selectExpr("_k", "_lead AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "_base", "_n")
+            inside = _inside(values.drop("_n") if sized else values, wanted, upper, grouped)
+            rows = inside.selectExpr("_k", "_lead AS _parent", f"shiftright(_code, {shift}) AS _bin", "_c", "_v", "_base", "_n")
         bins = rows.groupBy("_k", "_parent", "_bin").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.min("_base").alias("_base"), F.min("_n").alias("_n"))
         run = "OVER (PARTITION BY _k, _parent ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        size = "sum(_c) OVER (PARTITION BY _k, _parent)" if wanted is None else "_n"
+        size = "sum(_c) OVER (PARTITION BY _k, _parent)" if wanted is None and not sized else "_n"
         bins = bins.selectExpr("_k", "_bin", "_v", "_c", f"_base + sum(_c) {run} - _c AS _before", f"{size} AS _n")
-        wanted = bins.where(" OR ".join(holds.format(r=r) for r in dict.fromkeys(low + high)))
+        wanted = bins.where(" OR ".join(HOLDS.format(r=r) for r in dict.fromkeys(ranks)))
         upper = shift
-
-    one = []
-    for p, lo, hi in zip(probs, low, high):
-        lower = f"max(CASE WHEN {holds.format(r=lo)} THEN _v END)"
-        above = f"max(CASE WHEN {holds.format(r=hi)} THEN _v END)"
-        one.append(f"{lower} + ({above} - {lower}) * max((_n - 1) * {float(p)!r}D - {lo})")
-    res = F.expr(f"array({', '.join(one)})").alias(out)
-    if not keys:
-        return wanted.agg(res)
-    return wanted.groupBy("_k").agg(res).select(*[F.col("_k")[k].alias(k) for k in keys], out)
+    return wanted
 
 
 def _inside(values: DataFrame, wanted: DataFrame, shift: int, grouped: bool) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from basketlens.functions.core import mean, pround
-from basketlens.functions.dist import chi2_pvalue, norm_ppf, t_pvalue
+from basketlens.functions.dist import EXACT_U_VALUES, chi2_pvalue, exact_u_pvalue, norm_ppf, t_pvalue
 from basketlens.operators.ordered import running_sum
 from basketlens.operators.profile import long_by_dimension
 
@@ -159,12 +159,17 @@ def _value_ranks(df: DataFrame, value: str, buckets: int | None, weight: str | N
     return cum.select(value, "t", (F.col("_cum") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 
+SMALL_SAMPLE = 8
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, buckets: int | None = None,
                  alpha: float = 0.05, digits: int | None = 6) -> DataFrame:
     """Two-sided Mann-Whitney U of ``first`` vs ``second`` (H4).
 
-    Asymptotic normal test with tie and continuity corrections (SciPy's
-    method for samples larger than 8). ``u`` is the statistic of ``first``.
+    Asymptotic normal test with tie and continuity corrections; where one
+    sample has at most SMALL_SAMPLE values and nothing is tied, p comes from the
+    exact distribution of U (the choice the usual statistics library makes).
+    ``u`` is the statistic of ``first``.
     """
     d = df.filter(F.col(value).isNotNull() & F.col(group).isin(first, second)) \
           .select(F.col(value).cast("double").alias("_v"), (F.col(group) == F.lit(first)).cast("int").alias("_g1"))
@@ -179,13 +184,16 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, buckets:
     out = s.select(F.lit(str(first)).alias("group_1"), F.lit(str(second)).alias("group_2"),
                    n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u1.alias("u"),
                    F.greatest(u1, n1 * n2 - u1).alias("_umax"),
-                   (n1 * n2 / 2).alias("_mu"),
+                   (n1 * n2 / 2).alias("_mu"), F.col("tie").alias("_tie"),
                    F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1)))).alias("_s"))
     z = F.try_divide(F.col("_umax") - F.col("_mu") - 0.5, F.col("_s"))
     out = out.withColumn("z", z)
     out = out.withColumn("p", F.when(F.col("z") < 0, F.lit(1.0)).otherwise(
         F.least(F.lit(1.0), 2 * _norm_sf(F.col("z")))))
-    out = out.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False))).drop("_umax", "_mu", "_s")
+    small = (F.least("n1", "n2") <= SMALL_SAMPLE) & (F.least("n1", "n2") > 0) & (F.col("_tie") == 0) & (F.col("n1") * F.col("n2") <= EXACT_U_VALUES)
+    exact = [F.when(small, c) for c in (F.col("n1"), F.col("n2"), F.col("_umax"))]
+    out = out.withColumn("_exact", exact_u_pvalue(*exact)).withColumn("p", F.coalesce("_exact", "p"))
+    out = out.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False))).drop("_umax", "_mu", "_s", "_tie", "_exact")
     if digits is not None:
         out = out.withColumn("z", pround("z", digits))
     return out

@@ -12,7 +12,8 @@ from basketlens.operators import charts, ltv, ml, profile, quality, stats
 from basketlens.plans.oracle import mean, rnd
 from basketlens.plans.q_anomaly import _PROFILE, _features
 from basketlens.plans.q_customers import _CONV
-from basketlens.plans.registry import register
+from basketlens.plans.q_ltv import _DETAIL_COLS, _LTV
+from basketlens.plans.registry import ORACLE, register
 from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources import retail, tables
 from basketlens.sources.retail import AS_OF
@@ -182,13 +183,30 @@ def m1_standardize(spark, base):
     return z.select("customer_id", *[pround(f"_z_{f}", 6).alias(f"z_{f}") for f in _FEATS])
 
 
-@register("m2_stratified_split")
+_M2 = f"""
+WITH c AS (SELECT customer_id, churned, {ml.split_hash_sql('customer_id', 42)} AS h FROM v_customers),
+k AS (SELECT churned, count(*) AS nc FROM c GROUP BY churned),
+t AS (SELECT *, CAST(ceil(sum(nc) OVER () * CAST(0.2 AS DOUBLE)) AS BIGINT) AS t, CAST(sum(nc) OVER () AS BIGINT) AS n FROM k),
+w AS (SELECT *, (t * nc) // n AS whole, (t * nc) % n AS rest FROM t),
+s AS (SELECT churned, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, churned NULLS FIRST) <= t - sum(whole) OVER ()
+                                   THEN 1 ELSE 0 END AS n_test FROM w),
+m AS (SELECT customer_id, c.churned, row_number() OVER (PARTITION BY c.churned ORDER BY h, customer_id) <= n_test AS is_test
+      FROM c JOIN s ON c.churned IS NOT DISTINCT FROM s.churned)"""
+
+
+@register("m2_stratified_split", f"{_M2} SELECT churned, is_test, count(*) AS n FROM m GROUP BY churned, is_test")
 def m2_stratified_split(spark, base):
     c = retail.customers(spark, base)
     s = ml.stratified_split(c, "churned", "customer_id", 0.2, 42)
     return s.groupBy("churned", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("m2_split_members", f"{_M2} SELECT customer_id, churned, is_test FROM m")
+def m2_split_members(spark, base):
+    """Which customers are test rows: the same integer hash in both engines."""
+    return ml.stratified_split(retail.customers(spark, base).select("customer_id", "churned"), "churned", "customer_id", 0.2, 42)
+
+
 def _model(spark, base):
     return ml.churn_model(retail.customers(spark, base), _FEATS, "churned", key="customer_id", seed=42)
 
@@ -519,6 +537,25 @@ def s5_load_parts(spark, base):
     return tables.load_parts(spark, [tables.table_path(base, "orders")])
 
 
+@register("s5_load_drifting_parts", """SELECT o_orderkey, o_custkey, o_orderdate,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey % 3 <> 1 THEN o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def s5_load_drifting_parts(spark, base):
+    """Three parts of orders as older exports would have them: columns missing, keys as int, text or bigint, prices as decimals."""
+    out = _scratch(spark)
+    o = tables.load_table(spark, "orders", base)
+    parts = {
+        "a": o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("int").alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_orderdate"),
+        "b": o.where("o_orderkey % 3 = 1").select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), "o_orderdate",
+                                                   F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")),
+        "c": o.where("o_orderkey % 3 = 2"),
+    }
+    for name, df in parts.items():
+        df.write.parquet(f"{out}/{name}")
+    return tables.load_parts(spark, [f"{out}/{name}" for name in parts])
+
+
 @register("u3_distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_discount FROM lineitem")
 def u3_distinct_rows(spark, base):
     return tables.load_table(spark, "lineitem", base).select("l_returnflag", "l_linestatus", "l_discount").distinct()
@@ -549,22 +586,59 @@ def s8_export_tables_parquet(spark, base):
 def s9_export_ltv_snapshot(spark, base):
     out = _scratch(spark)
     detail = ltv.ltv_pipeline(retail.customers(spark, base), AS_OF)
-    paths = tables.export_snapshot(detail, {"dimension": ltv.ltv_aggregate(detail)}, out, "20010802_0000",
-                                   detail_columns=["customer_id", "country", "age_group", "gender", "membership_tier",
-                                                   "lifespan_years", "ltv", "annual_spend_rate", "churn_probability",
-                                                   "survival_probability", "projected_ltv"])
-    return spark.read.parquet(paths[0])
+    path = tables.export_snapshot(detail, ltv.ltv_aggregate(detail), out, "20010802_0000", detail_columns=_DETAIL_COLS)
+    return tables.read_export(spark, path, "detail", _DETAIL_COLS)
+
+
+_S9_DIMS = ("membership_tier", "country", "age_group")
+
+
+@register("s9_export_by_dimension", f"""
+WITH a AS ({ORACLE["a8_ltv_aggregate"]})
+SELECT 'by_' || dimension AS output, segment, customer_count, avg_ltv, median_ltv, avg_projected_ltv FROM a""")
+def s9_export_by_dimension(spark, base):
+    """The three outputs by dimension of one export job, read back from their folders."""
+    detail = ltv.ltv_pipeline(retail.customers(spark, base), AS_OF)
+    path = tables.export_snapshot(detail, ltv.ltv_aggregate(detail), _scratch(spark), "20010802_0000", detail_columns=_DETAIL_COLS)
+    cols = ["segment", "customer_count", "avg_ltv", "median_ltv", "avg_projected_ltv"]
+    frames = [tables.read_export(spark, path, f"by_{d}", cols).withColumn("output", F.lit(f"by_{d}")) for d in _S9_DIMS]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@register("s10_append_ltv_snapshot")
+@register("s10_append_ltv_snapshot", f"""
+SELECT d.snapshot_date, d.pipeline_version, count(*) AS rows
+FROM customer, (VALUES (DATE '{AS_OF}', '1.0'), (DATE '{AS_OF}', '1.10'), (DATE '2001-09-01', '1.0')) AS d(snapshot_date, pipeline_version)
+GROUP BY ALL""")
 def s10_append_ltv_snapshot(spark, base):
-    from basketlens.streaming.snapshots import append_snapshot
+    """Two versions of a date stay, a repeated run supersedes its own, a run that was never published is not seen."""
+    from basketlens.streaming import snapshots
     out = _scratch(spark)
     detail = ltv.ltv_pipeline(retail.customers(spark, base), AS_OF)
-    append_snapshot(ltv.snapshot_rows(detail, AS_OF), out)
-    append_snapshot(ltv.snapshot_rows(detail, "2001-09-01"), out)
-    append_snapshot(ltv.snapshot_rows(detail, AS_OF), out)  # re-run of a date replaces, never duplicates
-    return spark.read.parquet(out).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("rows"))
+    snapshots.append_snapshot(ltv.snapshot_rows(detail, AS_OF), out)
+    snapshots.append_snapshot(ltv.snapshot_rows(detail, AS_OF, "1.10"), out)
+    snapshots.append_snapshot(ltv.snapshot_rows(detail, "2001-09-01"), out)
+    snapshots.append_snapshot(ltv.snapshot_rows(detail, AS_OF), out)
+    snapshots.write_run(ltv.snapshot_rows(detail, "2001-10-01"), out)  # a run that fails before it publishes
+    return snapshots.read_snapshots(spark, out).groupBy("snapshot_date", "pipeline_version").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _ltv_at(day: str) -> str:
+    return f"(WITH {_LTV.replace(AS_OF, day)} SELECT customer_id, ltv, projected_ltv, churn_probability FROM ltvd)"
+
+
+@register("s11_snapshot_asof", f"""
+SELECT b.customer_id, DATE '2002-08-02' AS snapshot_date, DATE '2001-08-02' AS previous_snapshot,
+       b.projected_ltv, b.projected_ltv - a.projected_ltv AS projected_ltv_change, b.ltv - a.ltv AS ltv_change
+FROM {_ltv_at("2002-08-02")} b JOIN {_ltv_at("2001-08-02")} a ON a.customer_id = b.customer_id""")
+def s11_snapshot_asof(spark, base):
+    """History since 2002 only: each customer's predecessor lies before the range and is still found."""
+    from basketlens.streaming.snapshots import append_snapshot, read_snapshot_history
+    out = _scratch(spark)
+    c = retail.customers(spark, base)
+    for day in ("2000-08-02", "2001-08-02", "2002-08-02"):
+        append_snapshot(ltv.snapshot_rows(ltv.ltv_pipeline(c, day), day), out)
+    h = read_snapshot_history(spark, out, since="2002-01-01")
+    return h.select("customer_id", "snapshot_date", "previous_snapshot", "projected_ltv", "projected_ltv_change", "ltv_change")
 
 
 @register("s11_snapshot_history")
