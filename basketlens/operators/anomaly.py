@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.core import bin_expr, flag, mean, pround
+from basketlens.session import saved
 
 # History depth bins (right-closed) and consensus tiers.
 HISTORY_EDGES = [0, 2, 5, 15, float("inf")]
@@ -102,7 +103,7 @@ def baselines(features: DataFrame, metrics: Sequence[str] = BASELINE_METRICS) ->
     """Per-metric n, mean, median, std, p75, p90, p95, p99, iqr."""
     from basketlens.operators.quantile import quantile_frame
 
-    long = metric_long(features, metrics)
+    long = saved(metric_long(features, metrics), "metrics")  # read by the moments and the quantiles
     probs = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
     stats = [F.count(F.lit(1)).alias("n"), mean("value").alias("mean"), F.stddev_samp("value").alias("std")]
     agg = long.groupBy("metric").agg(*stats).join(quantile_frame(long, "value", probs, ["metric"]), "metric")
@@ -227,15 +228,38 @@ def tradeoff_table(features: DataFrame, base: DataFrame, metric: str = "return_r
     return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
-def flag_summary(df: DataFrame, flag_cols: Sequence[str]) -> DataFrame:
-    """Count and share of every flag column in one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(F.col(c).cast("int")).alias(c) for c in flag_cols]
-    row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("flag"), F.col(c).cast("bigint").alias("flagged"),
-                      (F.col(c) * 100.0 / F.col("_n")).alias("flag_pct")) for c in flag_cols]
+def flag_summary(df: DataFrame, flag_cols: Sequence[str], count: str | None = None) -> DataFrame:
+    """Count and share of every flag column in one aggregate.
+
+    With ``count``, the column that counts a row's flags, two rows follow: any
+    flag and two or more.
+    """
+    named = {c: F.col(c) for c in flag_cols}
+    if count:
+        named.update({"any": F.col(count) > 0, "two_or_more": F.col(count) >= 2})
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(k) for k, c in named.items()])
+    parts = [F.struct(F.lit(k).alias("flag"), F.col(k).cast("bigint").alias("flagged"),
+                      F.try_divide(F.col(k) * 100.0, F.col("_n")).alias("flag_pct")) for k in named]
     return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
+def spc_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Rows flagged per metric by z-score and by fence, and the flagged rows in all (A29), in one aggregate."""
+    def hits(c: str) -> Column:
+        return F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).cast("bigint")
+
+    row = df.agg(*[F.struct(F.lit(m).alias("metric"), hits(f"zscore_flag_{m}").alias("z_flagged"), hits(f"iqr_flag_{m}").alias("fence_flagged")).alias(f"_{m}")
+                   for m in metrics], hits("spc_flagged").alias("spc_flagged"))
+    return row.select("spc_flagged", F.explode(F.array(*[F.col(f"_{m}") for m in metrics])).alias("s")).select("s.*", "spc_flagged")
+
+
+def forest_summary(df: DataFrame) -> DataFrame:
+    """Rows the forest flags, their share, and the range of scores."""
+    return df.agg(F.sum(F.col("iso_flagged").cast("int")).alias("flagged"), F.count(F.lit(1)).alias("n"),
+                  F.min("iso_anomaly_score").alias("lowest"), F.max("iso_anomaly_score").alias("highest")).withColumn(
+        "flag_pct", F.try_divide(F.col("flagged") * 100.0, F.col("n")))
+
+
 def high_confidence_profile(df: DataFrame, metrics: Sequence[str] = (
         "return_rate", "avg_order_value", "order_velocity", "churned"), level: int = 3) -> DataFrame:
     """Mean metrics of rows flagged by ``level`` methods vs the population."""

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from basketlens.session import saved
+
 _B, _P = "_bl_bucket", "_bl_piece"
 SPLITTERS_PER_PARTITION = 4
 SALTS = 16
@@ -110,7 +112,13 @@ def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, ou
 
     ``order`` must end with a unique tie-breaker for a deterministic result.
     ``buckets`` is the number of splitters (four per shuffle partition by default).
+    ``df`` is written to shared storage first: splitters, totals and windows read it.
     """
+    return _running_sum(saved(df, "ordered"), order, value, out, partition_by, buckets)
+
+
+def _running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, out: str,
+                 partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     b = add_range_bucket(df, order, buckets or default_buckets(df))
     keys = list(partition_by)
     cell = [*keys, _B, _P]
@@ -155,8 +163,8 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_bl_n")))
     buckets = buckets or default_buckets(df)
     cum = running_sum(counts, [(value, descending)], "_bl_n", "_bl_cum", partition_by=keys, buckets=buckets)
-    ranks = cum.select(*keys, value, "_bl_n",
-                       (F.col("_bl_cum") - F.col("_bl_n") + (F.col("_bl_n") + 1) / 2.0).alias(out))
+    ranks = saved(cum.select(*keys, value, "_bl_n",
+                             (F.col("_bl_cum") - F.col("_bl_n") + (F.col("_bl_n") + 1) / 2.0).alias(out)), "ranks")
     return with_hot_keys_salted(df, ranks, [*keys, value], "_bl_n", buckets).select(*df.columns, out)
 
 
@@ -183,7 +191,8 @@ def abc_classification(df: DataFrame, value: str, key: str, cuts: tuple[float, f
     Descending by ``value`` with ``key`` as the tie-breaker; adds ``cum_pct``
     and ``abc_class``.
     """
-    run = running_sum(df, [(value, True), (key, False)], value, "_bl_run", buckets=buckets)
+    df = saved(df, "abc")
+    run = _running_sum(df, [(value, True), (key, False)], value, "_bl_run", buckets=buckets)
     tot = df.agg(F.sum(value).cast("double").alias("_bl_grand"))
     cum = F.col("_bl_run").cast("double") / F.col("_bl_grand") * 100
     return (run.crossJoin(F.broadcast(tot))
@@ -200,7 +209,7 @@ def rank_gap(df: DataFrame, count_col: str, value_col: str, buckets: int | None
     Adds ``orders_rank``, ``revenue_rank``, ``rank_gap``, ``gap_threshold``
     and ``flagged``. The threshold is a one-row aggregate joined by broadcast.
     """
-    r = average_rank(df, count_col, "orders_rank", buckets=buckets)
+    r = average_rank(saved(df, "rank_gap"), count_col, "orders_rank", buckets=buckets)
     r = average_rank(r, value_col, "revenue_rank", buckets=buckets)
     r = r.withColumn("rank_gap", F.abs(F.col("orders_rank") - F.col("revenue_rank")))
     thr = r.agg((F.avg("rank_gap") + F.stddev_samp("rank_gap")).alias("gap_threshold"))

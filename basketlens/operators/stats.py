@@ -23,6 +23,7 @@ from basketlens.functions.core import mean, pround
 from basketlens.functions.dist import EXACT_U_VALUES, chi2_pvalue, exact_u_pvalue, norm_ppf, t_pvalue
 from basketlens.operators.ordered import running_sum
 from basketlens.operators.profile import long_by_dimension
+from basketlens.session import saved
 
 
 def _r_from_moments(cov: Column, vx: Column, vy: Column) -> Column:
@@ -209,8 +210,8 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, buckets: int | None =
     """Kruskal-Wallis H over the groups of ``group`` with tie correction (H5)."""
     d = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()) \
           .select(F.col(value).cast("double").alias("_v"), F.col(group).alias("_g"))
-    vg = d.groupBy("_v", "_g").agg(F.count(F.lit(1)).alias("c"))
-    ranks = _value_ranks(vg.groupBy("_v").agg(F.sum("c").alias("_bl_c")), "_v", buckets, weight="_bl_c")
+    vg = saved(d.groupBy("_v", "_g").agg(F.count(F.lit(1)).alias("c")), "value_groups")
+    ranks = saved(_value_ranks(vg.groupBy("_v").agg(F.sum("c").alias("_bl_c")), "_v", buckets, weight="_bl_c"), "value_ranks")
     per_group = (vg.join(ranks, "_v").groupBy("_g")
                    .agg(F.sum(F.col("c") * F.col("rank")).alias("rsum"), F.sum("c").cast("double").alias("ng")))
     ties = ranks.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("tie"),

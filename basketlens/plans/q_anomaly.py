@@ -8,6 +8,7 @@ from basketlens.functions.core import pround
 from basketlens.operators import anomaly, charts, forest, profile
 from basketlens.plans.oracle import mean, rnd
 from basketlens.plans.registry import register
+from basketlens.session import saved
 from basketlens.sources import retail
 
 MIN_ORDERS = 3
@@ -69,6 +70,20 @@ thr AS (SELECT coalesce({_st('return_rate', 'p90')}, 0.333) + 1.5 * coalesce({_s
         FROM base)"""
 
 
+# Percentile and default of each threshold when none is measured.
+_PLAIN = {"loose": {"rr": ("return_rate", "p90", 0.333), "rv": ("refund_velocity", "p90", 1.0),
+                    "ov": ("order_velocity", "p95", 30.0), "wi": ("wardrobing_index", "p90", 50.0)},
+          "strict": {"rr": ("return_rate", "p95", 0.5), "rv": ("refund_velocity", "p95", 2.0),
+                     "ov": ("order_velocity", "p99", 30.0), "wi": ("wardrobing_index", "p95", 100.0)}}
+
+
+def _thr_sql(strictness: str) -> str:
+    if strictness == "moderate":
+        return _THR
+    cols = ", ".join(f"coalesce({_st(m, p)}, {d}) AS {k}_threshold" for k, (m, p, d) in _PLAIN[strictness].items())
+    return f"thr AS (SELECT {cols}, {_st('payment_velocity', 'p90')} AS pv_threshold FROM base)"
+
+
 def _features(spark, base):
     prof = anomaly.customer_order_profile(retail.lines(spark, base), retail.customer_attributes(spark, base))
     return anomaly.anomaly_features(prof, MIN_ORDERS)
@@ -147,6 +162,45 @@ def a29_rule_flag_summary(spark, base):
     return anomaly.flag_summary(_rules(spark, base), _RULES)
 
 
+def _rules_at(spark, base, strictness):
+    f = saved(_features(spark, base), "features")
+    return anomaly.rule_flags(f, anomaly.rule_thresholds(anomaly.baselines(f), strictness))
+
+
+def _summary_sql(flags, count: str) -> str:
+    named = [*[(c, f"CAST({c} AS INTEGER)") for c in flags], ("any", f"CAST({count} > 0 AS INTEGER)"), ("two_or_more", f"CAST({count} >= 2 AS INTEGER)")]
+    return " UNION ALL ".join(f"SELECT '{n}' AS flag, CAST(sum({e}) AS BIGINT) AS flagged, sum({e}) * CAST(100 AS DOUBLE) / count(*) AS flag_pct FROM rc" for n, e in named)
+
+
+def _register_strictness(strictness: str) -> None:
+    head = f"WITH {_PROFILE}, {_BASE}, {_thr_sql(strictness)}"
+    names = ("rr_threshold", "rv_threshold", "ov_threshold", "wi_threshold", "pv_threshold")
+
+    @register(f"r1_rule_thresholds_{strictness}", f"{head} SELECT {', '.join(f'{rnd(c, 6)} AS {c}' for c in names)} FROM thr")
+    def thresholds(spark, base):
+        t = anomaly.rule_thresholds(anomaly.baselines(_features(spark, base)), strictness)
+        return t.select(*[pround(c, 6).alias(c) for c in names])
+
+    @register(f"r2_rule_flags_{strictness}", f"{head}, {_RULE_SQL} SELECT *, rule_flag_count > 0 AS rule_flagged FROM rc")
+    def flags(spark, base):
+        return _rules_at(spark, base, strictness).select("customer_id", *_RULES, "rule_flag_count", "rule_flagged")
+
+
+_register_strictness("loose")
+_register_strictness("strict")
+
+
+def _register_summary(strictness: str) -> None:
+    @register(f"a29_rule_summary_{strictness}", f"WITH {_PROFILE}, {_BASE}, {_thr_sql(strictness)}, {_RULE_SQL} {_summary_sql(_RULES, 'rule_flag_count')}")
+    def summary(spark, base):
+        """Every rule, any rule, and two or more of them."""
+        return anomaly.flag_summary(_rules_at(spark, base, strictness), _RULES, "rule_flag_count")
+
+
+for _level in ("loose", "moderate", "strict"):
+    _register_summary(_level)
+
+
 _SPC = [m for m in _METRICS if m not in anomaly.SPC_EXCLUDE]
 
 
@@ -204,6 +258,23 @@ def a31_history_depth_counts(spark, base):
     return profile.label_counts(_features(spark, base), "history_depth", anomaly.HISTORY_LABELS)
 
 
+def _spc_summary_sql() -> str:
+    stat = ", ".join(f"{_st(m, 'mean')} AS mean_{m}, {_st(m, 'std')} AS std_{m}, {_st(m, 'p75')} + 3.0 * {_st(m, 'iqr')} AS fence_{m}" for m in _SPC)
+    z = {m: f"coalesce({rnd(f'({m} - mean_{m}) / nullif(std_{m}, 0)', 3)} > 2.5, false)" for m in _SPC}
+    fence = {m: f"coalesce({m} > fence_{m}, false)" for m in _SPC}
+    any_flag = " OR ".join([*z.values(), *fence.values()])
+    return f"WITH {_PROFILE}, {_BASE}, st AS (SELECT {stat} FROM base) " + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, count(CASE WHEN {z[m]} THEN 1 END) AS z_flagged, count(CASE WHEN {fence[m]} THEN 1 END) AS fence_flagged, "
+        f"count(CASE WHEN {any_flag} THEN 1 END) AS spc_flagged FROM feat, st" for m in _SPC)
+
+
+@register("a29_spc_summary", _spc_summary_sql())
+def a29_spc_summary(spark, base):
+    """Flags per metric by z-score and by fence."""
+    f = saved(_features(spark, base), "features")
+    return anomaly.spc_summary(anomaly.spc_flags(f, anomaly.baselines(f)), _SPC)
+
+
 # ---------------------------------------------------------------- forest-dependent (rows-only)
 
 def _full(spark, base, strictness="moderate", z=2.5, contamination=0.05):
@@ -214,11 +285,18 @@ def _full(spark, base, strictness="moderate", z=2.5, contamination=0.05):
 
 @register("m4_isolation_forest")
 def m4_isolation_forest(spark, base):
-    f = _features(spark, base)
+    f = saved(_features(spark, base), "features")  # read by the density check, the fit and the join back
     feats = profile.dense_features(f, anomaly.FOREST_FEATURES)
     return forest.isolation_forest(f, feats, "customer_id").select("customer_id", "iso_flagged", "iso_anomaly_score")
 
 
+@register("a29_forest_summary")
+def a29_forest_summary(spark, base):
+    f = saved(_features(spark, base), "features")
+    feats = profile.dense_features(f, anomaly.FOREST_FEATURES)
+    return anomaly.forest_summary(forest.isolation_forest(f, feats, "customer_id"))
+
+
 @register("r5_consensus")
 def r5_consensus(spark, base):
     df, _ = _full(spark, base)

@@ -695,7 +695,7 @@ def _stage(spark, base, name):
     from basketlens.plans import reports
 
     stages = {
-        "validate": lambda: {"checks": reports.validation(_quality_tables(spark, base), RELATIONS)},
+        "validate": lambda: {"checks": reports.validation(_quality_tables(spark, base, ALL_TABLES), ALL_RELATIONS)},
         "products": lambda: reports.product_analysis(retail.products(spark, base), "PROMO"),
         "customers": lambda: reports.customer_analysis(retail.customers(spark, base), cohort_floor=1997,
                                                        country="NATION_1"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -13,6 +14,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.scheduler.mode": "FAIR",
     "spark.ui.enabled": "false",
 }
 
@@ -57,6 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back.
+
+    For a frame that several branches of a plan read: its sources are evaluated
+    once, the branches prune columns, and a lost executor costs a scan.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def task_parallelism(spark: SparkSession) -> int:
     """Partitions for CPU-heavy Python stages: at least one per core.
 

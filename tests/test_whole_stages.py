@@ -32,3 +32,22 @@ def test_whole_pipeline_runs_every_stage(spark):
                                                        "anomaly", "exports"]
     assert got["exports", "orders"] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert all(got["exports", f"ltv_by_{d}"] for d in ("membership_tier", "country", "age_group"))
+
+
+def test_stage_digests_equal_those_of_the_single_queries(spark):
+    from basketlens.plans.catalog import QUERIES
+    got = {r.output: (r.rows, r.digest) for r in q_misc.g5_order_analysis(spark, SF).collect()}
+    for output, query in (("payment", "a17_payment_profile"), ("month", "a10_temporal_month"), ("new_vs_returning", "a16_new_vs_returning")):
+        df = QUERIES[query](spark, SF)
+        assert got[output] == tuple(df.agg(F.count(F.lit(1)), reports.digest(df)).first()), output
+
+
+def test_digest_is_order_free_and_sees_every_change(spark):
+    rows = [(1, 0.1 + 0.2, None, [1.0]), (2, -0.0, "x", None), (2, -0.0, "x", None)]
+    schema = "a long, b double, c string, d array<double>"
+    def of(r):
+        df = spark.createDataFrame(r, schema)
+        return df.agg(reports.digest(df)).first()[0]
+    assert of(rows) == of(rows[::-1]) == of([(1, 0.3, None, [1.0]), *rows[1:]])
+    others = [of(rows[:2]), of([(1, 0.3, "", [1.0]), *rows[1:]]), of([(1, 0.31, None, [1.0]), *rows[1:]]), of([(1, 0.3, None, [None]), *rows[1:]]), of([])]
+    assert of(rows) not in others and len(set(others)) == len(others)
