@@ -66,18 +66,7 @@ class Automaton:
             self.rank.setdefault((u, v), r)
             parts.setdefault(uv, (u, v, r))
         never = len(spec["model"]["merges"])
-        # edges: tokens at a token's right (left) edge, each with the rank at which it is merged further
-        self.right, self.left = {}, {}
-        for t in vocab.values():
-            for edge, side in ((self.right, 1), (self.left, 0)):
-                x, until, out = t, never, []
-                while True:
-                    out.append((x, until))
-                    if x not in parts:
-                        break
-                    until = parts[x][2]
-                    x = parts[x][side]
-                edge[t] = out
+        self.parts, self.never = parts, never
         ids = sorted(self.label)
         self.shorter = np.full(ids[-1] + 1, -1, np.int64)  # next shorter token on the same bytes
         for b, i in self.token.items():
@@ -85,22 +74,7 @@ class Automaton:
                 if (s := self.token.get(b[:n])) is not None:
                     self.shorter[i] = s
                     break
-        # byte trie of the labels: node * 256 + byte -> node, and the token that ends at a node
-        children, accept = [{}], [-1]
-        for b, i in self.token.items():
-            node = 0
-            for x in b:
-                if x not in children[node]:
-                    children[node][x] = len(children)
-                    children.append({})
-                    accept.append(-1)
-                node = children[node][x]
-            accept[node] = i
-        self.next_node = np.zeros(len(children) * 256, np.int32)
-        for node, out in enumerate(children):
-            for x, child in out.items():
-                self.next_node[node * 256 + x] = child
-        self.accept = np.array(accept, np.int64)
+        self.trie = K.ByteTrie(self.token)
         self.arc_key = np.full(ARC_SLOTS, -1, np.int64)  # state << 20 | token
         self.arc_ok = np.zeros(ARC_SLOTS, bool)
         self.flat = np.frombuffer(b"".join(self.label[i] for i in ids), np.uint8)
@@ -108,11 +82,22 @@ class Automaton:
         size[ids] = [len(self.label[i]) for i in ids]
         self.size, self.label_at = size, np.cumsum(size) - size
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Tokens at a token's right (side 1) or left (0) edge, each with the rank at which it is merged further."""
+        until, out = self.never, []
+        while True:
+            out.append((token, until))
+            if token not in self.parts:
+                return out
+            until = self.parts[token][2]
+            token = self.parts[token][side]
+
     def arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow in ``state``: no gadget (x, y) fires across the border."""
         rank = self.rank
-        for x, x_until in self.right[state]:
-            for y, y_until in self.left[token]:
+        left = self.edge(token, 0)
+        for x, x_until in self.edge(state, 1):
+            for y, y_until in left:
                 r = rank.get((x, y))
                 if r is not None and r < x_until and r <= y_until:
                     return False
@@ -143,11 +128,12 @@ class Automaton:
         node = np.zeros(len(data), np.int64)
         k = 0
         while len(live):
-            node = self.next_node[node * 256 + data[live + k]]
+            node = self.trie.step(node, data[live + k])
             on = node > 0
             live, node = live[on], node[on]
-            hit = self.accept[node] >= 0
-            best[live[hit]] = self.accept[node[hit]]
+            end = self.trie.accept[node]
+            hit = end >= 0
+            best[live[hit]] = end[hit]
             k += 1
             more = live + k < stop[live]
             live, node = live[more], node[more]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +109,27 @@ def running_totals(df: DataFrame, group: list[str], bucket: str, order: list, to
     both = {o: F.col(f"__before_{o}").bitwiseXOR(F.col(f"__own_{o}")) if x else F.col(f"__before_{o}") + F.col(f"__own_{o}")
             for o, (v, x) in totals.items()}
     return own.join(sums, same).select(*df.columns, *[c.cast("long").alias(o) for o, c in both.items()])
+
+
+def new_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """Column names like ``wanted`` that no column of ``taken`` has, in any case of letters."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shielded(fn):
+    """For operators that return ``docs``' columns: columns named ``__...`` pass through under other names."""
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        marked = [c for c in docs.columns if c.startswith("__")]
+        fresh = new_names(docs.columns, [f"shield{c}" for c in marked])
+        out = fn(docs.withColumnsRenamed(dict(zip(marked, fresh))), *args, **kwargs)
+        return out.withColumnsRenamed(dict(zip(fresh, marked)))
+
+    return run

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from basketlens.llm.common import WORD, running_total
+from basketlens.llm.common import WORD, running_total, shielded
 
 WEIGHTS = (5, 2, 1)       # repeating, by source in code-point order, NULL last
 SLOPES = (0.5, 0.0, -0.5)  # schedule of each weight: falling, level, rising demand
@@ -104,6 +104,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     at(1).alias("position"), at(2).alias("position_2"))
 
 
+@shielded
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The training stream: the input's columns, one row per copy taken, range-sorted by position.
 

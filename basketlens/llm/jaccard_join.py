@@ -54,9 +54,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens.llm import kernels as K
-from basketlens.llm.common import components, partitions, saved, shared_path
+from basketlens.llm.common import components, new_names, partitions, saved, shared_path
 
 WORDS = 5
 THRESHOLD_PCT = 75
@@ -135,10 +136,14 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
                      pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
                      *[pa.array(short[:, i]) for i in range(FOLDED)], pa.array([x.tobytes() for x in bits], pa.binary())], names=names)
-                seen += sets
+                # Only shingles that a slice repeats are kept until the end of the batch: the bitmap made of them
+                # is an order of rarity, any subset serves.
+                g, c = np.unique(np.concatenate(sets), return_counts=True)
+                seen.append((g[c > 1], c[c > 1]))
             if not seen:
                 continue
-            g, c = np.unique(np.concatenate(seen), return_counts=True)
+            g, where = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            c = np.bincount(where, weights=np.concatenate([x for _, x in seen]), minlength=len(g)).astype(np.int64)
             g, c = g[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
             if len(g):
                 yield pa.RecordBatch.from_arrays(
@@ -504,12 +509,9 @@ def _link_counts(classes: DataFrame, labels: DataFrame, rows: DataFrame) -> Data
         "sig", (F.coalesce("extra", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (id_col, n_shingles, component_id, n_links).
-
-    ``n_links`` is the number of other documents that link with the document,
-    exact copies included.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, links: bool) -> tuple[DataFrame, DataFrame | None]:
+    """One row per document (id, n, s1, s2, root), root the component of its class (NULL without words);
+    with ``links`` also (s1, n_links) per class."""
     spark = docs.sparkSession
     digests = saved(_digest_rows(docs, id_col, text_col), "digests")
     per_doc = digests.where("kind = 0").select("id", "n", "s1", "s2")
@@ -562,11 +564,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         follow(fresh)
         if last:
             break
-    degree = saved(_link_counts(classes, labels, spark.table(table)), "degree").withColumnRenamed("sig", "s1")
+    degree = saved(_link_counts(classes, labels, spark.table(table)), "degree").withColumnRenamed("sig", "s1") if links else None
     spark.sql(f"DROP TABLE {table}")
-
     members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
-        "id", "n", "s1", "s2", F.coalesce("root", "s1").alias("root"))
+        "id", "n", "s1", "s2", F.when(F.col("n") > 0, F.coalesce("root", "s1")).alias("root"))
+    return members, degree
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (id_col, n_shingles, component_id, n_links).
+
+    ``n_links`` is the number of other documents that link with the document,
+    exact copies included.
+    """
+    members, degree = _members(docs, id_col, text_col, True)
     lowest = members.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     full = (members.where("n > 0").join(lowest, "root").join(degree, "s1")
@@ -575,8 +586,50 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near duplicates: the smallest id of each component stays."""
-    found = near_duplicate_classes(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    return left
+    """The documents without near duplicates: one row of each component stays, all columns as they were.
+
+    The row with the smallest id stays (NULL ids last, then the smaller digest
+    of its set); of rows alike in id and set, any one. Rows without words stay.
+    Where ids are unique the id decides; rows whose id is NULL or repeated are
+    told apart by id and set, so a different text under a repeated id is not lost.
+    """
+    members = saved(_members(docs, id_col, text_col, False)[0], "members")
+    key = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("s1").alias("s1"), F.col("s2").alias("s2"))
+    best = members.where("n > 0").groupBy("root").agg(F.min(key).alias("best")).select("root", "best.id", "best.s1", "best.s2")
+    winners = best.select("id", "s1", "s2")
+    repeated = members.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    id_name, = new_names(docs.columns, ["kept_id"])
+    alone = members.where("n > 0 and id is not null").join(best.select("root", F.col("id").alias("best_id")), "root")
+    # Not eqNullSafe: a component with a known id never has a NULL best.
+    gone = alone.where("id <> best_id").select("id").unionAll(repeated).distinct().withColumnRenamed("id", id_name)
+    left = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(id_name), "left_anti")
+    if repeated.isEmpty() and members.where("id is null").isEmpty():
+        return left
+    return left.unionByName(_one_of_each(docs, repeated, winners, id_col, text_col))
+
+
+def _one_of_each(docs: DataFrame, repeated: DataFrame, winners: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows with a NULL or repeated id: those without words, and one row of each winner."""
+    names = new_names(docs.columns, ["set_1", "set_2", "set_size", "id_2"])
+    one, two, size, other = names
+    again = repeated.withColumnRenamed("id", other)
+    some = docs.where(F.col(id_col).isNull()).unionByName(docs.where(F.col(id_col).isNotNull()).join(again, F.col(id_col) == F.col(other), "left_semi"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(one, T.LongType()), T.StructField(two, T.LongType()), T.StructField(size, T.LongType())])
+
+    def tag(batches):
+        for b in batches:
+            for s in K.batch_slices(b, text_col):
+                sets = shingle_sets(s.column(text_col))
+                sig = [signature(x) for x in sets]
+                cols = [pa.array([_signed(v[i]) for v in sig], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*s.columns, *cols, pa.array([len(x) for x in sets], pa.int64())], names=schema.names)
+
+    tagged = saved(some.mapInArrow(tag, schema), "unclear")
+    empty = tagged.where(F.col(size) == 0).select(*docs.columns)
+    w = winners.select(*[F.col(c).alias(f"{c}_win") for c in ("id", "s1", "s2")])
+    cols = [f"`{c}`" for c in tagged.columns]
+    hit = tagged.where(F.col(size) > 0).toDF(*[f"c{i}" for i in range(len(cols))])
+    at = {c: f"c{i}" for i, c in enumerate(tagged.columns)}
+    won = hit.join(w, F.col(at[id_col]).eqNullSafe(F.col("id_win")) & (F.col(at[one]) == F.col("s1_win")) & (F.col(at[two]) == F.col("s2_win")), "left_semi")
+    each = won.groupBy(at[id_col], at[one], at[two]).agg(F.first(F.struct(*[F.col(at[c]).alias(c) for c in docs.columns])).alias("row"))
+    return empty.unionByName(each.select("row.*"))

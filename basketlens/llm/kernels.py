@@ -179,3 +179,48 @@ class PieceCache:
             where = np.searchsorted(self.key, key)
         length = self.n[where].astype(np.int64)[inv]
         return ragged_take(self.flat, self.at[where][inv], length), length
+
+
+class ByteTrie:
+    """Trie of byte strings as sorted arrays: 12 bytes an edge instead of a row of 256 entries a node.
+
+    Nodes are numbered level by level, so the edges, as ``node << 8 | byte``, lie
+    in order and edge i leads to node i + 1. Steps from the root and its children
+    go through a small dense table, deeper ones through a binary search.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        items = [w for w in words if w]
+        size = np.array([len(w) for w in items], np.int64)
+        data = np.frombuffer(b"".join(items), np.uint8)
+        first = np.cumsum(size) - size
+        at = np.zeros(len(items), np.int64)
+        edges, nodes, ends = [], 1, [1]
+        for k in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > k)
+            level, inv = np.unique(at[live] << 8 | data[first[live] + k], return_inverse=True)
+            at[live] = nodes + inv
+            nodes += len(level)
+            edges.append(level)
+            ends.append(nodes)
+        self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.accept = np.full(nodes, -1, np.int64)
+        self.accept[at] = [words[w] for w in items]
+        self.near = ends[min(1, len(ends) - 1)]  # the root and its children
+        self.table = np.zeros(self.near * 256, np.int32)
+        top = int(np.searchsorted(self.edges, self.near << 8))
+        self.table[self.edges[:top]] = np.arange(1, top + 1)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes reached (0: none)."""
+        out = np.zeros(len(node), np.int64)
+        close = node < self.near
+        key = node << 8 | byte
+        out[close] = self.table[key[close]]
+        far = np.flatnonzero(~close)
+        if len(far):
+            want = key[far]
+            i = np.searchsorted(self.edges, want)
+            i[i == len(self.edges)] = 0
+            out[far] = np.where(self.edges[i] == want, i + 1, 0)
+        return out

@@ -40,7 +40,7 @@ LOG10 = math.log(10.0)
 
 
 class Pieces:
-    """Byte trie of the vocabulary, and the piece that ends at each node."""
+    """Byte trie of the vocabulary and the starting scores of its pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,22 +57,7 @@ class Pieces:
             if sp.is_byte(i):
                 label.setdefault(bytes([int(sp.id_to_piece(i)[3:5], 16)]), i)
         self.size = sp.get_piece_size()
-        children: list[dict[int, int]] = [{}]
-        accept = [-1]
-        for b, i in label.items():
-            node = 0
-            for x in b:
-                if x not in children[node]:
-                    children[node][x] = len(children)
-                    children.append({})
-                    accept.append(-1)
-                node = children[node][x]
-            accept[node] = i
-        self.next_node = np.zeros(len(children) * 256, np.int32)
-        for node, out in enumerate(children):
-            for x, child in out.items():
-                self.next_node[node * 256 + x] = child
-        self.accept = np.array(accept, np.int64)
+        self.trie = K.ByteTrie(label)
 
     def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Arcs of all words laid end to end: (from, to, piece, word offsets); nodes are byte positions plus one per word."""
@@ -85,14 +70,14 @@ class Pieces:
         live, node, k = np.arange(len(data)), np.zeros(len(data), np.int64), 0
         src, dst, piece = [], [], []
         while len(live):
-            node = self.next_node[node * 256 + data[live + k]]
+            node = self.trie.step(node, data[live + k])
             on = node > 0
             live, node = live[on], node[on]
             k += 1
-            hit = np.flatnonzero(self.accept[node] >= 0)
+            hit = np.flatnonzero(self.trie.accept[node] >= 0)
             src.append(live[hit] + shift[live[hit]])
             dst.append(live[hit] + shift[live[hit]] + k)
-            piece.append(self.accept[node[hit]])
+            piece.append(self.trie.accept[node[hit]])
             more = live + k < stop[live]
             live, node = live[more], node[more]
         return np.concatenate(src), np.concatenate(dst), np.concatenate(piece), np.append(first + np.arange(len(n)), len(data) + len(n))
@@ -143,7 +128,7 @@ def is_held_out(doc_id) -> bool:
 
 def _lowered(s: pa.RecordBatch):
     data, off = K.text_buffer(s.column("t"))
-    data = K.LOWER[data]
+    data = np.take(K.LOWER, data)
     start, end, row = K.word_spans(data, off)
     return data, start, end, row, K.span_hashes(data, start, end)
 
@@ -154,7 +139,7 @@ def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for s in K.batch_slices(b, "t", 16 << 20):
+            for s in K.batch_slices(b, "t"):
                 data, start, end, row, h = _lowered(s)
                 train = np.array([not is_held_out(i) for i in s.column("id").to_pylist()])
                 key, at, inv = np.unique(h, return_index=True, return_inverse=True)

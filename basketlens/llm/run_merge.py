@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import partitions, saved
+from basketlens.llm.common import new_names, partitions, saved
 
 RADIX_BITS = 4
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -111,18 +111,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return one.select(*[F.col("one").getField(c).alias(c) for c in docs.columns])
 
 
-def new_names(taken: list[str], wanted: list[str]) -> list[str]:
-    """Column names like ``wanted`` that no column of ``taken`` has, in any case of letters."""
-    used = {c.lower() for c in taken}
-    out = []
-    for name in wanted:
-        while name.lower() in used:
-            name = "_" + name
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 #: DuckDB twin over ``documents``.
 SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import shielded
+
 MASK = "[SECRET]"
 _MAX_ALTERNATIVES = 64
 
@@ -192,6 +194,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return s.select(F.col(id_col), *counts, F.sha2(span_text(own), 256).alias("base_sha256"), span_text(F.col("__spans")).alias("spans"))
 
 
+@shielded
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", rules=RULES) -> DataFrame:
     """The documents with every span replaced by MASK (overlapping spans once); ``length_col`` follows the text."""
     s = scan(docs, id_col, text_col, rules)
