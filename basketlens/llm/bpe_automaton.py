@@ -1,24 +1,32 @@
 """BPE encoding and decoding by a tokenization automaton (operator 10).
 
-The automaton over tokens that accepts exactly the merge-correct token sequences
-is not compiled: an arc (a pair of neighbouring tokens) is tested when it is
-first met. A state is the token last read, an arc is labelled with a token.
-Merge (u, v) of rank r forbids, in every state that still ends in u when r is
-reached, each arc whose token still starts with v then (such a pair would have
-been merged). A token ends in u
-between the rank that formed u and the rank that merges it further along the
-token's right edge; likewise at the left edge. Answers are kept in a
-bounded table.
+The automaton over tokens accepts exactly the merge-correct token sequences. It
+is compiled by one merge gadget per rule, in rank order, from the one-state
+automaton with an arc per byte. At every time all arcs with one label lead to one
+state, so a state is named by its token. The gadget of rule u v:
+
+* the state reached by u loses its arc v (the pair would have been merged);
+* each state with an arc u gets an arc uv beside it, which leads to a new
+  state, a copy of the one that v leads to at this time.
+
+The second step is not written out arc by arc. Tokens are numbered so that those
+that grow out of l to the right stand before l, in rank order: a state that loses
+l at rank r never gets the tokens that grow out of l from r on, and these and l
+form one interval. A state thus is a list of intervals of missing arcs; a copy
+takes over the intervals found so far. The table holds all states' disjoint
+intervals in order, and one binary search tells whether an arc exists.
 
 Encoding splits a text into pieces (contractions, optional blank + letters,
-digits or other marks, white space), walks the arcs of each distinct piece
-from its longest first token on, and steps back from dead positions; as one
-correct sequence exists per piece, the walk finds it. Decoding emits the byte
-labels of the arcs. Runs in one narrow pass over whole texts.
-
-NULL or empty text gives no ids and an empty decoded text. The special string
-of the vocabulary becomes its own id. Nothing else depends on other rows or
-columns; repeated rows give repeated results.
+digits or other marks, white space) and runs each distinct piece through the table
+once, byte by byte and without stepping back: each prefix has one accepted
+sequence, whose last arc is the one token, of those that end at this byte, with an
+arc from the state before it. The arcs are then read off from the end. Decoding
+emits the byte labels of the arcs. Runs in one narrow pass over whole texts.
+
+A file with settings other than plain byte-level merges is refused. NULL or empty
+text gives no ids and an empty decoded text. The special string of the vocabulary
+becomes its own id. Nothing else depends on other rows or columns; repeated rows
+give repeated results.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import kernels as K
 
-ARC_SLOTS = 1 << 21  # table of arcs met so far, per process
+LONG_PIECE = 96  # bytes; longer pieces are walked one by one
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Code points of white space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -47,132 +55,148 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """Raises ValueError for a file whose rules are not those built here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("lstrip", "rstrip", "single_word", "normalized") if any(x.get(k) for x in spec["added_tokens"])]
+    if model["type"] != "BPE" or odd or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError(f"only plain byte-level BPE files are supported; found {model['type']}, {odd}, {spec.get('normalizer')}, {pre}")
+
+
+class MergeTable:
+    """Compiled automaton: ``order`` of the tokens, and the missing arcs of all states as sorted disjoint intervals."""
+
+    def __init__(self, base: list[int], rules: list[tuple[int, int, int]], n: int):
+        grown = [1] * n
+        for u, _, uv in reversed(rules):
+            grown[u] += grown[uv]
+        nxt, own, missing, at = [0] * n, [0] * n, [[] for _ in range(n)], 0
+        for b in base:
+            nxt[b], own[b] = at, at + grown[b] - 1
+            at += grown[b]
+        for u, v, uv in rules:
+            first = nxt[v]                        # tokens that grow out of v from this rank on start here
+            missing[uv] = missing[v].copy()       # new state, as the one v leads to
+            nxt[uv] = nxt[u]
+            nxt[u] += grown[uv]
+            own[uv] = nxt[u] - 1
+            missing[u].append(first * n + own[v])  # the state of u loses them
+        count = np.array([len(x) for x in missing], np.int64)
+        flat = np.fromiter((x for row in missing for x in row), np.int64, int(count.sum()))
+        del missing
+        state = np.repeat(np.arange(n, dtype=np.int64) * n, count)
+        low, high = state + flat // n, state + flat % n
+        by = np.argsort(low, kind="stable")
+        low, high = low[by], np.maximum.accumulate(high[by])
+        head = np.ones(len(low), bool)
+        head[1:] = low[1:] > high[:-1] + 1
+        # the end of a run of touching intervals is the running maximum at its last member
+        last = np.append(np.flatnonzero(head)[1:] - 1, len(low) - 1) if len(low) else np.zeros(0, np.int64)
+        # intervals of neighbouring states may touch; a run across states still means the same missing arcs
+        self.n, self.order = n, np.array(own, np.int64)
+        self.low, self.high = np.append(-1, low[head]), np.append(-1, high[last])
+
+    def has(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc for the token; state n is the start and has all."""
+        key = state * self.n + self.order[token]
+        return self.high[np.searchsorted(self.low, key, side="right") - 1] < key
+
+
 class Automaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
-        as_bytes = {t: bytes(alphabet[c] for c in t) for t in vocab}
-        self.label = {i: as_bytes[t] for t, i in vocab.items()}
-        self.token = {as_bytes[t]: i for t, i in vocab.items()}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        rules = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
+        base = [vocab[c] for c in alphabet if c in vocab]
+        used = base + [uv for _, _, uv in rules]
+        if len(base) < 256 or len(set(used)) < len(used):
+            raise ValueError("every byte must be a token, and every token the result of one rule")
+        names = {i: t for t, i in vocab.items()}
+        token = {bytes(alphabet[c] for c in names[i]): i for i in used}
         self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
-        self.label.update({i: t for t, i in self.special.items()})
-        self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int, int]] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            u, v = m if isinstance(m, list) else m.split(" ")
-            u, v, uv = vocab[u], vocab[v], vocab[u + v]
-            self.rank.setdefault((u, v), r)
-            parts.setdefault(uv, (u, v, r))
-        never = len(spec["model"]["merges"])
-        self.parts, self.never = parts, never
-        ids = sorted(self.label)
-        self.shorter = np.full(ids[-1] + 1, -1, np.int64)  # next shorter token on the same bytes
-        for b, i in self.token.items():
-            for n in range(len(b) - 1, 0, -1):
-                if (s := self.token.get(b[:n])) is not None:
+        label = {i: b for b, i in token.items()} | {i: t for t, i in self.special.items()}
+        n = max(label) + 1
+        self.table = MergeTable(base, rules, n)
+        self.shorter = np.full(n, -1, np.int64)  # next shorter token that ends on the same bytes
+        for b, i in token.items():
+            for k in range(1, len(b)):
+                if (s := token.get(b[k:])) is not None:
                     self.shorter[i] = s
                     break
-        self.trie = K.ByteTrie(self.token)
-        self.arc_key = np.full(ARC_SLOTS, -1, np.int64)  # state << 20 | token
-        self.arc_ok = np.zeros(ARC_SLOTS, bool)
-        self.flat = np.frombuffer(b"".join(self.label[i] for i in ids), np.uint8)
-        size = np.zeros(ids[-1] + 1, np.int64)
-        size[ids] = [len(self.label[i]) for i in ids]
+        self.trie = K.ByteTrie({b[::-1]: i for b, i in token.items()})
+        size = np.array([len(label.get(i, b"")) for i in range(n)], np.int64)
+        self.flat = np.frombuffer(b"".join(label.get(i, b"") for i in range(n)), np.uint8)
         self.size, self.label_at = size, np.cumsum(size) - size
 
-    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Tokens at a token's right (side 1) or left (0) edge, each with the rank at which it is merged further."""
-        until, out = self.never, []
-        while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            until = self.parts[token][2]
-            token = self.parts[token][side]
-
-    def arc(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow in ``state``: no gadget (x, y) fires across the border."""
-        rank = self.rank
-        left = self.edge(token, 0)
-        for x, x_until in self.edge(state, 1):
-            for y, y_until in left:
-                r = rank.get((x, y))
-                if r is not None and r < x_until and r <= y_until:
-                    return False
-        return True
-
-    def _arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """``arc`` for many pairs, through the table of arcs met so far."""
-        key = (state << np.int64(20)) | token
-        slot = (K.mix64(key.view(np.uint64)) & np.uint64(ARC_SLOTS - 1)).astype(np.int64)
-        miss = np.flatnonzero(self.arc_key[slot] != key)
-        ok = self.arc_ok[slot]
-        if len(miss):
-            new, inv = np.unique(key[miss], return_inverse=True)
-            got = np.fromiter((self.arc(k >> 20, k & 0xFFFFF) for k in new.tolist()), bool, len(new))
-            ok[miss] = got[inv]
-            at = (K.mix64(new.view(np.uint64)) & np.uint64(ARC_SLOTS - 1)).astype(np.int64)
-            self.arc_key[at] = new
-            self.arc_ok[at] = False
-            # where two new arcs share a slot the key written last stays, with its own verdict
-            stays = self.arc_key[at] == new
-            self.arc_ok[at[stays]] = got[stays]
-        return ok
-
-    def _longest(self, data: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Longest token that starts at each byte and ends by ``stop``."""
+    def _longest(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Longest token that ends with each byte and starts at ``first`` or later."""
         best = np.zeros(len(data), np.int64)
         live = np.arange(len(data))
         node = np.zeros(len(data), np.int64)
         k = 0
         while len(live):
-            node = self.trie.step(node, data[live + k])
+            node = self.trie.step(node, data[live - k])
             on = node > 0
             live, node = live[on], node[on]
             end = self.trie.accept[node]
             hit = end >= 0
             best[live[hit]] = end[hit]
             k += 1
-            more = live + k < stop[live]
+            more = live - k >= first[live]
             live, node = live[more], node[more]
         return best
 
+    def _last_arcs(self, best: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each byte, the last arc of the accepted sequence that ends there; pieces in step, one byte a turn."""
+        start, size, shorter, last = self.table.n, self.size, self.shorter, best
+        by = np.argsort(-n, kind="stable")
+        first, n = first[by], n[by]
+        together = int(np.searchsorted(-n, -LONG_PIECE, side="left"))  # pieces of more bytes come first
+        for a, m in zip(first[:together].tolist(), n[:together].tolist()):
+            self._walk_one(last, a, m)
+        first, n = first[together:], n[together:]
+        alive = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 1), side="right")
+        for k, m in enumerate(alive.tolist()):
+            at, head = first[:m] + k, first[:m]
+            while len(at):
+                t = last[at]
+                before = at - size[t]
+                state = np.where(before < head, start, last[before])
+                no = ~self.table.has(state, t)
+                at, head = at[no], head[no]
+                last[at] = shorter[t[no]]
+        return last
+
+    def _walk_one(self, last: np.ndarray, a: int, m: int) -> None:
+        table, size, shorter = self.table, self.size, self.shorter
+        low, high, order, n = table.low, table.high, table.order, table.n
+        for i in range(a, a + m):
+            t = last[i]
+            while (before := i - size[t]) >= a:
+                key = last[before] * n + order[t]
+                if high[low.searchsorted(key, side="right") - 1] < key:
+                    break
+                t = shorter[t]
+            last[i] = t
+
     def walk_all(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces laid end to end in ``data`` (lengths ``n``): (ids, ids of each piece)."""
         first = np.cumsum(n) - n
-        stop = np.repeat(first + n, n)
-        best = self._longest(data, stop)
-        path = np.zeros(len(data), np.int64)  # piece p keeps its path from first[p] on
-        dead = np.zeros(len(data) + 1, bool)
-        depth = np.zeros(len(n), np.int64)
-        at, state, cand = first.copy(), np.full(len(n), -1, np.int64), best[first] if len(data) else np.zeros(0, np.int64)
-        live = np.flatnonzero(n > 0)
-        while len(live):
-            a, s, t = at[live], state[live], cand[live]
-            end = a + self.size[t]
-            ok = ~dead[end]
-            ask = np.flatnonzero(ok & (s >= 0))
-            ok[ask] = self._arcs(s[ask], t[ask])
-            go = live[ok]
-            path[first[go] + depth[go]] = t[ok]
-            depth[go] += 1
-            at[go], state[go] = end[ok], t[ok]
-            running = go[end[ok] < (first + n)[go]]
-            cand[running] = best[at[running]]
-            no = live[~ok]
-            shorter = self.shorter[cand[no]]
-            cand[no[shorter >= 0]] = shorter[shorter >= 0]
-            back = no[shorter < 0]  # no arc left: the position is dead, step back
-            dead[at[back]] = True
-            depth[back] -= 1
-            last = path[first[back] + depth[back]]
-            at[back] -= self.size[last]
-            cand[back] = last
-            state[back] = np.where(depth[back] > 0, path[first[back] + np.maximum(depth[back] - 1, 0)], -1)
-            live = np.concatenate([running, no])
-        return K.ragged_take(path, first, depth), depth
+        last = self._last_arcs(self._longest(data, np.repeat(first, n)), first, n)
+        arc = np.zeros(len(data), bool)  # bytes with which an arc of the path ends
+        at, head = (first + n - 1)[n > 0], first[n > 0]
+        while len(at):
+            arc[at] = True
+            at = at - self.size[last[at]]
+            on = at >= head
+            at, head = at[on], head[on]
+        c = np.concatenate([[0], np.cumsum(arc)])
+        return last[arc], c[first + n] - c[first]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, id offsets of the rows)."""
