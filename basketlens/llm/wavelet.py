@@ -151,7 +151,15 @@ class WaveletMatrix:
         return lo
 
     def occurrences(self, symbol: int) -> list[int]:
-        return [self.select(symbol, k) for k in range(self.count(symbol))]
+        """All positions in order: the symbol's range below the last plane, mapped back plane by plane."""
+        lo, hi = self._range(symbol, self.n)
+        at = np.arange(lo, hi)
+        for level in range(self.width - 1, -1, -1):
+            if not len(at):
+                break
+            one = bool(symbol >> (self.width - 1 - level) & 1)
+            at = np.flatnonzero(self._bits(level) == one)[at - (self.zeros[level] if one else 0)]
+        return at.tolist()
 
     def decode(self) -> np.ndarray:
         """The whole sequence, planes undone from the lowest."""
@@ -296,21 +304,26 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1
     src.mapInArrow(run, SHARDS).write.parquet(out)
 
 
-def read_shards(spark, out: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document from the files: (id_col, start, n_tokens, ids); ids are little-endian unsigned 32-bit integers.
-
-    ``start`` counts the ids of all documents before it, over all shards.
-    """
-    shards = spark.read.schema(SHARDS).parquet(out)
+def _heads(shards: DataFrame) -> DataFrame:
+    """(p, q, shard_start) of every shard: its part, its number there, and the ids of all shards before it."""
     heads = shards.select("part", "seq", "n_tokens")
     parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before_part), F.lit(0)).alias("part_start"))
     before_seq = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (heads.join(parts, F.col("part") == F.col("p"))
+    return (heads.join(parts, F.col("part") == F.col("p"))
              .select(F.col("part").alias("p"), F.col("seq").alias("q"),
                      (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(before_seq), F.lit(0))).alias("shard_start")))
 
+
+def read_shards(spark, out: str, id_col: str = "doc_id") -> DataFrame:
+    """One row per document from the files: (id_col, start, n_tokens, ids); ids are little-endian unsigned 32-bit integers.
+
+    ``start`` counts the ids of all documents before it, over all shards.
+    """
+    shards = spark.read.schema(SHARDS).parquet(out)
+    heads = _heads(shards)
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -329,5 +342,67 @@ def read_shards(spark, out: str, id_col: str = "doc_id") -> DataFrame:
             .select(F.col("id").alias(id_col), (F.col("shard_start") + F.col("own_start")).alias("start"), "n_tokens", "ids"))
 
 
+def token_at(spark, out: str, positions: DataFrame, position_col: str = "position", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(position_col, token) for every row of ``positions``, by access to the bit planes; NULL outside the sequence.
+
+    Positions meet shards by an equi-join on cells of ``shard_tokens`` positions; a shard gets the list of its
+    distinct positions (no more than its tokens) and is opened once.
+    """
+    shards = spark.read.schema(SHARDS).parquet(out)
+    sizes = shards.select(F.col("part").alias("p"), F.col("seq").alias("q"), "n_tokens")
+    heads = _heads(shards).join(sizes, ["p", "q"])
+    cells = F.sequence(F.floor(F.col("shard_start") / shard_tokens), F.floor((F.col("shard_start") + F.col("n_tokens") - 1) / shard_tokens))
+    heads = heads.where("n_tokens > 0").withColumn("cell", F.explode(cells))
+    asked = positions.select(F.col(position_col).cast("long").alias("pos")).where("pos is not null").distinct()
+    asked = asked.withColumn("cell", F.floor(F.col("pos") / shard_tokens))
+    inside = (F.col("pos") >= F.col("shard_start")) & (F.col("pos") < F.col("shard_start") + F.col("n_tokens"))
+    per = asked.join(heads, "cell").where(inside).groupBy("p", "q", "shard_start").agg(F.collect_list(F.col("pos") - F.col("shard_start")).alias("own"))
+    full = shards.select(F.col("part").alias("p"), F.col("seq").alias("q"), "body").join(per, ["p", "q"]).select("shard_start", "own", "body")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = WaveletMatrix.from_bytes(batch.column("body")[i].as_py())
+                own = batch.column("own")[i].values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(own + batch.column("shard_start")[i].as_py()), pa.array([m.access(int(k)) for k in own], pa.int64())],
+                                                 names=["pos", "token"])
+
+    found = full.mapInArrow(run, "pos long, token long")
+    return positions.select(position_col).join(found, F.col(position_col).cast("long") == F.col("pos"), "left").select(position_col, "token")
+
+
+def _per_shard(spark, out: str, tokens: list[int], each, schema: str) -> DataFrame:
+    shards = spark.read.schema(SHARDS).parquet(out).select("part", "seq", "body")
+    wanted = sorted({int(t) for t in tokens})
+
+    def run(batches):
+        for batch in batches:
+            for part, seq, body in zip(*[batch.column(c) for c in ("part", "seq", "body")]):
+                m = WaveletMatrix.from_bytes(body.as_py())
+                for t in wanted:
+                    got = each(m, t)
+                    if len(got):
+                        n = len(got)
+                        yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()),
+                                                          pa.array([t] * n, pa.int64()), pa.array(got, pa.int64())], names=["part", "seq", "token", "value"])
+
+    return shards.mapInArrow(run, schema)
+
+
+def count_of(spark, out: str, tokens: list[int]) -> DataFrame:
+    """(token, n) over all shards for each of ``tokens`` (a given list), by rank at both ends of a shard; 0 if absent."""
+    rows = _per_shard(spark, out, tokens, lambda m, t: [m.count(t)], "part int, seq int, token long, value long")
+    asked = spark.createDataFrame([(int(t),) for t in sorted(set(tokens))], "token long")
+    found = rows.groupBy("token").agg(F.sum("value").alias("n"))
+    return asked.join(found, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def positions_of(spark, out: str, tokens: list[int]) -> DataFrame:
+    """(token, position) of every occurrence of each of ``tokens`` (a given list), by select; position counts over all shards."""
+    rows = _per_shard(spark, out, tokens, lambda m, t: m.occurrences(t), "part int, seq int, token long, value long")
+    heads = _heads(spark.read.schema(SHARDS).parquet(out))
+    return rows.join(heads, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("q"))).select("token", (F.col("shard_start") + F.col("value")).alias("position"))
+
+
 def crc32_of(ids: bytes) -> int:
     return zlib.crc32(ids)
