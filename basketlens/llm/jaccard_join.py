@@ -29,7 +29,8 @@ nothing). The result is exact.
   sizes, positions and parity allow, so no link between different texts is lost.
 * **Accumulated overlap.** Surviving pairs get their exact overlap from the two
   whole shingle rows, first one pair per row, then the pairs that are still of
-  different components.
+  different components. The rows of classes in shared lists are stored where
+  their texts are scanned; a round shuffles only those of its promising pairs.
 * **Link counts.** Contraction leaves pairs inside a component untested, so
   links are counted after it: a component's classes are cut into blocks by set
   size and hash, and every two blocks whose sizes allow a link are multiplied
@@ -41,6 +42,10 @@ The order only affects cost: a fixed-size bitmap (``FREQ_BITS``) marks shingles
 that batches of documents repeat, and a wrong mark changes no result. Shingles
 are compared as 64-bit hashes.
 
+A set is identified by 128 bits: the key of a class is its first 64-bit digest,
+and where sets of different second digests or sizes share that (a short list,
+bounded by ``MAX_CLASHES``), both digests combined.
+
 NULL and empty texts: ``n_shingles`` 0, own component. NULL ids keep their row;
 the component is the smallest non-NULL id. Repeated rows link with each other.
 """
@@ -64,6 +69,8 @@ THRESHOLD_PCT = 75
 FREQ_BITS = 1 << 23  # bits of the frequent-shingle bitmap: 1 MB, whatever the corpus
 LOCAL_MIN = 3        # documents of one batch that must share a shingle to report it
 FREQ_MIN = 16        # reported documents from which a shingle is ordered last
+SUM_BITS = 64        # bits of the first digest that are used; tests take few, so that different sets share it
+MAX_CLASHES = 100_000  # first digests that different sets may share; more raise
 PIVOTS = 4           # rows of a list that the others meet in a later round
 PARITY_BITS = 1024   # least bits of a parity bitmap
 FOLDED = 4           # 64-bit words to which the last round folds it
@@ -102,6 +109,13 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(b, initial=np.uint64(0))) ^ len(s)
 
 
+def class_key(s: np.ndarray, clashes: frozenset, bits: int) -> int:
+    """Key of the set's class; ``clashes`` are first digests that different sets share."""
+    one, two = signature(s)
+    one &= (1 << bits) - 1
+    return one ^ two if one in clashes else one
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """Bitmap (64-bit words): bit k is the number of shingles of slot k, modulo 2; a power of two of bits, 2 a shingle at least."""
     m = max(PARITY_BITS, 1 << (2 * len(s) - 1).bit_length() if len(s) else 0)
@@ -130,6 +144,7 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in K.batch_slices(b, "t"):
                 sets = shingle_sets(s.column("t"))
                 sig = [signature(x) for x in sets]
+                sig = [(a & (1 << SUM_BITS) - 1, c) for a, c in sig]
                 bits = [parity(x) for x in sets]
                 short = np.array([fold(x, FOLDED) for x in bits], np.int64).reshape(len(sets), FOLDED)
                 yield pa.RecordBatch.from_arrays(
@@ -153,10 +168,29 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, ", ".join(["kind int", *[f"{c} long" for c in names[1:-1]], "bits binary"]))
 
 
-def _classes(digests: DataFrame) -> DataFrame:
-    """(sig, rep, copies, n, folded parity words, bits): one row per set of shingles, rep the smallest id."""
-    return (digests.where("kind = 0 and n > 0").groupBy(F.col("s1").alias("sig"))
-            .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ["n", *_FOLDS, "bits"]]))
+def _grouped(digests: DataFrame, key) -> DataFrame:
+    """(sig, rep, copies, n, folded parity words, bits, clash): one row per key, rep the smallest id; clash: several sets have it."""
+    return (digests.where("kind = 0 and n > 0").groupBy(key.alias("sig"))
+            .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ["n", *_FOLDS, "bits"]],
+                 ((F.min("s2") < F.max("s2")) | (F.min("n") < F.max("n"))).alias("clash")))
+
+
+def _classes(digests: DataFrame) -> tuple[DataFrame, frozenset, DataFrame]:
+    """Classes (``_grouped`` without a clash), the first digests that different sets share, and one row per document (id, n, s1, s2, key)."""
+    key = F.col("s1")
+    classes = saved(_grouped(digests, key), "classes")
+    found = [r.sig for r in classes.where("clash").select("sig").limit(MAX_CLASHES + 1).collect()]
+    if len(found) > MAX_CLASHES:
+        raise RuntimeError(f"different shingle sets share more than {MAX_CLASHES} digests")
+    if found:
+        shared = F.broadcast(classes.where("clash").select(F.col("sig").alias("s1"), F.lit(True).alias("shared")))
+        digests = digests.join(shared, "s1", "left")
+        key = F.when(F.col("shared"), F.col("s1").bitwiseXOR(F.col("s2"))).otherwise(F.col("s1"))
+        classes = saved(_grouped(digests, key), "classes")
+        if not classes.where("clash").isEmpty():
+            raise RuntimeError("different shingle sets share both digests")
+    keyed = digests.where("kind = 0").select("id", "n", "s1", "s2", key.alias("key"))
+    return classes.drop("clash"), frozenset(x & (1 << 64) - 1 for x in found), keyed
 
 
 def _frequent_bitmap(rows: DataFrame) -> np.ndarray:
@@ -183,7 +217,7 @@ def _prefix(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return np.concatenate([s[often == 0], s[often == 1]])[:keep]
 
 
-def _postings(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, text_col: str, bitmap: np.ndarray, clashes: frozenset) -> DataFrame:
     """(gram, sig, np): the bounded part of every incidence row; np = set size * 2^31 + position."""
     src = docs.select(F.col(text_col).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -194,7 +228,7 @@ def _postings(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
             for s in K.batch_slices(b, "t"):
                 g, sig, size = [], [], []
                 for x in shingle_sets(s.column("t")):
-                    own = signature(x)[0]
+                    own = class_key(x, clashes, SUM_BITS)
                     if len(x) and own not in seen:
                         seen.add(own)
                         p = _prefix(x, shared.value)
@@ -319,17 +353,15 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_overlaps, "a long, b long").distinct()
 
 
-def _whole_rows(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: str, text_col: str) -> str:
-    """Writes the whole shingle rows (sig, row) of the classes ``part(sig)`` as a bucketed table; returns its name.
+def _row_store(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: str, text_col: str, clashes: frozenset) -> DataFrame:
+    """Whole shingle rows (sig, row) of the classes ``part(sig)``, written where their texts are scanned: nothing is shuffled.
 
-    A fixed-size bitmap of (class, smallest id) picks the documents in the scan,
-    so texts are not shuffled. A full bitmap only lets more rows through.
+    A fixed-size bitmap of (class, smallest id) picks the documents in the
+    scan. A full bitmap only lets more rows through.
     """
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        _bitmap(classes.select("sig", "rep").join(part, "sig", "left_semi"), F.col("sig").bitwiseXOR(F.coalesce("rep", F.lit(0).cast("long")))))
     mask = FREQ_BITS - 1
-    shared = spark.sparkContext.broadcast(_bitmap(
-        classes.select("sig", "rep").join(part, "sig", "left_semi"), F.col("sig").bitwiseXOR(F.coalesce("rep", F.lit(0).cast("long")))))
 
     def run(batches):
         seen = set()
@@ -337,7 +369,7 @@ def _whole_rows(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: st
             for s in K.batch_slices(b, "t"):
                 sig, row = [], []
                 for x, i in zip(shingle_sets(s.column("t")), s.column("id").to_pylist()):
-                    own = signature(x)[0]
+                    own = class_key(x, clashes, SUM_BITS)
                     slot = (own ^ (i or 0)) & mask
                     if len(x) and own not in seen and int(shared.value[slot >> 6]) >> (slot & 63) & 1:
                         seen.add(own)
@@ -345,6 +377,26 @@ def _whole_rows(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: st
                         row.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(row, pa.binary())], names=["sig", "row"])
 
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    return saved(src.mapInArrow(run, "sig long, row binary"), "rows")
+
+
+def _whole_rows(store: DataFrame, part: DataFrame) -> str:
+    """Writes the rows (sig, row) of the classes ``part(sig)`` as a bucketed table; returns its name.
+
+    Rows are picked from the store by a bitmap of fixed size, so only rows of
+    these classes (and few others) are shuffled.
+    """
+    spark = store.sparkSession
+    n_parts = partitions(spark)
+    shared = spark.sparkContext.broadcast(_bitmap(part, F.col("sig")))
+
+    def pick(batches):
+        for b in batches:
+            slot = b.column(0).to_numpy() & np.int64(FREQ_BITS - 1)
+            on = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            yield b.filter(pa.array(on == 1))
+
     def once(batches):
         last = None
         for b in batches:
@@ -355,7 +407,7 @@ def _whole_rows(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: st
                 yield b.filter(pa.array(keep))
 
     table = f"shingle_rows_{uuid.uuid4().hex}"
-    (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "sig long, row binary")
+    (store.mapInArrow(pick, "sig long, row binary")
      .repartition(n_parts, "sig").sortWithinPartitions("sig").mapInArrow(once, "sig long, row binary")
      .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
     return table
@@ -478,7 +530,7 @@ def _block_links(t: pa.Table) -> pa.Table:
     return pa.table({"sig": t.column("sig"), "extra": pa.array(extra, pa.int64())}).filter(pa.array(extra > 0))
 
 
-def _link_counts(classes: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+def _link_counts(classes: DataFrame, labels: DataFrame, store: DataFrame) -> DataFrame:
     """(sig, n_links): every other document whose set links with the class's, its own copies included.
 
     Links lie inside components. A component of two classes has its one link; in
@@ -502,23 +554,26 @@ def _link_counts(classes: DataFrame, labels: DataFrame, rows: DataFrame) -> Data
         each("above", unit("band", "h", "band + 1", "x - 1")), each("below", unit("band - 1", "x - 1", "band", "h"))))
     placed = own.join(grid, ["root", "band"]).withColumn("h", F.expr("pmod(xxhash64(sig, 7), nb)"))
     placed = placed.select("sig", "n", "copies", "root", "band", "h", units.alias("u")).select("*", "u.*").drop("u")
-    counted = (placed.join(rows, "sig").groupBy("root", "pb", "ph", "qb", "qh")
+    larger = own.join(whole.where("k > 2").select("root"), "root", "left_semi").select("sig")
+    table = _whole_rows(store, larger)
+    counted = (placed.join(store.sparkSession.table(table), "sig").groupBy("root", "pb", "ph", "qb", "qh")
                .applyInArrow(_block_links, "sig long, extra long"))
     extra = couples.unionByName(counted).groupBy("sig").agg(F.sum("extra").alias("extra"))
-    return classes.select("sig", "copies").join(extra, "sig", "left").select(
-        "sig", (F.coalesce("extra", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = saved(classes.select("sig", "copies").join(extra, "sig", "left").select(
+        "sig", (F.coalesce("extra", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "degree")
+    store.sparkSession.sql(f"DROP TABLE {table}")
+    return out
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, links: bool) -> tuple[DataFrame, DataFrame | None]:
-    """One row per document (id, n, s1, s2, root), root the component of its class (NULL without words);
-    with ``links`` also (s1, n_links) per class."""
+    """One row per document (id, n, s1, s2, key, root), key its class, root the component of that (NULL without words);
+    with ``links`` also (key, n_links) per class."""
     spark = docs.sparkSession
     digests = saved(_digest_rows(docs, id_col, text_col), "digests")
-    per_doc = digests.where("kind = 0").select("id", "n", "s1", "s2")
-    classes = saved(_classes(digests), "classes")
+    classes, clashes, per_doc = _classes(digests)
     n_parts = partitions(spark)
     order = F.xxhash64("sig")
-    first = (_postings(docs, text_col, _frequent_bitmap(digests))
+    first = (_postings(docs, text_col, _frequent_bitmap(digests), clashes)
              .repartition(n_parts, "gram").sortWithinPartitions("gram", order, "sig")
              .mapInArrow(_first_round, "gram long, a long, b long"))
     first = saved(first, "lists")
@@ -528,18 +583,20 @@ def _members(docs: DataFrame, id_col: str, text_col: str, links: bool) -> tuple[
 
     tested = saved(_promising(first.where("gram is null").select("a", "b").distinct(), classes), "pairs")
     part = lists.select("sig").unionAll(tested.select("a")).unionAll(tested.select("b")).distinct()
-    table = _whole_rows(docs, classes, part, id_col, text_col)
+    store = _row_store(docs, classes, part, id_col, text_col, clashes)
 
     def follow(pairs: DataFrame) -> None:
         """Verifies pairs until each is tested or joins rows of one component."""
         nonlocal labels
         if pairs.isEmpty():
             return
+        table = _whole_rows(store, pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct())
         best = saved(_one_each(pairs), "pairs")
         for some in (best, pairs.join(best, ["a", "b"], "left_anti")):
             found = saved(_verified(_apart(some, labels), spark.table(table)), "links")
             if not found.isEmpty():
                 labels = _merged(labels, found)
+        spark.sql(f"DROP TABLE {table}")
 
     follow(tested)
     left, k = float("inf"), 0
@@ -564,10 +621,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str, links: bool) -> tuple[
         follow(fresh)
         if last:
             break
-    degree = saved(_link_counts(classes, labels, spark.table(table)), "degree").withColumnRenamed("sig", "s1") if links else None
-    spark.sql(f"DROP TABLE {table}")
-    members = per_doc.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
-        "id", "n", "s1", "s2", F.when(F.col("n") > 0, F.coalesce("root", "s1")).alias("root"))
+    degree = _link_counts(classes, labels, store).withColumnRenamed("sig", "key") if links else None
+    members = per_doc.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+        "id", "n", "s1", "s2", "key", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     return members, degree
 
 
@@ -580,7 +636,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members, degree = _members(docs, id_col, text_col, True)
     lowest = members.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = (members.where("n > 0").join(lowest, "root").join(degree, "s1")
+    full = (members.where("n > 0").join(lowest, "root").join(degree, "key")
             .select("id", F.col("n").alias("n_shingles"), "component_id", F.col("n_links").cast("long").alias("n_links")))
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
@@ -621,6 +677,7 @@ def _one_of_each(docs: DataFrame, repeated: DataFrame, winners: DataFrame, id_co
             for s in K.batch_slices(b, text_col):
                 sets = shingle_sets(s.column(text_col))
                 sig = [signature(x) for x in sets]
+                sig = [(a & (1 << SUM_BITS) - 1, c) for a, c in sig]
                 cols = [pa.array([_signed(v[i]) for v in sig], pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*s.columns, *cols, pa.array([len(x) for x in sets], pa.int64())], names=schema.names)
 

@@ -148,6 +148,18 @@ def test_jaccard_links_match_brute_force(spark, monkeypatch, block):
     assert dict(want)[801] == 2 and dict(want)[830] == 8
 
 
+def test_sets_that_share_a_digest_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SUM_BITS", 3)
+    rows = near_copies()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_duplicate_classes(frame).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == brute_links(rows)
+    monkeypatch.setattr(jaccard_join, "MAX_CLASHES", 2)
+    with pytest.raises(RuntimeError, match="share more than 2"):
+        jaccard_join.near_duplicate_classes(frame)
+
+
 def test_jaccard_join_of_nothing(no_docs):
     assert jaccard_join.near_duplicate_classes(no_docs).count() == 0
 
