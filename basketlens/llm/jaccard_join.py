@@ -67,6 +67,7 @@ from basketlens.llm.common import components, new_names, partitions, saved, shar
 WORDS = 5
 THRESHOLD_PCT = 75
 FREQ_BITS = 1 << 23  # bits of the frequent-shingle bitmap: 1 MB, whatever the corpus
+SEEN_BITS = 1 << 25  # bits that remember the shingles of a batch: 4 MB
 LOCAL_MIN = 3        # documents of one batch that must share a shingle to report it
 FREQ_MIN = 16        # reported documents from which a shingle is ordered last
 SUM_BITS = 64        # bits of the first digest that are used; tests take few, so that different sets share it
@@ -141,6 +142,7 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
             seen = []
+            earlier = np.zeros(SEEN_BITS // 64, np.uint64)  # slots of the shingles of earlier slices
             for s in K.batch_slices(b, "t"):
                 sets = shingle_sets(s.column("t"))
                 sig = [signature(x) for x in sets]
@@ -151,14 +153,18 @@ def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
                      pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
                      *[pa.array(short[:, i]) for i in range(FOLDED)], pa.array([x.tobytes() for x in bits], pa.binary())], names=names)
-                # Only shingles that a slice repeats are kept until the end of the batch: the bitmap made of them
-                # is an order of rarity, any subset serves.
+                # Only shingles that a slice repeats, or that an earlier slice seems to hold, are kept until the end of
+                # the batch: the bitmap made of them is an order of rarity, any subset serves.
                 g, c = np.unique(np.concatenate(sets), return_counts=True)
-                seen.append((g[c > 1], c[c > 1]))
+                slot = g & np.uint64(SEEN_BITS - 1)
+                word, bit = (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
+                again = (c > 1) | (earlier[word] & bit > 0)
+                np.bitwise_or.at(earlier, word, bit)
+                seen.append((g[again], c[again]))
             if not seen:
                 continue
             g, where = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
-            c = np.bincount(where, weights=np.concatenate([x for _, x in seen]), minlength=len(g)).astype(np.int64)
+            c = np.bincount(where, weights=np.concatenate([x for _, x in seen]), minlength=len(g)).astype(np.int64) + 1
             g, c = g[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
             if len(g):
                 yield pa.RecordBatch.from_arrays(
