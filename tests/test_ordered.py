@@ -84,3 +84,36 @@ def test_reports_stay_jvm_side(spark):
                  "d9_anomaly_features", "a21_table_quality"):
         plan = entry.queries()[name](spark, base)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
+
+
+def test_bucket_lookup_scans_no_array_per_row(spark):
+    df = spark.range(0, 3000).select(F.col("id").alias("k"), ((F.col("id") * 7919) % 997).cast("double").alias("v"))
+    plan = ordered.add_range_bucket(df, [("v", False), ("k", False)], 800)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Join" not in plan
+
+
+def test_buckets_rise_with_infinities_nan_zeros_and_nulls(spark):
+    import math
+
+    vals = [None, -math.inf, -0.0, 0.0, 5e-324, 1.0, math.nextafter(1.0, 2), 1.7976931348623157e308, math.inf, math.nan]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals * 40)], "k int, v double")
+    rows = ordered.add_range_bucket(df, [("v", False)], 16).orderBy("v", "k").collect()
+    place = [(r["_bl_bucket"], r["_bl_piece"]) for r in rows]
+    assert place == sorted(place)
+    key = {}
+    for r in rows:  # equal values share a bucket
+        same = "nan" if r.v is not None and math.isnan(r.v) else r.v
+        assert key.setdefault(same, (r["_bl_bucket"], r["_bl_piece"])) == (r["_bl_bucket"], r["_bl_piece"])
+    cum = ordered.running_sum(df, [("v", True), ("k", False)], "k", "c", buckets=16).collect()
+    want = sorted(rows, key=lambda r: (r.v is None, not (r.v is not None and math.isnan(r.v)), -(r.v or 0) if r.v == r.v else 0, r.k))
+    total, got = 0, {r.k: r.c for r in cum}
+    for r in want:
+        total += r.k
+        assert got[r.k] == total
+
+
+def test_no_values_at_all(spark):
+    df = spark.createDataFrame([], "k int, v double")
+    assert ordered.running_sum(df, [("v", False), ("k", False)], "k", "c").collect() == []
+    df = spark.createDataFrame([(1, None), (2, None)], "k int, v double")
+    assert sorted(r.c for r in ordered.running_sum(df, [("v", False), ("k", False)], "k", "c").collect()) == [1, 3]
