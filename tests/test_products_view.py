@@ -4,7 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from basketlens.functions.core import micro_sum
-from basketlens.operators import products
+from basketlens.operators import ordered, products
 from basketlens.sources import retail
 
 
@@ -53,9 +53,9 @@ def test_part_texts_do_not_travel_with_lines(spark, tmp_path):
     assert not any("p_name" in x for x in plan[sums[0]:names] if "l_" in x)
 
 
-def test_score_reads_the_lines_once(spark, tmp_path):
+def test_score_and_rank_read_the_lines_once(spark, tmp_path):
     base = str(tmp_path)
     _tables(spark, base)
     p = retail.products(spark, base)
-    out = products.viability_score(p)
-    assert "l_extendedprice" not in out._jdf.queryExecution().optimizedPlan().toString()  # written before, not computed again
+    for out in (products.viability_score(p), ordered.average_rank(p, "total_revenue_usd", "r"), ordered.rank_gap(p, "total_orders", "total_revenue_usd")):
+        assert "l_extendedprice" not in out._jdf.queryExecution().optimizedPlan().toString()  # written before, not computed again
