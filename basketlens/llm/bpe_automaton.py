@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from basketlens.llm import kernels as K
 
 LONG_PIECE = 96  # bytes; longer pieces are walked one by one
+SLICE_BYTES = 1 << 20  # text bytes encoded at once: the working arrays take about 40 times as much in every worker
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Code points of white space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -300,22 +302,23 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    """(id, n_tokens, ids, decoded) of batches (id, t), one output batch per slice of ``SLICE_BYTES``."""
+    auto = automaton(tokenizer_path)
+    for batch in batches:
+        for s in K.batch_slices(batch, "t", SLICE_BYTES):
+            data, off = K.text_buffer(s.column("t"))
+            ids, at = auto.encode(data, off)
+            text, to = auto.decode(ids, at)
+            rows = range(len(off) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [s.column("id"), pa.array(np.diff(at)), pa.array([ids[at[i]:at[i + 1]].astype("<u4").tobytes() for i in rows], pa.binary()),
+                 pa.array([text[to[i]:to[i + 1]].tobytes().decode("utf-8", "replace") for i in rows], pa.string())],
+                names=["id", "n_tokens", "ids", "decoded"])
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id_col, n_tokens, ids, decoded); ids are little-endian unsigned 32-bit integers."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-
-    def run(batches):
-        auto = automaton(tokenizer_path)
-        for batch in batches:
-            for s in K.batch_slices(batch, "t"):
-                data, off = K.text_buffer(s.column("t"))
-                ids, at = auto.encode(data, off)
-                text, to = auto.decode(ids, at)
-                rows = range(len(off) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [s.column("id"), pa.array(np.diff(at)), pa.array([ids[at[i]:at[i + 1]].astype("<u4").tobytes() for i in rows], pa.binary()),
-                     pa.array([text[to[i]:to[i + 1]].tobytes().decode("utf-8", "replace") for i in rows], pa.string())],
-                    names=["id", "n_tokens", "ids", "decoded"])
-
-    out = src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
+    out = src.mapInArrow(lambda batches: encoded(batches, tokenizer_path), f"id {src.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketlens.llm import bpe_automaton, queries
@@ -70,3 +71,19 @@ def test_automaton_on_long_pieces():
     ids, at = bpe_automaton.automaton(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
     for i, want in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
         assert ids[at[i]:at[i + 1]].tolist() == want.ids
+
+
+def test_encoding_holds_little_beside_a_batch():
+    import tracemalloc
+
+    rng, path = random.Random(7), queries.byte_bpe_path()
+    bpe_automaton.automaton(path)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(60_000)]
+    batch = pa.record_batch({"id": list(range(1_500)), "t": [" ".join(rng.choices(words, k=600)) for _ in range(1_500)]})
+    assert batch.nbytes > 5 << 20
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in bpe_automaton.encoded(iter([batch]), path))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_500
+    assert peak < 80 << 20, peak
