@@ -116,3 +116,33 @@ def test_forest_samples_are_full_at_any_size(spark):
         df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("z"))
         s = _tree_samples(df, "k", ["z"], 50, 256, n, 42).groupBy("tree").agg(F.count("*").alias("c"), F.countDistinct("k").alias("d")).collect()
         assert len(s) == 50 and all(r.c == r.d == 256 for r in s), n
+
+
+def test_tied_ranks_in_place_equal_pandas_and_join_no_values(spark):
+    import numpy as np
+    import pandas as pd
+    from basketlens.operators.ordered import tied_ranks
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"v": rng.integers(-40, 40, 900) / 4.0, "g": rng.integers(0, 9, 900)})
+    pdf.loc[:250, "v"] = 2.5  # one value holds more than a quarter
+    vg = pdf.groupby(["v", "g"]).size().reset_index(name="c")
+    df = spark.createDataFrame(vg)
+    got = tied_ranks(df, "v", "c", "rank", "t", buckets=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    want = pdf.assign(rank=pdf.v.rank()).groupby("v").agg(rank=("rank", "first"), t=("v", "size"))
+    rows = got.collect()
+    assert len(rows) == len(vg)
+    assert all((r.rank, r.t) == (want.loc[r.v, "rank"], want.loc[r.v, "t"]) for r in rows)
+
+
+def test_looked_up_poisson_weights_equal_the_search():
+    import numpy as np
+    from basketlens.operators import stats
+
+    thr = stats._poisson1_thresholds()
+    near = (thr.astype(np.int64)[:, None] + np.arange(-70_000, 70_000, 997)).clip(0, 2 ** 32 - 1).ravel()
+    h = np.concatenate([near, thr, np.array([0, 2 ** 32 - 1]), np.random.default_rng(1).integers(0, 2 ** 32, 50_000)]).astype(np.uint32)
+    got = stats._poisson1_weights(h, thr, stats._poisson1_table(thr))
+    assert (got == np.searchsorted(thr, h, side="right")).all()
