@@ -51,3 +51,37 @@ def test_digest_is_order_free_and_sees_every_change(spark):
     assert of(rows) == of(rows[::-1]) == of([(1, 0.3, None, [1.0]), *rows[1:]])
     others = [of(rows[:2]), of([(1, 0.3, "", [1.0]), *rows[1:]]), of([(1, 0.31, None, [1.0]), *rows[1:]]), of([(1, 0.3, None, [None]), *rows[1:]]), of([])]
     assert of(rows) not in others and len(set(others)) == len(others)
+
+
+def test_product_stage_computes_replicates_and_ranks_once(spark):
+    from basketlens.sources import retail
+    out = reports.product_analysis(retail.products(spark, SF), "PROMO", reps=50)
+    for name in ("ci", "uplift", "ranked", "rank_gap_histogram"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "percentile(" not in plan and "_bl_bucket" not in plan and "_bl_salt" not in plan, name
+
+
+def test_stages_of_the_whole_pipeline_share_the_views(spark, monkeypatch):
+    made = []
+    def view(name):
+        return lambda *a, **k: (made.append(name), spark.range(3).toDF("customer_id"))[1]
+    for name in ("customers", "products", "lines"):
+        monkeypatch.setattr(q_misc.retail, name, view(name))
+    for name in ("product_analysis", "customer_analysis", "customer_analysis_extended", "ltv_analysis", "order_analysis"):
+        monkeypatch.setattr(reports, name, lambda df, *a, **k: df.collect())
+    monkeypatch.setattr(q_misc, "_exports", lambda *frames: [f.collect() for f in frames])
+    stages = q_misc._stage(spark, SF, None)
+    for name in ("products", "customers", "customers_extended", "ltv", "orders", "exports"):
+        stages[name]()
+    assert sorted(made) == ["customers", "lines", "products"]
+
+
+def test_order_stage_writes_only_what_its_reports_read(spark):
+    from basketlens.sources import retail
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reports, "_shared", lambda df: seen.append(df.columns) or df.limit(0))
+        m.setattr(reports.stats, "mann_whitney", lambda *a, **k: None)
+        m.setattr(reports.stats, "kruskal_wallis", lambda *a, **k: None)
+        reports.order_analysis(retail.lines(spark, SF, with_repeat=True))
+    assert "total_amount_usd" in seen[0] and "product_name" not in seen[0]
