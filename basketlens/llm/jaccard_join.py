@@ -31,6 +31,7 @@ nothing). The result is exact.
   whole shingle rows, first one pair per row, then the pairs that are still of
   different components. The rows of classes in shared lists are stored where
   their texts are scanned; a round shuffles only those of its promising pairs.
+  They are arrays that Spark intersects, so no Python worker receives their pairs.
 * **Link counts.** Contraction leaves pairs inside a component untested, so
   links are counted after it: a component's classes are cut into blocks by set
   size and hash, and every two blocks whose sizes allow a link are multiplied
@@ -62,13 +63,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.llm import kernels as K
-from basketlens.llm.common import components, new_names, partitions, saved, shared_path
+from basketlens.llm.common import batch_rows, components, new_names, partitions, saved, shared_path
 
 WORDS = 5
 THRESHOLD_PCT = 75
+TEXT_ROWS = 1000     # texts or whole shingle rows sent to Python in one batch
+LIST_ROWS = 4000     # texts sent to Python and postings streamed in one batch
+SLICE_BYTES = 1 << 20  # text bytes turned into sets at once: the working arrays take some 30 times as much in every worker
 FREQ_BITS = 1 << 23  # bits of the frequent-shingle bitmap: 1 MB, whatever the corpus
-SEEN_BITS = 1 << 25  # bits that remember the shingles of a batch: 4 MB
-LOCAL_MIN = 3        # documents of one batch that must share a shingle to report it
+SEEN_BITS = 1 << 25  # bits that remember the shingles of the documents of a report: 4 MB
+REPORT_ROWS = 10_000  # documents whose repeated shingles are reported together
+LOCAL_MIN = 3        # documents of them that must share a shingle to report it
 FREQ_MIN = 16        # reported documents from which a shingle is ordered last
 SUM_BITS = 64        # bits of the first digest that are used; tests take few, so that different sets share it
 MAX_CLASHES = 100_000  # first digests that different sets may share; more raise
@@ -81,6 +86,7 @@ BLOCK_COLUMNS = 4096      # shingles multiplied at once
 BAND = 1.4           # ratio of set sizes in one block; linked sets differ by 4/3 at most
 
 _FOLDS = [f"f{i}" for i in range(FOLDED)]
+_DIGEST = ["kind", "id", "n", "s1", "s2", *_FOLDS, "bits"]
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -134,44 +140,54 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _digests(batches, bits_used: int):
+    """The rows of ``_digest_rows`` of batches (id, t); of first digests the lowest ``bits_used`` bits."""
+    seen, earlier, n_rows = [], None, 0
+    for b in batches:
+        for s in K.batch_slices(b, "t", SLICE_BYTES):
+            sets = shingle_sets(s.column("t"))
+            sig = [signature(x) for x in sets]
+            sig = [(a & (1 << bits_used) - 1, c) for a, c in sig]
+            bits = [parity(x) for x in sets]
+            short = np.array([fold(x, FOLDED) for x in bits], np.int64).reshape(len(sets), FOLDED)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
+                 *[pa.array(short[:, i]) for i in range(FOLDED)], pa.array([x.tobytes() for x in bits], pa.binary())], names=_DIGEST)
+            # Only shingles that a slice repeats, or that an earlier slice seems to hold, are kept until the next
+            # report: the bitmap made of them is an order of rarity, any subset serves.
+            if earlier is None:
+                earlier = np.zeros(SEEN_BITS // 64, np.uint64)  # slots of the shingles of earlier slices
+            g, c = np.unique(np.concatenate(sets), return_counts=True)
+            slot = g & np.uint64(SEEN_BITS - 1)
+            word, bit = (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
+            again = (c > 1) | (earlier[word] & bit > 0)
+            np.bitwise_or.at(earlier, word, bit)
+            seen.append((g[again], c[again]))
+            n_rows += len(sets)
+            if n_rows >= REPORT_ROWS:
+                yield from _report(seen)
+                seen, earlier, n_rows = [], None, 0
+    yield from _report(seen)
+
+
+def _report(seen: list):
+    """The shingles that LOCAL_MIN documents or more repeat, of (shingles, counts) per slice."""
+    if not seen:
+        return
+    g, where = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+    c = np.bincount(where, weights=np.concatenate([x for _, x in seen]), minlength=len(g)).astype(np.int64) + 1
+    g, c = g[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
+    if len(g):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(g), np.int32)), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)),
+             pa.array(K.to_long(g)), *[pa.nulls(len(g), pa.int64())] * (FOLDED + 1), pa.nulls(len(g), pa.binary())], names=_DIGEST)
+
+
 def _digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: one row per document (id, n, s1, s2, folded parity words, bits); kind 1: shingles that a batch repeats (s1, n)."""
+    """kind 0: one row per document (id, n, s1, s2, folded parity words, bits); kind 1: shingles that neighbouring documents repeat (s1, n)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    names = ["kind", "id", "n", "s1", "s2", *_FOLDS, "bits"]
-
-    def run(batches):
-        for b in batches:
-            seen = []
-            earlier = np.zeros(SEEN_BITS // 64, np.uint64)  # slots of the shingles of earlier slices
-            for s in K.batch_slices(b, "t"):
-                sets = shingle_sets(s.column("t"))
-                sig = [signature(x) for x in sets]
-                sig = [(a & (1 << SUM_BITS) - 1, c) for a, c in sig]
-                bits = [parity(x) for x in sets]
-                short = np.array([fold(x, FOLDED) for x in bits], np.int64).reshape(len(sets), FOLDED)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(sets), np.int32)), s.column("id"), pa.array([len(x) for x in sets], pa.int64()),
-                     pa.array([_signed(a) for a, _ in sig], pa.int64()), pa.array([_signed(c) for _, c in sig], pa.int64()),
-                     *[pa.array(short[:, i]) for i in range(FOLDED)], pa.array([x.tobytes() for x in bits], pa.binary())], names=names)
-                # Only shingles that a slice repeats, or that an earlier slice seems to hold, are kept until the end of
-                # the batch: the bitmap made of them is an order of rarity, any subset serves.
-                g, c = np.unique(np.concatenate(sets), return_counts=True)
-                slot = g & np.uint64(SEEN_BITS - 1)
-                word, bit = (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
-                again = (c > 1) | (earlier[word] & bit > 0)
-                np.bitwise_or.at(earlier, word, bit)
-                seen.append((g[again], c[again]))
-            if not seen:
-                continue
-            g, where = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
-            c = np.bincount(where, weights=np.concatenate([x for _, x in seen]), minlength=len(g)).astype(np.int64) + 1
-            g, c = g[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
-            if len(g):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(g), np.int32)), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)),
-                     pa.array(K.to_long(g)), *[pa.nulls(len(g), pa.int64())] * (FOLDED + 1), pa.nulls(len(g), pa.binary())], names=names)
-
-    return src.mapInArrow(run, ", ".join(["kind int", *[f"{c} long" for c in names[1:-1]], "bits binary"]))
+    return src.mapInArrow(lambda batches: _digests(batches, SUM_BITS), ", ".join(["kind int", *[f"{c} long" for c in _DIGEST[1:-1]], "bits binary"]))
 
 
 def _grouped(digests: DataFrame, key) -> DataFrame:
@@ -231,7 +247,7 @@ def _postings(docs: DataFrame, text_col: str, bitmap: np.ndarray, clashes: froze
     def run(batches):
         seen = set()  # classes this task has already emitted: a group of copies weighs once per task
         for b in batches:
-            for s in K.batch_slices(b, "t"):
+            for s in K.batch_slices(b, "t", SLICE_BYTES):
                 g, sig, size = [], [], []
                 for x in shingle_sets(s.column("t")):
                     own = class_key(x, clashes, SUM_BITS)
@@ -331,19 +347,10 @@ def _later_round(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _overlaps(batches):
-    """Exact overlap of each pair of rows; keeps the linked pairs."""
-    for b in batches:
-        left, right = b.column(2), b.column(3)
-        keep = np.zeros(b.num_rows, bool)
-        for i in range(b.num_rows):
-            x = np.frombuffer(left[i].as_buffer(), np.uint64)
-            y = np.frombuffer(right[i].as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            common = int((x[at] == y).sum())
-            keep[i] = 100 * common >= THRESHOLD_PCT * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+def _linked():
+    """Whether the exact overlap of the whole rows ``ra`` and ``rb`` reaches the threshold; counted by Spark, rows never go to Python."""
+    common = F.size(F.array_intersect("ra", "rb"))
+    return 100 * common >= THRESHOLD_PCT * (F.size("ra") + F.size("rb") - common)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -356,7 +363,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     own = rows.join(part, "sig", "left_semi")
     left = own.select(F.col("sig").alias("a"), F.col("row").alias("ra"))
     right = own.select(F.col("sig").alias("b"), F.col("row").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(_overlaps, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").where(_linked()).select("a", "b").distinct()
 
 
 def _row_store(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: str, text_col: str, clashes: frozenset) -> DataFrame:
@@ -372,19 +379,22 @@ def _row_store(docs: DataFrame, classes: DataFrame, part: DataFrame, id_col: str
     def run(batches):
         seen = set()
         for b in batches:
-            for s in K.batch_slices(b, "t"):
-                sig, row = [], []
+            for s in K.batch_slices(b, "t", SLICE_BYTES):
+                sig, rows = [], []
                 for x, i in zip(shingle_sets(s.column("t")), s.column("id").to_pylist()):
                     own = class_key(x, clashes, SUM_BITS)
                     slot = (own ^ (i or 0)) & mask
                     if len(x) and own not in seen and int(shared.value[slot >> 6]) >> (slot & 63) & 1:
                         seen.add(own)
                         sig.append(_signed(own))
-                        row.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(row, pa.binary())], names=["sig", "row"])
+                        rows.append(K.to_long(x))
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                row = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows or [np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), row], names=["sig", "row"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return saved(src.mapInArrow(run, "sig long, row binary"), "rows")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return saved(src.mapInArrow(run, "sig long, row array<long>"), "rows")
 
 
 def _whole_rows(store: DataFrame, part: DataFrame) -> str:
@@ -403,19 +413,10 @@ def _whole_rows(store: DataFrame, part: DataFrame) -> str:
             on = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             yield b.filter(pa.array(on == 1))
 
-    def once(batches):
-        last = None
-        for b in batches:
-            g = b.column(0).to_numpy()
-            if len(g):
-                keep = np.r_[last is None or g[0] != last, g[1:] != g[:-1]]
-                last = g[-1]
-                yield b.filter(pa.array(keep))
-
     table = f"shingle_rows_{uuid.uuid4().hex}"
-    (store.mapInArrow(pick, "sig long, row binary")
-     .repartition(n_parts, "sig").sortWithinPartitions("sig").mapInArrow(once, "sig long, row binary")
-     .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
+    with batch_rows(spark, TEXT_ROWS):
+        (store.mapInArrow(pick, store.schema).repartition(n_parts, "sig").dropDuplicates(["sig"])
+         .write.bucketBy(n_parts, "sig").sortBy("sig").option("path", shared_path(spark, table)).saveAsTable(table))
     return table
 
 
@@ -523,7 +524,7 @@ def _block_links(t: pa.Table) -> pa.Table:
     none = pa.table({"sig": pa.array([], pa.int64()), "extra": pa.array([], pa.int64())})
     if cut == 0 or (cut == t.num_rows and not one):
         return none
-    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("row")]
+    rows = [x.values.to_numpy().view(np.uint64) for x in t.column("row")]
     n, copies = t.column("n").to_numpy(), t.column("copies").to_numpy()
     right = slice(None) if one else slice(cut, None)
     common = gram_product(rows, cut)
@@ -575,14 +576,16 @@ def _members(docs: DataFrame, id_col: str, text_col: str, links: bool) -> tuple[
     """One row per document (id, n, s1, s2, key, root), key its class, root the component of that (NULL without words);
     with ``links`` also (key, n_links) per class."""
     spark = docs.sparkSession
-    digests = saved(_digest_rows(docs, id_col, text_col), "digests")
+    with batch_rows(spark, TEXT_ROWS):
+        digests = saved(_digest_rows(docs, id_col, text_col), "digests")
     classes, clashes, per_doc = _classes(digests)
     n_parts = partitions(spark)
     order = F.xxhash64("sig")
     first = (_postings(docs, text_col, _frequent_bitmap(digests), clashes)
              .repartition(n_parts, "gram").sortWithinPartitions("gram", order, "sig")
              .mapInArrow(_first_round, "gram long, a long, b long"))
-    first = saved(first, "lists")
+    with batch_rows(spark, LIST_ROWS):
+        first = saved(first, "lists")
     lists = first.where("gram is not null").select("gram", F.col("a").alias("sig"), F.col("b").alias("np"))
 
     labels = spark.createDataFrame([], "node long, root long")
@@ -680,14 +683,15 @@ def _one_of_each(docs: DataFrame, repeated: DataFrame, winners: DataFrame, id_co
 
     def tag(batches):
         for b in batches:
-            for s in K.batch_slices(b, text_col):
+            for s in K.batch_slices(b, text_col, SLICE_BYTES):
                 sets = shingle_sets(s.column(text_col))
                 sig = [signature(x) for x in sets]
                 sig = [(a & (1 << SUM_BITS) - 1, c) for a, c in sig]
                 cols = [pa.array([_signed(v[i]) for v in sig], pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*s.columns, *cols, pa.array([len(x) for x in sets], pa.int64())], names=schema.names)
 
-    tagged = saved(some.mapInArrow(tag, schema), "unclear")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        tagged = saved(some.mapInArrow(tag, schema), "unclear")
     empty = tagged.where(F.col(size) == 0).select(*docs.columns)
     w = winners.select(*[F.col(c).alias(f"{c}_win") for c in ("id", "s1", "s2")])
     cols = [f"`{c}`" for c in tagged.columns]

@@ -15,6 +15,7 @@ scored alike; NULL ids are kept as they are; extra columns are never read by
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from basketlens.llm import kernels as K
 
 LEVEL = 3
 CHUNK_BYTES = 4096
+SLICE_BYTES = 1 << 20  # text bytes measured at once: the working arrays take some 40 times as much in every worker
 MAX_BAD_CHUNKS = 0.5
 #: (from this many bytes, lowest ratio, highest ratio). ``fitted`` to a fixed sample, the 3,243 documents of sf0.1
 #: that are labelled quality 1 and pass the base rules; the first class holds none of them and the last too few, so both have wide limits.
@@ -117,23 +119,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         for b in batches:
-            for s in K.batch_slices(b, "__text"):
+            for s in K.batch_slices(b, "__text", SLICE_BYTES):
                 m = metrics(s.column("__text"))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(v) for v in m.values())], names=[id_col, *m])
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, {METRICS}")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns."""
-    at = docs.columns.index(text_col)
+def good_rows(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` whose text, column ``at``, passes."""
+    for b in batches:
+        b = b.rename_columns([f"c{i}" for i in range(b.num_columns)])
+        for s in K.batch_slices(b, f"c{at}", SLICE_BYTES):
+            yield s.filter(pa.array(metrics(s.column(at))["kept"])).rename_columns(names)
 
-    def run(batches):
-        for b in batches:
-            b = b.rename_columns([f"c{i}" for i in range(b.num_columns)])
-            for s in K.batch_slices(b, f"c{at}"):
-                out = s.filter(pa.array(metrics(s.column(at))["kept"]))
-                yield out.rename_columns(docs_columns)
 
-    docs_columns = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that pass, with their own columns."""
+    at, names = docs.columns.index(text_col), docs.columns
+    return docs.mapInArrow(lambda batches: good_rows(batches, at, names), docs.schema)

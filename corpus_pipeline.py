@@ -4,7 +4,8 @@
 stage is written as Parquet in the session's shared folder and read again by
 the next one, so a lost executor never costs more than one stage. A stage works
 on all rows its predecessor kept; all but the last return the columns of
-documents. ORACLE_SQL is None: compression ratios, the merge automaton and the
+documents. The stages set the session's Arrow batches to TEXT_ROWS rows, as whole
+texts go to Python: a batch lies in memory whole on both sides. ORACLE_SQL is None: compression ratios, the merge automaton and the
 component search are not expressible in SQL (brute-force twin in tests/llm).
 """
 
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm import bpe_automaton, curriculum, jaccard_join, quality_bands, secret_index
-from basketlens.llm.common import read, saved
+from basketlens.llm.common import BATCH_ROWS, read, saved
 from basketlens.llm.queries import byte_bpe_path
 
+TEXT_ROWS = 1000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the compression bands reject."""
+    spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     return quality_bands.keep_good(docs)
 
 
@@ -40,6 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row: (doc_id, n_tokens, ids, decoded_sha256)."""
+    spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     e = bpe_automaton.encode_decode(docs, byte_bpe_path())
     return e.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
