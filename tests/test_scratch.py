@@ -93,6 +93,12 @@ def test_lines_in_slices_are_all_lines(spark, odd, monkeypatch):
     assert len(_kept(spark) - start) == 1
 
 
+def test_customers_of_stored_lines(spark, odd):
+    with scratch(spark):
+        stored = retail.stored_lines(spark, odd)
+        assert _same(retail.customers(spark, odd), retail.customers(spark, odd, stored=stored))
+
+
 def _moved(plan):
     """Rows that the shuffles of an executed plan wrote."""
     kind = plan.getClass().getSimpleName()
