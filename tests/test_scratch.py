@@ -6,16 +6,25 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from basketlens import session
 from basketlens.operators.quantile import quantile_frame
 from basketlens.plans import q_misc, reports
-from basketlens.session import ensure_checkpoint_dir, is_saved, saved, scratch
+from basketlens.session import is_saved, saved, scratch
 from basketlens.sources import retail
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def own_folder(monkeypatch, tmp_path_factory):
+    """A folder that no other session writes to."""
+    path = str(tmp_path_factory.mktemp("kept"))
+    for module in (session, reports):
+        monkeypatch.setattr(module, "ensure_checkpoint_dir", lambda spark: path)
+
+
 def _kept(spark):
-    return set(os.listdir(ensure_checkpoint_dir(spark)))
+    return set(os.listdir(session.ensure_checkpoint_dir(spark)))
 
 
 def _shuffles(spark):
